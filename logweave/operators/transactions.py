@@ -108,7 +108,7 @@ def record_headers(
     return _headers(_parts_of(routed, scope, max_size), scope)
 
 
-def _parts_of(routed: DataFrame, scope: list[str], max_size: int, carry: Sequence[str] = ()) -> DataFrame:
+def _parts_of(routed: DataFrame, scope: list[str], max_size: int) -> DataFrame:
     """Events that belong to records, with ``part`` and ``is_cut``; ``alone`` marks standalone events.
 
     Standalone events ride along: they weigh nothing and cannot be cut at, so they do not disturb the
@@ -125,7 +125,6 @@ def _parts_of(routed: DataFrame, scope: list[str], max_size: int, carry: Sequenc
         (F.col("action") == "standalone").alias("alone"),
         (F.col("action") == "commit").alias("is_commit"),
         ((F.col("action") == "tx") & row_like(F.col("kind"))).alias("is_row"),
-        *carry,
     )
     return greedy_pack(
         events,
@@ -202,5 +201,6 @@ def build_records(
     """Record headers plus ``data``: the record's events in order. A record holds at most ``max_size``
     bytes plus the event that crossed the limit and what its statements add, so its array is bounded."""
     scope = list(scope)
-    routed = route_events(events, rules, scope, span)
-    return _headers(_parts_of(routed, scope, max_size, carry=[payload]), scope, payload)
+    routed = route_events(events.select(*_routing_columns(events, scope)), rules, scope, span)
+    parts = _parts_of(routed, scope, max_size)
+    return _headers(parts.join(events.select(*scope, "log_file", "log_pos", payload), [*scope, "log_file", "log_pos"]), scope, payload)

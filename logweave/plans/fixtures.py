@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.cyclic import CYCLE, seqid_at
+from logweave.functions.cyclic import seqid_at
 from logweave.functions.envelope import encode_envelope
+from logweave.operators.scan import block_of, dense_rank_rows
+from logweave.operators.segments import rewrite_positions
 
 RULES = ["DB0@t[012]", "db1@t[012]"]
 MAX_SIZE = 120
@@ -83,3 +85,80 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDER_RULES = ["shop@orders_[fo]"]
 ORDER_SPAN = 1 << 24
+
+
+PARTITIONS = 3
+ARRIVAL_SPAN = 1 << 22
+WRAP_START = 10**12 - 4999  # the cycle ends within the first 5,000 ids
+STALE_START = 501
+
+
+def _arrival(event_id):
+    # a bijective shuffle of the ids
+    return (event_id * 48271) % 2147483647
+
+
+def topic_messages(spark: SparkSession, sf_dir: str, variant: str = "dense", start: int = 1) -> DataFrame:
+    """The event table as an out-of-order topic of three partitions.
+
+    dense: every id once. dups: some messages arrive twice. gap: some ids never arrive.
+    late_gap: few ids never arrive, and some messages twice. Except there, every 211th value is junk.
+    ``start`` is the first id.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "props")
+    if variant == "gap":
+        events = events.where(F.col("event_id") % 997 != 13)
+    if variant == "late_gap":
+        events = events.where(F.col("event_id") % 6007 != 6006)
+    messages = events.withColumn("arrival", _arrival(F.col("event_id")))
+    if variant in ("dups", "late_gap"):
+        again = events.where(F.col("event_id") % 101 == 7).withColumn("arrival", _arrival(F.col("event_id")) + 2147483647)
+        messages = messages.unionByName(again)
+    seqid = seqid_at(start, F.col("event_id"))
+    envelope = encode_envelope(seqid, F.array(F.col("props").cast("binary")))
+    value = envelope if variant == "late_gap" else F.when(F.col("event_id") % 211 == 210, "junk").otherwise(envelope)
+    keyed = messages.select(
+        F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
+        value.cast("binary").alias("value"),
+        F.lit("changes").alias("topic"),
+        (F.col("event_id") % PARTITIONS).cast("int").alias("partition"),
+        "arrival",
+        "ts",
+        F.floor(F.col("arrival") / ARRIVAL_SPAN).cast("bigint").alias("block"),
+    )
+    ranked = dense_rank_rows(keyed, ["partition"], [["block"]], ["arrival"], "rn")
+    return ranked.withColumn("offset", F.col("rn") - 1).drop("rn", "block")
+
+
+def ordered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a topic in id order, as a collector writes it."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
+        F.col("props").cast("binary").alias("value"),
+        F.lit("changes").alias("topic"),
+        (F.col("event_id") % PARTITIONS).cast("int").alias("partition"),
+        F.floor(F.col("event_id") / PARTITIONS).cast("bigint").alias("offset"),
+        "ts",
+    )
+
+
+SEGMENT_EVENTS = 1000
+
+
+def frames_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unplaced frames: thousand events per segment."""
+    log = change_log(spark, sf_dir)
+    return log.select(
+        F.floor(F.col("log_pos") / SEGMENT_EVENTS).cast("bigint").alias("segment_id"),
+        (F.col("log_pos") + 1).alias("seqid"),
+        "event_ts",
+        "size",
+        F.col("raw").alias("frame"),
+    )
+
+
+def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed frames, some with a damaged checksum."""
+    placed = rewrite_positions(frames_of_events(spark, sf_dir), ["seqid"], block_of(F.col("seqid"), SPAN))
+    damaged = (F.col("seqid") - 1) % 503 == 499
+    return placed.withColumn("crc", F.when(damaged, F.col("crc") + 1).otherwise(F.col("crc")))
