@@ -173,9 +173,10 @@ def greedy_pack(
                 [{"hi_cum": -1, "hi_row": -1, "bytes": int(t.cum[t.n] - t.cum[done]), "rows": t.n - done, "cuts": len(cuts)}]
             )
         out["first_run"], out["last_run"] = int(b.run[0]), int(b.run[-1])
-        for k in keys:
-            out[k] = table[k][0].as_py()
-        return pa.Table.from_pandas(out[summary_names], schema=None, preserve_index=False)
+        found = pa.Table.from_pandas(out, preserve_index=False)
+        for k in keys:  # in the key's own type
+            found = found.append_column(k, pa.repeat(table[k][0], len(out)))
+        return found.select(summary_names)
 
     summary_types = ["hi_cum bigint", "hi_row bigint", "bytes bigint", "rows bigint", "cuts bigint", "first_run bigint", "last_run bigint"]
     summary_names = keys + [t.split()[0] for t in summary_types]
