@@ -17,6 +17,10 @@ Rules = Mapping[str, Sequence[str]]
 ROW_LIKE_EXCLUDED = ("QUERY", "TABLE_MAP", "XID", "ROTATE", "FORMAT")
 
 
+# sets standalone events of one epoch apart
+ALONE_KEY = ("alone_file", "alone_pos")
+
+
 def row_like(kind: Column) -> Column:
     return ~kind.isin(*ROW_LIKE_EXCLUDED)
 
@@ -103,9 +107,30 @@ def record_headers(
     that of the event that made the record go out. Standalone events have part -1. Parts of a
     still open transaction are out as soon as they are cut; the rest waits for the commit.
     """
+    return headers_of(record_parts(events, rules, max_size, scope, span), scope).drop(*ALONE_KEY)
+
+
+def record_parts(
+    events: DataFrame,
+    rules: Rules,
+    max_size: int,
+    scope: Sequence[str] = ("source_id",),
+    span: int = BLOCK_SPAN,
+) -> DataFrame:
+    """Every event that belongs to a record, under its record's key (scope, epoch, part, alone_file,
+    alone_pos). Narrow: no payload."""
     scope = list(scope)
     routed = route_events(events.select(*_routing_columns(events, scope)), rules, scope, span)
-    return _headers(_parts_of(routed, scope, max_size), scope)
+    parts = _parts_of(routed, scope, max_size)
+    # a standalone event shares (epoch, part) with its neighbours: its position sets it apart
+    alone = F.col("alone")
+    return parts.withColumns(
+        {
+            "part": F.when(alone, -1).otherwise(F.col("part")),
+            "alone_file": F.when(alone, F.col("log_file")).otherwise(""),
+            "alone_pos": F.when(alone, F.col("log_pos")).otherwise(-1),
+        }
+    ).drop("block")
 
 
 def _parts_of(routed: DataFrame, scope: list[str], max_size: int) -> DataFrame:
@@ -138,14 +163,10 @@ def _parts_of(routed: DataFrame, scope: list[str], max_size: int) -> DataFrame:
     )
 
 
-def _headers(parts: DataFrame, scope: list[str], payload: str | None = None) -> DataFrame:
-    # a standalone event shares (epoch, part) with its neighbours: its position sets it apart
-    keyed = parts.withColumns(
-        {"part": F.when(F.col("alone"), -1).otherwise(F.col("part")), "alone_pos": F.when(F.col("alone"), F.col("log_pos"))}
-    )
-    record = [*scope, "epoch", "part", "alone_pos"]
-    collected = {} if payload is None else {"data": F.collect_list(F.struct("log_pos", payload))}
-    by_file = keyed.groupBy(*record, "log_file").agg(
+def headers_of(parts: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataFrame:
+    """Records that go out, from :func:`record_parts`, with their key."""
+    record = [*scope, "epoch", "part", *ALONE_KEY]
+    by_file = parts.groupBy(*record, "log_file").agg(
         F.count("*").alias("n_events"),
         F.sum("size").alias("bytes"),
         F.min("log_pos").alias("first_pos"),
@@ -153,11 +174,8 @@ def _headers(parts: DataFrame, scope: list[str], payload: str | None = None) ->
         F.max("event_ts").alias("event_ts"),
         F.max(F.col("is_commit").cast("int")).alias("commit"),
         F.max((F.col("is_cut") | F.col("alone")).cast("int")).alias("out"),
-        *[c.alias(n) for n, c in collected.items()],
     )
-    # standalone events of one epoch may also share a position in two files
-    by_file = by_file.withColumn("alone_file", F.when(F.col("part") == -1, F.col("log_file")))
-    whole = by_file.groupBy(*record, "alone_file").agg(
+    whole = by_file.groupBy(*record).agg(
         F.sum("n_events").alias("n_events"),
         F.sum("bytes").alias("bytes"),
         F.min(position(pos="first_pos")).alias("first"),
@@ -165,19 +183,11 @@ def _headers(parts: DataFrame, scope: list[str], payload: str | None = None) ->
         F.max("event_ts").alias("event_ts"),
         F.max("commit").alias("commit"),
         F.max("out").alias("out"),
-        *[F.collect_list(F.struct("log_file", n)).alias(n) for n in collected],
     )
     # cut parts are out at once; a commit sends the last part unless the transaction is empty
     emitted = (F.col("out") == 1) | ((F.col("commit") == 1) & ((F.col("part") > 0) | (F.col("n_events") >= 3)))
-    in_order = F.flatten(
-        F.transform(
-            F.sort_array("data"), lambda f: F.transform(F.array_sort(f["data"]), lambda e: e[payload or ""])
-        )
-    )
     return whole.where(emitted).select(
-        *scope,
-        "epoch",
-        "part",
+        *record,
         "n_events",
         "bytes",
         F.col("first.log_file").alias("first_file"),
@@ -186,7 +196,34 @@ def _headers(parts: DataFrame, scope: list[str], payload: str | None = None) ->
         F.col("last.log_pos").alias("log_pos"),
         "event_ts",
         (F.col("commit") == 1).alias("committed"),
-        *([in_order.alias("data")] if payload else []),
+    )
+
+
+def attach_payload(
+    headers: DataFrame,
+    parts: DataFrame,
+    events: DataFrame,
+    scope: Sequence[str] = ("source_id",),
+    payload: str = "raw",
+) -> DataFrame:
+    """Headers plus ``data``: their events' payload in order.
+
+    Headers meet the narrow event rows first; the payload is then shuffled twice, to its event and to
+    its record. A record holds at most ``max_size`` bytes plus the event that crossed the limit and what
+    its statements add, so its array is bounded.
+    """
+    record = [*scope, "epoch", "part", *ALONE_KEY]
+    place = [*scope, "log_file", "log_pos"]
+    wanted = parts.select(*record, "log_file", "log_pos").join(
+        headers.withColumn("header", F.struct(*[c for c in headers.columns if c not in record])).select(*record, "header"),
+        record,
+    )
+    data = F.transform(F.array_sort(F.collect_list(F.struct("log_file", "log_pos", payload))), lambda e: e[payload])
+    return (
+        wanted.join(events.select(*place, payload), place)
+        .groupBy(*record)
+        .agg(F.any_value("header").alias("header"), data.alias("data"))
+        .select(*record, "header.*", "data")
     )
 
 
@@ -198,9 +235,6 @@ def build_records(
     span: int = BLOCK_SPAN,
     payload: str = "raw",
 ) -> DataFrame:
-    """Record headers plus ``data``: the record's events in order. A record holds at most ``max_size``
-    bytes plus the event that crossed the limit and what its statements add, so its array is bounded."""
-    scope = list(scope)
-    routed = route_events(events.select(*_routing_columns(events, scope)), rules, scope, span)
-    parts = _parts_of(routed, scope, max_size)
-    return _headers(parts.join(events.select(*scope, "log_file", "log_pos", payload), [*scope, "log_file", "log_pos"]), scope, payload)
+    """Record headers plus ``data``, the record's events in order."""
+    parts = record_parts(events, rules, max_size, scope, span)
+    return attach_payload(headers_of(parts, scope), parts, events, scope, payload).drop(*ALONE_KEY)

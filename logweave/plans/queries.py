@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.envelope import encode_envelope, total_bytes
+from logweave.functions.envelope import total_bytes
 from logweave.functions.times import epoch_seconds
 from logweave.operators import bookkeeping, lifecycle, metrics, relay, routing, rules, segments, sequence, transactions
+from logweave.plans import collector
 from logweave.plans import fixtures as fx
-from logweave.session import checkpoint_root
+from logweave.session import checkpoint_root, cut_lineage
 from logweave.sinks.segments import read_segments, write_segments
 from logweave.sources import changelog, topic
 
@@ -224,14 +225,10 @@ def order_within_source(spark, sf):
 # ---- sequencing ----------------------------------------------------------------------------------
 
 
-def _sequenced(spark, sf):
-    headers = transactions.record_headers(fx.change_log(spark, sf), RULES, fx.MAX_SIZE, span=fx.SPAN)
-    return sequence.assign_seqid(headers, SEQ_START, span=fx.SPAN)
-
-
 @query
 def assign_seqid(spark, sf):
-    return _sequenced(spark, sf).select("source_id", "log_file", "log_pos", "n_events", "seqid")
+    numbered = collector.numbered_headers(fx.change_log(spark, sf), RULES, fx.MAX_SIZE, SEQ_START, span=fx.SPAN)
+    return numbered.select("source_id", "log_file", "log_pos", "n_events", "seqid")
 
 
 @query
@@ -247,14 +244,8 @@ def fan_in(spark, sf):
 @query
 def publish_records(spark, sf):
     """Records as envelopes on their topic partitions."""
-    log = fx.change_log(spark, sf)
-    built = transactions.build_records(log, RULES, fx.MAX_SIZE, span=fx.SPAN)
-    numbered = sequence.assign_seqid(built, SEQ_START, span=fx.SPAN)
-    key = routing.stable_key(F.col("source_id"), F.col("log_file"), F.col("log_pos"))
-    rows = routing.topic_rows(
-        numbered, F.lit("changes"), encode_envelope(F.col("seqid"), F.col("data")), fx.PARTITIONS, key, keep=["seqid"]
-    )
-    return rows.select("topic", "key", "value", "partition", "seqid")
+    records = collector.numbered_records(fx.change_log(spark, sf), RULES, fx.MAX_SIZE, SEQ_START, span=fx.SPAN)
+    return collector.record_topic_rows(records, "changes", fx.PARTITIONS)
 
 
 def _good(spark, sf, variant, start=1):
@@ -394,10 +385,9 @@ def republish(spark, sf):
 
 @query
 def segment_log(spark, sf):
-    numbered = sequence.assign_seqid(
-        transactions.record_headers(fx.change_log(spark, sf), RULES, fx.MAX_SIZE, span=fx.SPAN), 1, span=fx.SPAN
-    )
-    return segments.segment_log(numbered, SEGMENT_LIMIT).select("seqid", "bytes", "committed", "segment_id")
+    numbered = collector.numbered_headers(fx.change_log(spark, sf), RULES, fx.MAX_SIZE, span=fx.SPAN)
+    records = cut_lineage(numbered.select("seqid", "bytes", "committed"))
+    return segments.segment_log(records, SEGMENT_LIMIT)
 
 
 @query
