@@ -393,4 +393,21 @@ WITH {LOG}, latest AS (
   SELECT source_id, schema_name, table_name, log_file, log_pos, kind, size FROM log
   QUALIFY row_number() OVER (PARTITION BY source_id, schema_name, table_name ORDER BY log_file DESC, log_pos DESC) = 1)
 SELECT * FROM latest WHERE kind <> 'XID'""",
+    "stream_records": f"""
+WITH RECURSIVE {RECORDS}, {numbered(1)}
+SELECT source_id, log_file, log_pos, n_events, bytes, committed, seqid, payload FROM numbered""",
+    "stream_segments": f"""
+WITH RECURSIVE {LOG},
+released AS (SELECT log_pos AS d, log_pos + 1 AS seqid, length(raw) AS size, kind = 'XID' AS committed, raw FROM log WHERE log_pos < 6006),
+seg_fold AS (
+  SELECT d, 120 + size AS log_pos, CAST(0 AS BIGINT) AS segment_id, committed AND 120 + size > 4000 AS is_cut FROM released WHERE d = 0
+  UNION ALL
+  SELECT r.d, CASE WHEN f.is_cut THEN 120 ELSE f.log_pos END + r.size, f.segment_id + CAST(f.is_cut AS BIGINT),
+         r.committed AND CASE WHEN f.is_cut THEN 120 ELSE f.log_pos END + r.size > 4000
+  FROM seg_fold f JOIN released r ON r.d = f.d + 1)
+SELECT segment_id, seqid, size, log_pos, CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) AS crc, raw AS frame
+FROM released JOIN seg_fold USING (d)""",
+    "stream_relay": f"""
+WITH keyed AS (SELECT 'k' || event_id AS key, props AS value FROM events),
+{partition_of("key", "keyed", 6, "key, value")} SELECT 'changes' AS topic, key, value, partition FROM placed""",
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.envelope import total_bytes
+from logweave.functions.envelope import encode_envelope, total_bytes
 from logweave.functions.times import epoch_seconds
 from logweave.operators import bookkeeping, lifecycle, metrics, relay, routing, rules, segments, sequence, transactions
 from logweave.plans import collector
@@ -15,6 +16,10 @@ from logweave.plans import fixtures as fx
 from logweave.session import checkpoint_root, cut_lineage
 from logweave.sinks.segments import read_segments, write_segments
 from logweave.sources import changelog, topic
+from logweave.streaming.collector import collect_stream
+from logweave.streaming.relay import failover_write, pack_stream, republish_stream, retrying_write, table_writer
+from logweave.streaming.replayer import resequence_stream
+from logweave.streaming.state import BatchStore
 
 RULES = rules.parse_rules(fx.RULES)
 ORDER_RULES = rules.parse_rules(fx.ORDER_RULES)
@@ -490,3 +495,73 @@ def apply_latest(spark, sf):
     return lifecycle.apply_latest(
         rows, ["source_id", "schema_name", "table_name"], ["log_file", "log_pos"], F.col("kind") == "XID"
     )
+
+
+# ---- streams -------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    schema = fx.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _store(spark, name):
+    return BatchStore(f"{checkpoint_root(spark)}/streams/{name}-{uuid.uuid4().hex}")
+
+
+def _finish(writer):
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+@query
+def stream_records(spark, sf):
+    """The collector as a stream over the event table."""
+    store = _store(spark, "records")
+    _finish(collect_stream(fx.change_log_of(_event_stream(spark, sf)), RULES, fx.MAX_SIZE, store, span=fx.SPAN))
+    return store.read(spark, "records").select(
+        "source_id", "log_file", "log_pos", "n_events", "bytes", "committed", "seqid",
+        F.concat_ws("|", F.transform("data", lambda b: b.cast("string"))).alias("payload"),
+    )
+
+
+@query
+def stream_segments(spark, sf):
+    """The replayer as a stream: out-of-order messages with a gap, released, cut and placed."""
+    events = _event_stream(spark, sf).where(F.col("event_id") % 6007 != 6006)  # the gap
+    messages = events.select(
+        F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
+        encode_envelope(F.col("event_id") + 1, F.array(F.col("props").cast("binary"))).cast("binary").alias("value"),
+        (F.col("event_id") % fx.PARTITIONS).cast("int").alias("partition"),
+        ((F.col("event_id") * 48271) % 2147483647).alias("offset"),
+        (F.col("event_type") == "purchase").alias("committed"),
+    )
+    store = _store(spark, "segments")
+    _finish(resequence_stream(messages, store, segment_limit=SEGMENT_LIMIT))
+    return store.read(spark, "segments").select(
+        "segment_id", "seqid", "size", "log_pos", "crc", F.col("frame").cast("string").alias("frame")
+    )
+
+
+@query
+def stream_relay(spark, sf):
+    """Topic to packs, over the hop with retries and a second way, and back to topic rows."""
+    store = _store(spark, "relay")
+    stream = _event_stream(spark, sf).select(
+        F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
+        F.col("props").cast("binary").alias("value"),
+        F.lit("changes").alias("topic"),
+        (F.col("event_id") % fx.PARTITIONS).cast("int").alias("partition"),
+        F.floor(F.col("event_id") / fx.PARTITIONS).cast("bigint").alias("offset"),
+        "ts",
+    )
+    hop = failover_write(table_writer(store, "packs"), [table_writer(store, "packs-second-way")])
+    _finish(
+        pack_stream(
+            stream, retrying_write(hop, 3, 1.0), store.path("checkpoint-out"), PACK_COUNT, PACK_SIZE, PACK_TICK, span=fx.SPAN
+        )
+    )
+    schema = store.read(spark, "packs").drop("batch").schema
+    arrived = spark.readStream.schema(schema).parquet(store.path("packs") + "/batch=*")
+    _finish(republish_stream(arrived, table_writer(store, "topic"), store.path("checkpoint-in"), 6))
+    return store.read(spark, "topic").select("topic", "key", _text("value"), "partition")
