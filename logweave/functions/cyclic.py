@@ -13,7 +13,7 @@ CYCLE = MAX_SEQID - MIN_SEQID + 1
 
 
 def cyclic_distance(seqid: Column, start: Column | int) -> Column:
-    """Steps from ``start`` forward to ``seqid``; half a cycle or more means "behind"."""
+    """Steps from ``start`` forward to ``seqid``; more than half a cycle means "behind"."""
     start = F.lit(start).cast("bigint") if isinstance(start, int) else start
     return F.pmod(seqid - start, F.lit(CYCLE))
 

@@ -19,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NO_LIMIT = np.iinfo(np.int64).max // 4
+STEP_COLUMNS = ("hi_cum", "hi_row", "bytes", "rows", "cuts")
 
 
 class _Block:
@@ -71,15 +71,13 @@ class _Block:
         edge = np.flatnonzero((last[1:] != last[:-1]) | (count[1:] != count[:-1]))
         edge = np.append(edge, reach - 1) if reach else edge
         closing = self.cuttable[last[edge]]
-        return pd.DataFrame(
-            {
-                "hi_cum": self.cut_cum[edge],
-                "hi_row": self.cuttable[edge],
-                "bytes": self.cum[self.n] - self.cum[closing + 1],
-                "rows": self.n - closing - 1,
-                "cuts": count[edge],
-            }
-        )
+        return {
+            "hi_cum": self.cut_cum[edge],
+            "hi_row": self.cuttable[edge],
+            "bytes": self.cum[self.n] - self.cum[closing + 1],
+            "rows": self.n - closing - 1,
+            "cuts": count[edge],
+        }
 
     def cut_rows(self, entry_bytes: int, entry_rows: int) -> np.ndarray:
         """Flags of the rows after which a pack is cut by a limit."""
@@ -159,57 +157,55 @@ def greedy_pack(
     def summarise(table: pa.Table) -> pa.Table:
         table = _sorted(table, order)
         b = _block(table, max_size, max_count)
-        single = len(b.run_start) == 1
-        if single:
-            out = b.steps()
-            whole = {"hi_cum": -1, "hi_row": -1, "bytes": int(b.cum[b.n]), "rows": b.n, "cuts": 0}
-            out = pd.concat([out, pd.DataFrame([whole])], ignore_index=True)
+        # the last run from a fresh start; with a single run that is the whole block without a cut
+        if len(b.run_start) == 1:
+            steps, whole = b.steps(), (int(b.cum[b.n]), b.n, 0)
         else:
-            tail = table.slice(int(b.run_start[-1]))
-            t = _block(tail, max_size, max_count)
-            cuts = np.flatnonzero(t.cut_rows(0, 0))
+            tail = _block(table.slice(int(b.run_start[-1])), max_size, max_count)
+            cuts = np.flatnonzero(tail.cut_rows(0, 0))
             done = int(cuts[-1]) + 1 if len(cuts) else 0
-            out = pd.DataFrame(
-                [{"hi_cum": -1, "hi_row": -1, "bytes": int(t.cum[t.n] - t.cum[done]), "rows": t.n - done, "cuts": len(cuts)}]
-            )
-        out["first_run"], out["last_run"] = int(b.run[0]), int(b.run[-1])
-        found = pa.Table.from_pandas(out, preserve_index=False)
-        for k in keys:  # in the key's own type
-            found = found.append_column(k, pa.repeat(table[k][0], len(out)))
-        return found.select(summary_names)
-
-    summary_types = ["hi_cum bigint", "hi_row bigint", "bytes bigint", "rows bigint", "cuts bigint", "first_run bigint", "last_run bigint"]
-    summary_names = keys + [t.split()[0] for t in summary_types]
+            steps, whole = {}, (int(tail.cum[tail.n] - tail.cum[done]), tail.n - done, len(cuts))
+        columns = dict(zip(STEP_COLUMNS, (-1, -1, *whole)))
+        found = {c: np.append(steps.get(c, np.array([], np.int64)), v).astype(np.int64) for c, v in columns.items()}
+        rows = len(found["hi_cum"])
+        arrays = [pa.repeat(table[k][0], rows) for k in keys]  # in the key's own type
+        arrays += [pa.array(found[c]) for c in STEP_COLUMNS]
+        arrays += [pa.repeat(pa.scalar(int(r), pa.int64()), rows) for r in (b.run[0], b.run[-1])]
+        return pa.Table.from_arrays(arrays, names=summary_names)
+
+    summary_names = keys + [*STEP_COLUMNS, "first_run", "last_run"]
+    summary_types = [f"{c} bigint" for c in summary_names[len(keys) :]]
     # the same columns as in the cutting step below, so that Spark can reuse the shuffle underneath
     summaries = rows.groupBy(*keys).applyInArrow(summarise, ", ".join(key_types + summary_types))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(block + ["hi_row"], kind="stable")
-        entries = []
-        held = {"run": None, "bytes": 0, "rows": 0, "cuts": 0}
-        for _, b in pdf.groupby(block, sort=False):
-            first, last = int(b["first_run"].iat[0]), int(b["last_run"].iat[0])
-            if held["run"] != first:
-                held = {"run": first, "bytes": 0, "rows": 0, "cuts": 0}
-            entries.append([b[k].iat[0] for k in keys] + [held["bytes"], held["rows"], held["cuts"]])
-            whole = b.iloc[0]
-            if first != last:
-                held = {"run": last, "bytes": int(whole["bytes"]), "rows": int(whole["rows"]), "cuts": int(whole["cuts"])}
+    def walk(summary: pa.Table) -> pa.Table:
+        summary = _sorted(summary, [*block, "hi_row"])
+        at = {c: summary[c].to_numpy() for c in summary_names[len(keys) :]}
+        heads = np.flatnonzero(at["hi_row"] == -1)  # each block's first row
+        tails = np.append(heads[1:], summary.num_rows)
+        entries = np.zeros((len(heads), 3), dtype=np.int64)
+        run, held, count, cuts = None, 0, 0, 0
+        for i, (head, tail) in enumerate(zip(heads.tolist(), tails.tolist())):
+            if run != at["first_run"][head]:
+                held, count, cuts = 0, 0, 0
+            entries[i] = held, count, cuts
+            run = at["last_run"][head]
+            if at["first_run"][head] != run:
+                held, count, cuts = at["bytes"][head], at["rows"][head], at["cuts"][head]
                 continue
-            steps = b.iloc[1:]
-            at = min(
-                np.searchsorted(steps["hi_cum"].to_numpy(), max_size - held["bytes"], side="right"),
-                np.searchsorted(steps["hi_row"].to_numpy(), max_count - held["rows"], side="left"),
+            step = head + 1 + min(
+                np.searchsorted(at["hi_cum"][head + 1 : tail], max_size - held, side="right"),
+                np.searchsorted(at["hi_row"][head + 1 : tail], max_count - count, side="left"),
             )
-            if at < len(steps):
-                step = steps.iloc[at]
-                held = {"run": last, "bytes": int(step["bytes"]), "rows": int(step["rows"]), "cuts": held["cuts"] + int(step["cuts"])}
+            if step < tail:
+                held, count, cuts = at["bytes"][step], at["rows"][step], cuts + at["cuts"][step]
             else:
-                held = dict(held, bytes=held["bytes"] + int(whole["bytes"]), rows=held["rows"] + int(whole["rows"]))
-        return pd.DataFrame(entries, columns=keys + ["entry_bytes", "entry_rows", "entry_cuts"])
+                held, count = held + at["bytes"][head], count + at["rows"][head]
+        arrays = [summary[k].take(pa.array(heads)) for k in keys] + [pa.array(entries[:, c]) for c in range(3)]
+        return pa.Table.from_arrays(arrays, names=keys + ["entry_bytes", "entry_rows", "entry_cuts"])
 
     entry_types = ["entry_bytes bigint", "entry_rows bigint", "entry_cuts bigint"]
-    entries = summaries.groupBy(*scope).applyInPandas(walk, ", ".join(key_types + entry_types))
+    entries = summaries.groupBy(*scope).applyInArrow(walk, ", ".join(key_types + entry_types))
 
     kept = [c for c in rows.columns if c not in ("__size", "__eligible", "__run")]
     out_schema = rows.select(*kept).withColumns({"part": F.lit(0).cast("bigint"), "is_cut": F.lit(False)}).schema

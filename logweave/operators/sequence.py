@@ -66,8 +66,8 @@ def _valid(seqid: Column) -> Column:
 
 
 def _ahead(seqid: Column, start: int) -> Column:
-    """Expected id or later: less than half a cycle ahead."""
-    return _valid(seqid) & (cyclic_distance(seqid, start) < CYCLE // 2)
+    """Expected id or later: at most half a cycle ahead."""
+    return _valid(seqid) & (cyclic_distance(seqid, start) <= CYCLE // 2)
 
 
 def _winners(messages: DataFrame, start: int) -> DataFrame:

@@ -131,11 +131,11 @@ topic AS (
 
 
 def winners(start: int) -> str:
-    """One copy per id that is less than half a cycle ahead, and the first id that is missing."""
+    """One copy per id that is at most half a cycle ahead, and the first id that is missing."""
     return f"""
 ahead AS (
   SELECT *, (seqid - {start} + 1000000000000) % 1000000000000 AS d FROM topic
-  WHERE seqid IS NOT NULL AND (seqid - {start} + 1000000000000) % 1000000000000 < 500000000000),
+  WHERE seqid IS NOT NULL AND (seqid - {start} + 1000000000000) % 1000000000000 <= 500000000000),
 winners AS (SELECT * FROM ahead QUALIFY row_number() OVER (PARTITION BY d ORDER BY partition, "offset") = 1),
 expected AS (
   SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM winners WHERE d = 0) THEN 0
