@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators.scan import block_of, dense_rank_rows
-from logweave.operators.sequence import ID_SPAN
+from logweave.operators.scan import ROW_SPAN, block_of, dense_rank_rows
 
 
 def last_position(records: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataFrame:
@@ -39,7 +38,7 @@ def offset_book(processed: DataFrame, order: str = "ord") -> DataFrame:
     ).select("offsets", F.col("latest.seqid").alias("seqid"))
 
 
-def contiguous_watermark(done: DataFrame, start: Column | int = 0, span: int = ID_SPAN) -> DataFrame:
+def contiguous_watermark(done: DataFrame, start: Column | int = 0, span: int = ROW_SPAN) -> DataFrame:
     """Highest offset per partition up to which every offset since ``start`` is done.
 
     ``start`` may be a column that is constant per partition. Partitions whose start has not

@@ -17,12 +17,13 @@ def throughput(df: DataFrame, ts: str, interval_seconds: int, scope: Sequence[st
     counts = df.groupBy(*scope, F.floor(epoch_seconds(F.col(ts)) / interval_seconds).cast("bigint").alias("slot")).agg(
         F.count("*").alias("n")
     )
-    # the span is cut into days before it is spread out, so that no row explodes into the whole history
+    # first into days, then days over the cluster, so that no task spells out the whole history
     slots_per_day = max(86400 // interval_seconds, 1)
     bounds = counts.groupBy(*scope).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     day = lambda c: F.floor(F.col(c) / slots_per_day).cast("bigint")
     calendar = (
         bounds.withColumn("day", F.explode(F.sequence(day("lo"), day("hi"))))
+        .repartition(*scope, "day")
         .withColumn(
             "slot",
             F.explode(

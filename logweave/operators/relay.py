@@ -12,7 +12,7 @@ from logweave.functions.envelope import decode_envelope, decode_pack, encode_pac
 from logweave.functions.times import epoch_seconds
 from logweave.operators.greedy import greedy_pack
 from logweave.operators.routing import topic_rows
-from logweave.operators.scan import BLOCK_SPAN, Scan, block_of, prefix_scan
+from logweave.operators.scan import ROW_SPAN, Scan, block_of, prefix_scan
 
 
 def override_topic(default: str | None, topic: Column) -> Column:
@@ -21,7 +21,7 @@ def override_topic(default: str | None, topic: Column) -> Column:
 
 
 def pack_parts(
-    messages: DataFrame, max_count: int, max_size: int, tick_seconds: int, span: int = BLOCK_SPAN
+    messages: DataFrame, max_count: int, max_size: int, tick_seconds: int, span: int = ROW_SPAN
 ) -> DataFrame:
     """Which pack every message goes into: (partition, offset, bytes, tick, part), without payload.
 
@@ -57,7 +57,7 @@ def pack_messages(
     max_size: int,
     tick_seconds: int,
     topic: str | None = None,
-    span: int = BLOCK_SPAN,
+    span: int = ROW_SPAN,
 ) -> DataFrame:
     """Packs as JSON with their extent. The payload joins its pack number on (partition, offset) and never
     enters Python; a pack is bounded by its limits."""

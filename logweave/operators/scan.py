@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Positions per block. Positions are unique, so a block never has more rows than this; with byte
-# positions it also bounds the bytes of a block to this plus one event.
+# Positions per block. Positions are unique, so a block never has more rows than its span.
+# Byte positions: 64 MiB of log and one event at most; the smallest event has 19 bytes.
 BLOCK_SPAN = 1 << 26
+# Row numbers, offsets and ids: about a million rows.
+ROW_SPAN = 1 << 20
 
 
 @dataclass(frozen=True)

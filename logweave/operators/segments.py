@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.greedy import greedy_pack
-from logweave.operators.scan import Scan, block_of, prefix_scan
-from logweave.operators.sequence import ID_SPAN
+from logweave.operators.scan import ROW_SPAN, Scan, block_of, prefix_scan
 
 # Fixed values of the segment layout.
 HEAD_BYTES = 4
@@ -46,7 +45,7 @@ def segment_log(
     size: str = "bytes",
     committed: str = "committed",
     scope: Sequence[str] = (),
-    span: int = ID_SPAN,
+    span: int = ROW_SPAN,
 ) -> DataFrame:
     """Add ``segment_id``: a new segment starts once the file is over ``limit`` bytes and the record just
     written ended a transaction."""
@@ -95,7 +94,7 @@ def segment_manifest(frames: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
     # "next" is the latest one seen when running over the numbers downwards
     backwards = per_segment.withColumns(
-        {"__down": -F.col("segment_id"), "__block": F.floor(-F.col("segment_id") / ID_SPAN).cast("bigint")}
+        {"__down": -F.col("segment_id"), "__block": F.floor(-F.col("segment_id") / ROW_SPAN).cast("bigint")}
     )
     chained = prefix_scan(
         backwards, scope, [["__block"]], ["__down"], [Scan("next_segment", F.col("segment_id"), "last")]

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions.cyclic import CYCLE, MAX_SEQID, MIN_SEQID, cyclic_distance, seqid_at
 from logweave.functions.times import epoch_seconds
-from logweave.operators.scan import BLOCK_SPAN, Scan, block_of, dense_rank_rows, prefix_scan
+from logweave.operators.scan import BLOCK_SPAN, ROW_SPAN, Scan, block_of, dense_rank_rows, prefix_scan
 
 SLOT_SECONDS = 60
 SLOTS_PER_HOUR = 3600 // SLOT_SECONDS
-ID_SPAN = 1 << 20  # ids per block when running over ids: at most this many rows per block
 
 
 def assign_seqid(
@@ -95,7 +94,7 @@ def drop_stale(messages: DataFrame, start: int) -> DataFrame:
     return messages.join(_winners(messages, start).drop("d"), ["partition", "offset"], "left_semi")
 
 
-def resequence(messages: DataFrame, start: int = MIN_SEQID, span: int = ID_SPAN) -> DataFrame:
+def resequence(messages: DataFrame, start: int = MIN_SEQID, span: int = ROW_SPAN) -> DataFrame:
     """Messages that can go out now, with ``d`` as their order: from ``start`` up to the first gap.
 
     Ids are decided on (id, partition, offset) alone; the payload is joined once, on its unique position.
@@ -104,7 +103,7 @@ def resequence(messages: DataFrame, start: int = MIN_SEQID, span: int = ID_SPAN)
     return messages.join(released, ["partition", "offset"])
 
 
-def message_status(messages: DataFrame, start: int, window: int, span: int = ID_SPAN) -> DataFrame:
+def message_status(messages: DataFrame, start: int, window: int, span: int = ROW_SPAN) -> DataFrame:
     """``status`` per message: released, pending (inside the window after the first gap), blocked (beyond
     it), duplicate (second copy or behind the expected id) or invalid."""
     ranked = _ranked(messages, start, span)
@@ -120,7 +119,7 @@ def message_status(messages: DataFrame, start: int, window: int, span: int = ID_
     return messages.join(marked, ["partition", "offset"], "left").withColumn("status", status).drop("__status")
 
 
-def gap_report(messages: DataFrame, start: int, span: int = ID_SPAN) -> DataFrame:
+def gap_report(messages: DataFrame, start: int, span: int = ROW_SPAN) -> DataFrame:
     """Missing id ranges (first_missing, last_missing, missing) between the ids that arrived."""
     distances = (
         messages.where(_ahead(F.col("seqid"), start))

@@ -34,7 +34,7 @@ def assemble_transactions(
 ) -> DataFrame:
     """One row per committed transaction with something to replicate: (scope, epoch, n_events, bytes,
     first/last position). Counts and extremes only, so partial aggregation absorbs a huge transaction."""
-    routed = route_events(events.select(*_routing_columns(events, scope)), rules, scope, span)
+    routed = route_events(_for_routing(events, scope), rules, scope, span)
     inside = routed.where(F.col("action").isin("tx", "commit"))
     # first inside the blocks, where the rows already are, then across them
     local = inside.groupBy(*scope, "log_file", "block", "epoch").agg(
@@ -78,13 +78,15 @@ def split_transactions(
     """Events of transactions with ``part`` and ``is_cut``: a part closes after the row event that takes
     it over ``max_size`` bytes; the commit goes with the last part. Carries no payload."""
     scope = list(scope)
-    routed = route_events(events.select(*_routing_columns(events, scope)), rules, scope, span)
+    routed = route_events(_for_routing(events, scope), rules, scope, span)
     return _parts_of(routed, scope, max_size).where(~F.col("alone")).drop("alone", "event_ts", "block")
 
 
-def _routing_columns(events: DataFrame, scope: Sequence[str]) -> list[str]:
+def _for_routing(events: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """What routing looks at: no payload, and no events that only describe the files."""
     wanted = ["log_file", "log_pos", "event_ts", "kind", "schema_name", "table_name", "query", "size"]
-    return list(scope) + [c for c in wanted if c in events.columns and c not in scope]
+    columns = [*scope, *[c for c in wanted if c not in scope]]
+    return events.where(~F.col("kind").isin("ROTATE", "FORMAT")).select(*columns)
 
 
 def standalone_events(
@@ -120,7 +122,7 @@ def record_parts(
     """Every event that belongs to a record, under its record's key (scope, epoch, part, alone_file,
     alone_pos). Narrow: no payload."""
     scope = list(scope)
-    routed = route_events(events.select(*_routing_columns(events, scope)), rules, scope, span)
+    routed = route_events(_for_routing(events, scope), rules, scope, span)
     parts = _parts_of(routed, scope, max_size)
     # a standalone event shares (epoch, part) with its neighbours: its position sets it apart
     alone = F.col("alone")

@@ -237,7 +237,7 @@ WITH {LOG} SELECT source_id, log_pos, schema_name, table_name FROM log WHERE kin
     "route_kinds": f"WITH {ROUTED} SELECT source_id, log_pos, kind, action FROM routed",
     "override_topic": "SELECT event_id, event_type AS kept, 'archive' AS replaced FROM events",
     "drop_bad_envelopes": f"""
-WITH {topic("dups")} SELECT partition, "offset", key, seqid, CASE WHEN junk THEN 0 ELSE 1 END AS events,
+WITH {topic("dups")} SELECT partition, "offset", key, coalesce(seqid, 0) AS seqid, CASE WHEN junk THEN 0 ELSE 1 END AS events,
   CASE WHEN junk THEN 'dead' ELSE 'good' END AS output FROM topic""",
     "segments_matching": f"""
 WITH {LOG}, names AS (
@@ -271,7 +271,7 @@ WITH {LOG}, saved AS (SELECT source_id, max(log_pos) AS p FROM log
 SELECT source_id, log_file, log_pos, kind FROM log LEFT JOIN saved USING (source_id) WHERE p IS NULL OR log_pos > p""",
     "read_from_offsets": f"""
 WITH {topic("dups")}, saved AS (SELECT partition, max("offset") // 2 AS p FROM topic WHERE partition < 2 GROUP BY 1)
-SELECT partition, "offset", key, seqid FROM topic LEFT JOIN saved USING (partition) WHERE "offset" >= coalesce(p, 0)""",
+SELECT partition, "offset", key, coalesce(seqid, 0) AS seqid FROM topic LEFT JOIN saved USING (partition) WHERE "offset" >= coalesce(p, 0)""",
     "partition_stream": f"""WITH {topic("dups")} SELECT partition, "offset", key FROM topic""",
     "order_within_source": f"WITH {LOG} SELECT source_id, log_file, log_pos, kind FROM log",
     "assign_seqid": f"""
@@ -299,7 +299,7 @@ SELECT seqid, w.d, partition, "offset", key FROM winners w, expected e WHERE w.d
     "drop_stale": f"""WITH {topic("dups")}, {winners(501)} SELECT seqid, partition, "offset", key FROM winners""",
     "pending_status": f"""
 WITH {topic("dups")}, {winners(501)}
-SELECT t.partition, t."offset", t.seqid,
+SELECT t.partition, t."offset", coalesce(t.seqid, 0) AS seqid,
   CASE WHEN t.seqid IS NULL THEN 'invalid' WHEN w.d IS NULL THEN 'duplicate' WHEN w.d < e.d THEN 'released'
        WHEN w.d < e.d + 50 THEN 'pending' ELSE 'blocked' END AS status
 FROM topic t CROSS JOIN expected e LEFT JOIN winners w ON w.partition = t.partition AND w."offset" = t."offset" """,
@@ -364,7 +364,7 @@ WITH {FRAMES}, m AS (
   SELECT segment_id, count(*) AS frames, CAST(sum(size) AS BIGINT) AS bytes, min(seqid) AS first_seqid, max(seqid) AS last_seqid,
          min(epoch_us(event_ts)) // 1000000 AS first_ts, max(epoch_us(event_ts)) // 1000000 AS last_ts FROM frames GROUP BY 1),
 chained AS (SELECT *, lead(segment_id) OVER (ORDER BY segment_id) AS next_segment FROM m)
-SELECT *, 120 + bytes + coalesce(31 + length('binlog-' || next_segment || '.log'), 0) AS file_bytes FROM chained""",
+SELECT * REPLACE (coalesce(next_segment, -1) AS next_segment), 120 + bytes + coalesce(31 + length('binlog-' || next_segment || '.log'), 0) AS file_bytes FROM chained""",
     "write_segments_table": f"""
 WITH {FRAMES} SELECT segment_id, seqid, size, log_pos,
   CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) + CAST(damaged AS INT) AS crc FROM frames WHERE segment_id >= 1""",

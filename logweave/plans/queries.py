@@ -103,7 +103,7 @@ def drop_bad_envelopes(spark, sf):
     good, dead = relay.split_bad_envelopes(fx.topic_messages(spark, sf, "dups"))
     columns = ["partition", "offset", "key"]
     return good.select(*columns, "seqid", F.size("data").alias("events"), F.lit("good").alias("output")).unionByName(
-        dead.select(*columns, F.lit(None).cast("bigint").alias("seqid"), F.lit(0).alias("events"), F.lit("dead").alias("output"))
+        dead.select(*columns, F.lit(0).cast("bigint").alias("seqid"), F.lit(0).alias("events"), F.lit("dead").alias("output"))
     )
 
 
@@ -213,7 +213,8 @@ def read_from_offsets(spark, sf):
     saved = messages.where(F.col("partition") < 2).groupBy("partition").agg(
         F.floor(F.max("offset") / 2).cast("bigint").alias("offset")
     )
-    return topic.read_from_offsets(messages, saved).select("partition", "offset", "key", "seqid")
+    read = topic.read_from_offsets(messages, saved)
+    return read.select("partition", "offset", "key", F.coalesce("seqid", F.lit(0)).alias("seqid"))
 
 
 @query
@@ -281,7 +282,8 @@ def drop_stale(spark, sf):
 @query
 def pending_status(spark, sf):
     decoded = relay.decode_messages(fx.topic_messages(spark, sf, "dups"))
-    return sequence.message_status(decoded, fx.STALE_START, WINDOW).select("partition", "offset", "seqid", "status")
+    marked = sequence.message_status(decoded, fx.STALE_START, WINDOW)
+    return marked.select("partition", "offset", F.coalesce("seqid", F.lit(0)).alias("seqid"), "status")
 
 
 @query
@@ -423,7 +425,11 @@ def check_on_read(spark, sf):
 def segment_manifest(spark, sf):
     manifest = segments.segment_manifest(fx.segment_frames(spark, sf))
     return manifest.withColumns(
-        {"first_ts": epoch_seconds(F.col("first_ts")), "last_ts": epoch_seconds(F.col("last_ts"))}
+        {
+            "first_ts": epoch_seconds(F.col("first_ts")),
+            "last_ts": epoch_seconds(F.col("last_ts")),
+            "next_segment": F.coalesce("next_segment", F.lit(-1)),
+        }
     )
 
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from logweave.operators.segments import HEAD_BYTES, SEGMENT_NAME_PATTERN, segment_number
 
 # Fixed format: little-endian header of ts, type, server id, size, end position, flags; CRC32 last.
-FRAME_HEADER = struct.Struct("<IBIIIH")
-CHECKSUM = struct.Struct("<I")
+FRAME_HEADER = "<IBIIIH"
+FRAME_HEADER_BYTES = struct.calcsize(FRAME_HEADER)
+CHECKSUM = "<I"
+CHECKSUM_BYTES = struct.calcsize(CHECKSUM)
 
 FRAME_SCHEMA = (
     "segment_file string, segment_id bigint, idx bigint, begin bigint, log_pos bigint, size bigint, "
@@ -26,13 +28,13 @@ def split_frames(content: bytes) -> Iterator[tuple]:
     """(begin, end, size, ts, type, body, crc, crc_ok, complete); a torn tail is one incomplete frame."""
     at = HEAD_BYTES
     while at < len(content):
-        fits = at + FRAME_HEADER.size <= len(content)
-        ts, kind, _, size, _, _ = FRAME_HEADER.unpack_from(content, at) if fits else (0, 0, 0, 0, 0, 0)
-        if size < FRAME_HEADER.size + CHECKSUM.size or at + size > len(content):
+        fits = at + FRAME_HEADER_BYTES <= len(content)
+        ts, kind, _, size, _, _ = struct.unpack_from(FRAME_HEADER, content, at) if fits else (0, 0, 0, 0, 0, 0)
+        if size < FRAME_HEADER_BYTES + CHECKSUM_BYTES or at + size > len(content):
             yield at, len(content), len(content) - at, ts, kind, content[at:], 0, False, False
             return
-        body = content[at : at + size - CHECKSUM.size]
-        (crc,) = CHECKSUM.unpack_from(content, at + size - CHECKSUM.size)
+        body = content[at : at + size - CHECKSUM_BYTES]
+        (crc,) = struct.unpack_from(CHECKSUM, content, at + size - CHECKSUM_BYTES)
         yield at, at + size, size, ts, kind, body, crc, zlib.crc32(body) == crc, True
         at += size
 

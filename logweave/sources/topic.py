@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.operators.relay import decode_messages
+from logweave.operators.small import join_small
 
 
 def starting_offsets(topic: str, saved: Mapping[int, int], partitions: int) -> str:
@@ -38,7 +39,7 @@ def kafka_stream(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
 def read_from_offsets(topic: DataFrame, offsets: DataFrame) -> DataFrame:
     """Messages from each partition's saved offset on (inclusive), or from its start, decoded."""
     saved = offsets.select("partition", F.col("offset").alias("saved"))
-    wanted = topic.join(saved, "partition", "left").where(F.col("offset") >= F.coalesce("saved", F.lit(0)))
+    wanted = join_small(topic, saved, ["partition"]).where(F.col("offset") >= F.coalesce("saved", F.lit(0)))
     return decode_messages(wanted.drop("saved"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from logweave.operators.relay import pack_messages, republish, unpack
-from logweave.operators.scan import BLOCK_SPAN
+from logweave.operators.scan import ROW_SPAN
 from logweave.streaming.state import BatchStore
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -85,7 +85,7 @@ def pack_stream(
     max_size: int,
     tick_seconds: int,
     topic: str | None = None,
-    span: int = BLOCK_SPAN,
+    span: int = ROW_SPAN,
 ) -> DataStreamWriter:
     """Sending side: each micro-batch is packed and handed to ``write``; its end flushes, like a tick."""
     return messages.writeStream.foreachBatch(

@@ -9,15 +9,15 @@ from pyspark.sql.streaming import DataStreamWriter
 from logweave.functions.cyclic import MIN_SEQID, next_seqid
 from logweave.functions.envelope import total_bytes
 from logweave.operators.relay import split_bad_envelopes
-from logweave.operators.scan import block_of
+from logweave.operators.scan import ROW_SPAN, block_of
 from logweave.operators.segments import HEADER_BYTES, rewrite_positions, segment_log
-from logweave.operators.sequence import ID_SPAN, drop_stale, resequence
+from logweave.operators.sequence import drop_stale, resequence
 from logweave.session import cut_lineage
 from logweave.streaming.state import BatchStore
 
 
 def resequence_stream(
-    messages: DataFrame, store: BatchStore, start: int = MIN_SEQID, span: int = ID_SPAN, segment_limit: int | None = None
+    messages: DataFrame, store: BatchStore, start: int = MIN_SEQID, span: int = ROW_SPAN, segment_limit: int | None = None
 ) -> DataStreamWriter:
     """A writer that releases messages in id order to ``store``'s "released", batch by batch.
 
