@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.integers import floor_div
+
 # Days after which a log is compressed and after which it is removed.
 COMPRESS_AFTER_DAYS = 1
 EXPIRE_AFTER_DAYS = 3
@@ -14,7 +16,7 @@ EXPIRE_AFTER_DAYS = 3
 
 def tier_by_age(df: DataFrame, modified: Column, now: Column, compress_after: int = COMPRESS_AFTER_DAYS, expire_after: int = EXPIRE_AFTER_DAYS) -> DataFrame:
     """Add ``tier``: hot, compressed or expired, by whole 24-hour units of age. Times are epoch seconds."""
-    age_days = F.floor((now - modified) / 86400)
+    age_days = floor_div(now - modified, 86400)
     return df.withColumn(
         "tier",
         F.when(age_days > expire_after, "expired").when(age_days > compress_after, "compressed").otherwise("hot"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.integers import floor_div
 from logweave.functions.times import epoch_seconds, rfc3339
 from logweave.operators.scan import Scan, block_of, prefix_scan
 
@@ -14,13 +15,13 @@ from logweave.operators.scan import Scan, block_of, prefix_scan
 def throughput(df: DataFrame, ts: str, interval_seconds: int, scope: Sequence[str] = ()) -> DataFrame:
     """Per interval: events so far and events per second, integer-divided; idle intervals report 0."""
     scope = list(scope)
-    counts = df.groupBy(*scope, F.floor(epoch_seconds(F.col(ts)) / interval_seconds).cast("bigint").alias("slot")).agg(
+    counts = df.groupBy(*scope, floor_div(epoch_seconds(F.col(ts)), interval_seconds).alias("slot")).agg(
         F.count("*").alias("n")
     )
     # first into days, then days over the cluster, so that no task spells out the whole history
     slots_per_day = max(86400 // interval_seconds, 1)
     bounds = counts.groupBy(*scope).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    day = lambda c: F.floor(F.col(c) / slots_per_day).cast("bigint")
+    day = lambda c: floor_div(F.col(c), slots_per_day)
     calendar = (
         bounds.withColumn("day", F.explode(F.sequence(day("lo"), day("hi"))))
         .repartition(*scope, "day")

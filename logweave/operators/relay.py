@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.cyclic import MAX_SEQID, MIN_SEQID
 from logweave.functions.envelope import decode_envelope, decode_pack, encode_pack
+from logweave.functions.integers import floor_div
 from logweave.functions.times import epoch_seconds
 from logweave.operators.greedy import greedy_pack
 from logweave.operators.routing import topic_rows
@@ -33,7 +34,7 @@ def pack_parts(
         "partition",
         "offset",
         F.octet_length("value").cast("bigint").alias("bytes"),
-        F.floor(epoch_seconds(F.col("ts")) / tick_seconds).cast("bigint").alias("ts_tick"),
+        floor_div(epoch_seconds(F.col("ts")), tick_seconds).alias("ts_tick"),
         block_of(F.col("offset"), span).alias("block"),
     )
     ticked = prefix_scan(
@@ -97,9 +98,8 @@ def republish(packs: DataFrame, partitions: int, pack: str = "pack", keep: Seque
 
 def decode_messages(messages: DataFrame) -> DataFrame:
     """Messages with ``seqid`` and ``data`` from their envelope; undecodable ones have a null seqid."""
-    return messages.withColumn("__e", decode_envelope(F.col("value"))).withColumns(
-        {"seqid": F.col("__e.seqid"), "data": F.col("__e.data")}
-    ).drop("__e")
+    # a generator of one row, so that filters on its columns do not parse the JSON again below it
+    return messages.select("*", F.inline(F.array(decode_envelope(F.col("value")))))
 
 
 def split_bad_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from logweave.functions.integers import floor_div
+
 # Positions per block. Positions are unique, so a block never has more rows than its span.
 # Byte positions: 64 MiB of log and one event at most; the smallest event has 19 bytes.
 BLOCK_SPAN = 1 << 26
@@ -35,7 +37,7 @@ class Scan:
 
 
 def block_of(position: Column, span: int = BLOCK_SPAN) -> Column:
-    return F.floor(position / F.lit(span)).cast("bigint") if span > 1 else position
+    return floor_div(position, span) if span > 1 else position
 
 
 def _order_key(order: Sequence[str]) -> Column:

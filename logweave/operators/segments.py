@@ -94,7 +94,7 @@ def segment_manifest(frames: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
     # "next" is the latest one seen when running over the numbers downwards
     backwards = per_segment.withColumns(
-        {"__down": -F.col("segment_id"), "__block": F.floor(-F.col("segment_id") / ROW_SPAN).cast("bigint")}
+        {"__down": -F.col("segment_id"), "__block": block_of(-F.col("segment_id"), ROW_SPAN)}
     )
     chained = prefix_scan(
         backwards, scope, [["__block"]], ["__down"], [Scan("next_segment", F.col("segment_id"), "last")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.cyclic import CYCLE, MAX_SEQID, MIN_SEQID, cyclic_distance, seqid_at
+from logweave.functions.integers import floor_div
 from logweave.functions.times import epoch_seconds
 from logweave.operators.scan import BLOCK_SPAN, ROW_SPAN, Scan, block_of, dense_rank_rows, prefix_scan
 
@@ -31,14 +32,14 @@ def assign_seqid(
         records.withColumns(
             {
                 "__block": block_of(F.col("log_pos"), span),
-                "__minute": F.floor(epoch_seconds(F.col("event_ts")) / SLOT_SECONDS).cast("bigint"),
+                "__minute": floor_div(epoch_seconds(F.col("event_ts")), SLOT_SECONDS),
             }
         ),
         scope,
         [["log_file", "__block"]],
         ["log_pos"],
         [Scan("__slot", F.col("__minute"), "max", inclusive=True)],
-    ).withColumn("__hour", F.floor(F.col("__slot") / SLOTS_PER_HOUR).cast("bigint"))
+    ).withColumn("__hour", floor_div(F.col("__slot"), SLOTS_PER_HOUR))
     levels = [["__hour"], ["__slot", *scope, "log_file", "__block"]]
     ranked = dense_rank_rows(slotted, [], levels, ["log_pos"], "__rn")
     return ranked.withColumn("seqid", seqid_at(start, F.col("__rn") - 1)).drop(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.cyclic import seqid_at
 from logweave.functions.envelope import encode_envelope
+from logweave.functions.integers import floor_div
 from logweave.operators.scan import block_of, dense_rank_rows
 from logweave.operators.segments import rewrite_positions
 
@@ -33,7 +34,7 @@ def change_log_of(events: DataFrame) -> DataFrame:
     query = F.when(
         F.col("event_type") == "signup", F.when(F.col("event_id") % 2 == 1, "BeGin").otherwise("begin")
     ).when(F.col("event_type") == "error", "ALTER")
-    file_no = F.floor(F.col("event_id") / FILE_EVENTS).cast("string")
+    file_no = floor_div(F.col("event_id"), FILE_EVENTS).cast("string")
     return events.select(
         (F.col("user_id") % 8).alias("source_id"),
         F.concat(F.lit("binlog-"), F.lpad(file_no, 10, "0"), F.lit(".log")).alias("log_file"),
@@ -124,7 +125,7 @@ def topic_messages(spark: SparkSession, sf_dir: str, variant: str = "dense", sta
         (F.col("event_id") % PARTITIONS).cast("int").alias("partition"),
         "arrival",
         "ts",
-        F.floor(F.col("arrival") / ARRIVAL_SPAN).cast("bigint").alias("block"),
+        floor_div(F.col("arrival"), ARRIVAL_SPAN).alias("block"),
     )
     ranked = dense_rank_rows(keyed, ["partition"], [["block"]], ["arrival"], "rn")
     return ranked.withColumn("offset", F.col("rn") - 1).drop("rn", "block")
@@ -137,7 +138,7 @@ def ordered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").cast("binary").alias("value"),
         F.lit("changes").alias("topic"),
         (F.col("event_id") % PARTITIONS).cast("int").alias("partition"),
-        F.floor(F.col("event_id") / PARTITIONS).cast("bigint").alias("offset"),
+        floor_div(F.col("event_id"), PARTITIONS).alias("offset"),
         "ts",
     )
 
@@ -149,7 +150,7 @@ def frames_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unplaced frames: thousand events per segment."""
     log = change_log(spark, sf_dir)
     return log.select(
-        F.floor(F.col("log_pos") / SEGMENT_EVENTS).cast("bigint").alias("segment_id"),
+        floor_div(F.col("log_pos"), SEGMENT_EVENTS).alias("segment_id"),
         (F.col("log_pos") + 1).alias("seqid"),
         "event_ts",
         "size",

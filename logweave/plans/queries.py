@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.envelope import encode_envelope, total_bytes
+from logweave.functions.integers import floor_div
 from logweave.functions.times import epoch_seconds
 from logweave.operators import bookkeeping, lifecycle, metrics, relay, routing, rules, segments, sequence, transactions
 from logweave.plans import collector
@@ -211,7 +212,7 @@ def read_from_offsets(spark, sf):
     """Restart of two partitions from their middle; the third starts at its beginning."""
     messages = fx.topic_messages(spark, sf, "dups")
     saved = messages.where(F.col("partition") < 2).groupBy("partition").agg(
-        F.floor(F.max("offset") / 2).cast("bigint").alias("offset")
+        floor_div(F.max("offset"), 2).alias("offset")
     )
     read = topic.read_from_offsets(messages, saved)
     return read.select("partition", "offset", "key", F.coalesce("seqid", F.lit(0)).alias("seqid"))
@@ -558,7 +559,7 @@ def stream_relay(spark, sf):
         F.col("props").cast("binary").alias("value"),
         F.lit("changes").alias("topic"),
         (F.col("event_id") % fx.PARTITIONS).cast("int").alias("partition"),
-        F.floor(F.col("event_id") / fx.PARTITIONS).cast("bigint").alias("offset"),
+        floor_div(F.col("event_id"), fx.PARTITIONS).alias("offset"),
         "ts",
     )
     hop = failover_write(table_writer(store, "packs"), [table_writer(store, "packs-second-way")])

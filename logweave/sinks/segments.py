@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions.integers import floor_div
+
 SEGMENTS_PER_FOLDER = 1024
 
 
@@ -12,7 +14,7 @@ def write_segments(frames: DataFrame, path: str, mode: str = "append", per_folde
     """Placed frames, sorted by (segment_id, log_pos). A folder holds a range of segments: segments are
     small and many, and row-group statistics find one inside its folder."""
     (
-        frames.withColumn("segment_range", F.floor(F.col("segment_id") / per_folder).cast("bigint"))
+        frames.withColumn("segment_range", floor_div(F.col("segment_id"), per_folder))
         .repartitionByRange("segment_range", "segment_id", "log_pos")
         .sortWithinPartitions("segment_range", "segment_id", "log_pos")
         .write.mode(mode)
