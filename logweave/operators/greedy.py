@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NO_LIMIT = np.iinfo(np.int64).max // 4
@@ -113,14 +113,13 @@ def _sorted(table: pa.Table, order: Sequence[str]) -> pa.Table:
     return table.take(pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in order]))
 
 
-def _block(table: pa.Table, max_size: int, max_count: int) -> _Block:
-    return _Block(
-        table["__run"].to_numpy(),
-        table["__size"].to_numpy(),
-        table["__eligible"].to_numpy(zero_copy_only=False),
-        max_size,
-        max_count,
-    )
+def _block(table: pa.Table, names: dict, max_size: int, max_count: int) -> _Block:
+    def column(role: str, default) -> np.ndarray:
+        if names[role] is None:
+            return np.full(table.num_rows, default)
+        return table[names[role]].fill_null(default).to_numpy()
+
+    return _Block(column("run", 0), column("size", 0), column("eligible", True), max_size, max_count)
 
 
 def greedy_pack(
@@ -128,40 +127,37 @@ def greedy_pack(
     scope: Sequence[str],
     block: Sequence[str],
     order: Sequence[str],
-    size: Column,
+    size: str,
     max_size: int | None = None,
     max_count: int | None = None,
-    eligible: Column | None = None,
-    run: Column | None = None,
+    eligible: str | None = None,
+    run: str | None = None,
     base_size: int = 0,
 ) -> DataFrame:
     """Add ``part`` (0-based within the run) and ``is_cut`` (row closed its part by a limit).
 
     scope   independent orders; block + order continue it, and a block bounds the rows in one task.
-    run     BIGINT; where it changes along the order a new pack always starts.
+    size, eligible, run  columns: bytes of a row (BIGINT), whether it may be cut after it (all rows
+            without it), and a BIGINT where a new pack always starts when it changes along the order.
     base_size  bytes every pack holds before its first row.
+
+    All columns pass through Python: leave out what the caller can join back.
     """
     scope, block, order = list(scope), list(block), list(order)
     max_size = _NO_LIMIT if max_size is None else max_size - base_size
     max_count = _NO_LIMIT if max_count is None else max_count
-    rows = df.withColumns(
-        {
-            "__size": F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")),
-            "__eligible": F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True),
-            "__run": F.coalesce(run.cast("bigint"), F.lit(0).cast("bigint")) if run is not None else F.lit(0).cast("bigint"),
-        }
-    )
+    names = {"size": size, "eligible": eligible, "run": run}
     keys = scope + block
-    key_types = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
+    key_types = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema]
 
     def summarise(table: pa.Table) -> pa.Table:
         table = _sorted(table, order)
-        b = _block(table, max_size, max_count)
+        b = _block(table, names, max_size, max_count)
         # the last run from a fresh start; with a single run that is the whole block without a cut
         if len(b.run_start) == 1:
             steps, whole = b.steps(), (int(b.cum[b.n]), b.n, 0)
         else:
-            tail = _block(table.slice(int(b.run_start[-1])), max_size, max_count)
+            tail = _block(table.slice(int(b.run_start[-1])), names, max_size, max_count)
             cuts = np.flatnonzero(tail.cut_rows(0, 0))
             done = int(cuts[-1]) + 1 if len(cuts) else 0
             steps, whole = {}, (int(tail.cum[tail.n] - tail.cum[done]), tail.n - done, len(cuts))
@@ -176,7 +172,7 @@ def greedy_pack(
     summary_names = keys + [*STEP_COLUMNS, "first_run", "last_run"]
     summary_types = [f"{c} bigint" for c in summary_names[len(keys) :]]
     # the same columns as in the cutting step below, so that Spark can reuse the shuffle underneath
-    summaries = rows.groupBy(*keys).applyInArrow(summarise, ", ".join(key_types + summary_types))
+    summaries = df.groupBy(*keys).applyInArrow(summarise, ", ".join(key_types + summary_types))
 
     def walk(summary: pa.Table) -> pa.Table:
         summary = _sorted(summary, [*block, "hi_row"])
@@ -207,15 +203,13 @@ def greedy_pack(
     entry_types = ["entry_bytes bigint", "entry_rows bigint", "entry_cuts bigint"]
     entries = summaries.groupBy(*scope).applyInArrow(walk, ", ".join(key_types + entry_types))
 
-    kept = [c for c in rows.columns if c not in ("__size", "__eligible", "__run")]
-    out_schema = rows.select(*kept).withColumns({"part": F.lit(0).cast("bigint"), "is_cut": F.lit(False)}).schema
+    out_schema = df.withColumns({"part": F.lit(0).cast("bigint"), "is_cut": F.lit(False)}).schema
 
     def cut(table: pa.Table, entry: pa.Table) -> pa.Table:
         table = _sorted(table, order)
-        b = _block(table, max_size, max_count)
+        b = _block(table, names, max_size, max_count)
         flags = b.cut_rows(entry["entry_bytes"][0].as_py(), entry["entry_rows"][0].as_py())
-        out = table.select(kept)
-        out = out.append_column("part", pa.array(b.parts(flags, entry["entry_cuts"][0].as_py()), pa.int64()))
+        out = table.append_column("part", pa.array(b.parts(flags, entry["entry_cuts"][0].as_py()), pa.int64()))
         return out.append_column("is_cut", pa.array(flags))
 
-    return rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(cut, out_schema)
+    return df.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(cut, out_schema)

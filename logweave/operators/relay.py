@@ -45,10 +45,10 @@ def pack_parts(
         ["partition"],
         ["block"],
         ["offset"],
-        F.col("bytes"),
+        "bytes",
         max_size=max_size,
         max_count=max_count,
-        run=F.col("tick"),
+        run="tick",
     ).drop("block", "is_cut")
 
 

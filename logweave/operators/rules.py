@@ -12,6 +12,9 @@ from logweave.operators.scan import BLOCK_SPAN, Scan, block_of, prefix_scan
 RULE_SEPARATOR = "@"
 BEGIN = "BEGIN"
 
+# marks of single events
+FILE_EVENT, COMMIT, BEGIN_QUERY, WANTED_QUERY, OTHER_QUERY, WANTED_TABLE, OTHER_TABLE, ROW_LIKE = range(8)
+
 
 def parse_rules(rules: Iterable[str]) -> dict[str, list[str]]:
     """Group ``database@tableRegex`` settings by lower-cased database."""
@@ -66,23 +69,46 @@ def filter_tables(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFram
     return df.where((F.col("kind") == "TABLE_MAP") & table_matches(rules, F.col("schema_name"), F.col("table_name")))
 
 
+def classify(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add ``mark``: all that routing needs to know about one event by itself. Everything that reads the
+    event's names and text happens here, before any shuffle."""
+    kind = F.col("kind")
+    mark = (
+        F.when(kind.isin("ROTATE", "FORMAT"), FILE_EVENT)
+        .when(kind == "XID", COMMIT)
+        .when(
+            kind == "QUERY",
+            F.when(is_begin(F.col("query")), BEGIN_QUERY)
+            .when(schema_matches(rules, F.col("schema_name")), WANTED_QUERY)
+            .otherwise(OTHER_QUERY),
+        )
+        .when(
+            kind == "TABLE_MAP",
+            F.when(table_matches(rules, F.col("schema_name"), F.col("table_name")), WANTED_TABLE).otherwise(OTHER_TABLE),
+        )
+        .otherwise(ROW_LIKE)
+    )
+    return df.withColumn("mark", mark.cast("tinyint"))
+
+
 def route_events(
     df: DataFrame,
     rules: Mapping[str, Sequence[str]],
     scope: Sequence[str] = ("source_id",),
     span: int = BLOCK_SPAN,
 ) -> DataFrame:
-    """Decide every event's fate in its source's order.
+    """Decide every event's fate in its source's order: see :func:`route_marked`."""
+    return route_marked(classify(df, rules), scope, span)
 
-    Adds ``epoch`` (commits before the event), ``in_tx`` and ``keep`` (state the event meets) and
+
+def route_marked(df: DataFrame, scope: Sequence[str], span: int) -> DataFrame:
+    """Adds ``epoch`` (commits before the event), ``in_tx`` and ``keep`` (state the event meets) and
     ``action``: tx, commit, standalone or drop. All three states are running values over the source's
     order - "latest value before me" with commits as resets - so no task ever needs a whole
     transaction or a whole source.
     """
-    kind = F.col("kind")
-    commit = kind == "XID"
-    ok = table_matches(rules, F.col("schema_name"), F.col("table_name"))
-    opens = ((kind == "QUERY") & is_begin(F.col("query"))) | ((kind == "TABLE_MAP") & ok)
+    mark = F.col("mark")
+    commit = mark == COMMIT
     scanned = prefix_scan(
         df.withColumn("block", block_of(F.col("log_pos"), span)),
         scope,
@@ -90,20 +116,17 @@ def route_events(
         ["log_pos"],
         [
             Scan("epoch", commit.cast("bigint")),
-            Scan("keep", F.when(commit, F.lit(False)).when(kind == "TABLE_MAP", ok), "last", default=False),
-            Scan("in_tx", F.when(commit, F.lit(False)).when(opens, F.lit(True)), "last", default=False),
+            Scan("keep", F.when(mark.isin(COMMIT, OTHER_TABLE), False).when(mark == WANTED_TABLE, True), "last", default=False),
+            Scan("in_tx", F.when(commit, False).when(mark.isin(BEGIN_QUERY, WANTED_TABLE), True), "last", default=False),
         ],
     )
+    in_tx, keep = F.col("in_tx"), F.col("keep")
     action = (
-        F.when(kind.isin("ROTATE", "FORMAT"), "drop")
-        .when(commit, "commit")
-        .when(
-            kind == "QUERY",
-            F.when(is_begin(F.col("query")) | F.col("in_tx"), "tx")
-            .when(schema_matches(rules, F.col("schema_name")), "standalone")
-            .otherwise("drop"),
-        )
-        .when(kind == "TABLE_MAP", F.when(ok, "tx").otherwise("drop"))
-        .otherwise(F.when(~F.col("in_tx"), "standalone").when(F.col("keep"), "tx").otherwise("drop"))
+        F.when(commit, "commit")
+        .when(mark.isin(BEGIN_QUERY, WANTED_TABLE), "tx")
+        .when(mark == WANTED_QUERY, F.when(in_tx, "tx").otherwise("standalone"))
+        .when(mark == OTHER_QUERY, F.when(in_tx, "tx").otherwise("drop"))
+        .when(mark == ROW_LIKE, F.when(~in_tx, "standalone").when(keep, "tx").otherwise("drop"))
+        .otherwise("drop")
     )
     return scanned.withColumn("action", action)

@@ -50,16 +50,16 @@ def segment_log(
     """Add ``segment_id``: a new segment starts once the file is over ``limit`` bytes and the record just
     written ended a transaction."""
     scope = list(scope)
-    narrow = records.select(*scope, order, F.col(size).alias("__bytes"), F.col(committed).alias("__committed"))
+    narrow = records.select(*scope, order, F.col(size).cast("bigint").alias("__bytes"), F.col(committed).alias("__committed"))
     narrow = narrow.withColumns({"__log": F.lit(0), "__block": block_of(F.col(order), span)})
     cut = greedy_pack(
         narrow,
         scope or ["__log"],
         ["__block"],
         [order],
-        F.col("__bytes"),
+        "__bytes",
         max_size=limit,
-        eligible=F.col("__committed"),
+        eligible="__committed",
         base_size=HEADER_BYTES,
     )
     # payload, if any, meets its segment here and stays out of the cutting

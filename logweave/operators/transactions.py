@@ -8,21 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.greedy import greedy_pack
-from logweave.operators.rules import route_events
-from logweave.operators.scan import BLOCK_SPAN, block_of
+from logweave.operators.rules import COMMIT, ROW_LIKE, classify, route_events, route_marked
+from logweave.operators.scan import BLOCK_SPAN
 
 Rules = Mapping[str, Sequence[str]]
 
-# Fixed values.
-ROW_LIKE_EXCLUDED = ("QUERY", "TABLE_MAP", "XID", "ROTATE", "FORMAT")
-
-
 # sets standalone events of one epoch apart
 ALONE_KEY = ("alone_file", "alone_pos")
-
-
-def row_like(kind: Column) -> Column:
-    return ~kind.isin(*ROW_LIKE_EXCLUDED)
+ALONE = -1
 
 
 def position(file: str = "log_file", pos: str = "log_pos") -> Column:
@@ -34,7 +27,7 @@ def assemble_transactions(
 ) -> DataFrame:
     """One row per committed transaction with something to replicate: (scope, epoch, n_events, bytes,
     first/last position). Counts and extremes only, so partial aggregation absorbs a huge transaction."""
-    routed = route_events(_for_routing(events, scope), rules, scope, span)
+    routed = _routed(events, rules, scope, span)
     inside = routed.where(F.col("action").isin("tx", "commit"))
     # first inside the blocks, where the rows already are, then across them
     local = inside.groupBy(*scope, "log_file", "block", "epoch").agg(
@@ -77,16 +70,15 @@ def split_transactions(
 ) -> DataFrame:
     """Events of transactions with ``part`` and ``is_cut``: a part closes after the row event that takes
     it over ``max_size`` bytes; the commit goes with the last part. Carries no payload."""
-    scope = list(scope)
-    routed = route_events(_for_routing(events, scope), rules, scope, span)
-    return _parts_of(routed, scope, max_size).where(~F.col("alone")).drop("alone", "event_ts", "block")
+    parts = record_parts(events, rules, max_size, scope, span)
+    return parts.where(F.col("part") >= 0).select(*scope, "epoch", "log_file", "log_pos", "size", "part", "is_cut")
 
 
-def _for_routing(events: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """What routing looks at: no payload, and no events that only describe the files."""
-    wanted = ["log_file", "log_pos", "event_ts", "kind", "schema_name", "table_name", "query", "size"]
-    columns = [*scope, *[c for c in wanted if c not in scope]]
-    return events.where(~F.col("kind").isin("ROTATE", "FORMAT")).select(*columns)
+def _routed(events: DataFrame, rules: Rules, scope: Sequence[str], span: int) -> DataFrame:
+    """Events with their action, reduced to a mark and a few numbers before they are shuffled."""
+    described = events.where(~F.col("kind").isin("ROTATE", "FORMAT"))
+    narrow = classify(described, rules).select(*scope, "log_file", "log_pos", "event_ts", "size", "mark")
+    return route_marked(narrow, scope, span)
 
 
 def standalone_events(
@@ -122,26 +114,10 @@ def record_parts(
     """Every event that belongs to a record, under its record's key (scope, epoch, part, alone_file,
     alone_pos). Narrow: no payload."""
     scope = list(scope)
-    routed = route_events(_for_routing(events, scope), rules, scope, span)
-    parts = _parts_of(routed, scope, max_size)
-    # a standalone event shares (epoch, part) with its neighbours: its position sets it apart
-    alone = F.col("alone")
-    return parts.withColumns(
-        {
-            "part": F.when(alone, -1).otherwise(F.col("part")),
-            "alone_file": F.when(alone, F.col("log_file")).otherwise(""),
-            "alone_pos": F.when(alone, F.col("log_pos")).otherwise(-1),
-        }
-    ).drop("block")
-
-
-def _parts_of(routed: DataFrame, scope: list[str], max_size: int) -> DataFrame:
-    """Events that belong to records, with ``part`` and ``is_cut``; ``alone`` marks standalone events.
-
-    Standalone events ride along: they weigh nothing and cannot be cut at, so they do not disturb the
-    transactions around them.
-    """
-    events = routed.where(F.col("action") != "drop").select(
+    # Standalone events ride along: they weigh nothing and cannot be cut at, so they do not disturb the
+    # transactions around them.
+    alone = F.col("action") == "standalone"
+    going = _routed(events, rules, scope, span).where(F.col("action") != "drop").select(
         *scope,
         "log_file",
         "block",
@@ -149,25 +125,34 @@ def _parts_of(routed: DataFrame, scope: list[str], max_size: int) -> DataFrame:
         "event_ts",
         "size",
         "epoch",
-        (F.col("action") == "standalone").alias("alone"),
-        (F.col("action") == "commit").alias("is_commit"),
-        ((F.col("action") == "tx") & row_like(F.col("kind"))).alias("is_row"),
+        F.when(alone, 0).otherwise(F.col("size")).cast("bigint").alias("weight"),
+        ((F.col("action") == "tx") & (F.col("mark") == ROW_LIKE)).alias("is_row"),
+        F.when(alone, ALONE).otherwise(F.col("mark")).cast("tinyint").alias("mark"),
     )
-    return greedy_pack(
-        events,
-        scope,
-        ["log_file", "block"],
-        ["log_pos"],
-        F.when(F.col("alone"), 0).otherwise(F.col("size")),
-        max_size=max_size,
-        eligible=F.col("is_row"),
-        run=F.col("epoch"),
+    parts = greedy_pack(
+        going, scope, ["log_file", "block"], ["log_pos"], "weight", max_size=max_size, eligible="is_row", run="epoch"
+    )
+    # a standalone event shares (epoch, part) with its neighbours: its position sets it apart
+    alone = F.col("mark") == ALONE
+    return parts.select(
+        *scope,
+        "epoch",
+        F.when(alone, -1).otherwise(F.col("part")).alias("part"),
+        F.when(alone, F.col("log_file")).otherwise("").alias("alone_file"),
+        F.when(alone, F.col("log_pos")).otherwise(-1).alias("alone_pos"),
+        "log_file",
+        "log_pos",
+        "event_ts",
+        "size",
+        (F.col("mark") == COMMIT).alias("is_commit"),
+        "is_cut",
     )
 
 
 def headers_of(parts: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataFrame:
     """Records that go out, from :func:`record_parts`, with their key."""
     record = [*scope, "epoch", "part", *ALONE_KEY]
+    # by file first: plain numbers fold in place, positions are compared on what is left
     by_file = parts.groupBy(*record, "log_file").agg(
         F.count("*").alias("n_events"),
         F.sum("size").alias("bytes"),
@@ -175,7 +160,7 @@ def headers_of(parts: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataF
         F.max("log_pos").alias("last_pos"),
         F.max("event_ts").alias("event_ts"),
         F.max(F.col("is_commit").cast("int")).alias("commit"),
-        F.max((F.col("is_cut") | F.col("alone")).cast("int")).alias("out"),
+        F.max(F.col("is_cut").cast("int")).alias("cut"),
     )
     whole = by_file.groupBy(*record).agg(
         F.sum("n_events").alias("n_events"),
@@ -184,11 +169,16 @@ def headers_of(parts: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataF
         F.max(position(pos="last_pos")).alias("last"),
         F.max("event_ts").alias("event_ts"),
         F.max("commit").alias("commit"),
-        F.max("out").alias("out"),
+        F.max("cut").alias("cut"),
     )
-    # cut parts are out at once; a commit sends the last part unless the transaction is empty
-    emitted = (F.col("out") == 1) | ((F.col("commit") == 1) & ((F.col("part") > 0) | (F.col("n_events") >= 3)))
-    return whole.where(emitted).select(
+    return _going_out(whole, record)
+
+
+def _going_out(whole: DataFrame, record: Sequence[str], *more: str) -> DataFrame:
+    """Standalone events and cut parts are out at once; a commit sends the last part unless the
+    transaction is empty."""
+    last_part = (F.col("commit") == 1) & ((F.col("part") > 0) | (F.col("n_events") >= 3))
+    return whole.where((F.col("part") < 0) | (F.col("cut") == 1) | last_part).select(
         *record,
         "n_events",
         "bytes",
@@ -198,35 +188,36 @@ def headers_of(parts: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataF
         F.col("last.log_pos").alias("log_pos"),
         "event_ts",
         (F.col("commit") == 1).alias("committed"),
+        *more,
     )
 
 
-def attach_payload(
-    headers: DataFrame,
-    parts: DataFrame,
-    events: DataFrame,
-    scope: Sequence[str] = ("source_id",),
-    payload: str = "raw",
+def with_payload(
+    parts: DataFrame, events: DataFrame, scope: Sequence[str] = ("source_id",), payload: str = "raw", more: Sequence[str] = ()
 ) -> DataFrame:
-    """Headers plus ``data``: their events' payload in order.
+    """Records with ``data``, their events' payload in order; columns ``more`` are constant per record.
 
-    Headers meet the narrow event rows first; the payload is then shuffled twice, to its event and to
-    its record. A record holds at most ``max_size`` bytes plus the event that crossed the limit and what
-    its statements add, so its array is bounded.
+    The payload is shuffled twice, to its event and to its record. A record holds at most ``max_size``
+    bytes plus the event that crossed the limit and what its statements add, so its array is bounded.
     """
     record = [*scope, "epoch", "part", *ALONE_KEY]
     place = [*scope, "log_file", "log_pos"]
-    wanted = parts.select(*record, "log_file", "log_pos").join(
-        headers.withColumn("header", F.struct(*[c for c in headers.columns if c not in record])).select(*record, "header"),
-        record,
-    )
-    data = F.transform(F.array_sort(F.collect_list(F.struct("log_file", "log_pos", payload))), lambda e: e[payload])
-    return (
-        wanted.join(events.select(*place, payload), place)
-        .groupBy(*record)
-        .agg(F.any_value("header").alias("header"), data.alias("data"))
-        .select(*record, "header.*", "data")
+    whole = (
+        parts.join(events.select(*place, payload), place)
+        .groupBy(*record, *more)
+        .agg(
+            F.count("*").alias("n_events"),
+            F.sum("size").alias("bytes"),
+            F.min(position()).alias("first"),
+            F.max(position()).alias("last"),
+            F.max("event_ts").alias("event_ts"),
+            F.max(F.col("is_commit").cast("int")).alias("commit"),
+            F.max(F.col("is_cut").cast("int")).alias("cut"),
+            F.array_sort(F.collect_list(F.struct("log_file", "log_pos", payload))).alias("in_order"),
+        )
     )
+    data = F.transform("in_order", lambda e: e[payload])
+    return _going_out(whole.withColumn("data", data), record, "data", *more)
 
 
 def build_records(
@@ -239,4 +230,4 @@ def build_records(
 ) -> DataFrame:
     """Record headers plus ``data``, the record's events in order."""
     parts = record_parts(events, rules, max_size, scope, span)
-    return attach_payload(headers_of(parts, scope), parts, events, scope, payload).drop(*ALONE_KEY)
+    return with_payload(parts, events, scope, payload).drop(*ALONE_KEY)

@@ -12,7 +12,7 @@ from logweave.functions.envelope import encode_envelope
 from logweave.operators.routing import stable_key, topic_rows
 from logweave.operators.scan import BLOCK_SPAN
 from logweave.operators.sequence import assign_seqid
-from logweave.operators.transactions import ALONE_KEY, attach_payload, headers_of, record_parts
+from logweave.operators.transactions import ALONE_KEY, headers_of, record_parts, with_payload
 from logweave.session import cut_lineage
 
 
@@ -42,7 +42,16 @@ def numbered_records(
     """The same with payload. Cutting and numbering see narrow rows only."""
     parts = cut_lineage(record_parts(events, rules, max_size, scope, span))
     headers = assign_seqid(cut_lineage(headers_of(parts, scope)), start, scope, span)
-    return attach_payload(headers, parts, events, scope, payload)
+    return payload_of(headers, parts, events, scope, payload)
+
+
+def payload_of(
+    numbered: DataFrame, parts: DataFrame, events: DataFrame, scope: Sequence[str] = ("source_id",), payload: str = "raw"
+) -> DataFrame:
+    """Numbered headers with their payload: ids meet the narrow event rows first, which then fetch it."""
+    record = [*scope, "epoch", "part", *ALONE_KEY]
+    wanted = parts.join(numbered.select(*record, "seqid"), record)
+    return with_payload(wanted, events, scope, payload, more=["seqid"])
 
 
 def record_topic_rows(records: DataFrame, topic: str, partitions: int, scope: Sequence[str] = ("source_id",)) -> DataFrame:

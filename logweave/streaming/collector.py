@@ -11,7 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from logweave.functions.cyclic import MIN_SEQID, next_seqid
 from logweave.operators.scan import BLOCK_SPAN
 from logweave.operators.sequence import assign_seqid
-from logweave.operators.transactions import attach_payload, headers_of, record_parts
+from logweave.operators.transactions import headers_of, record_parts
+from logweave.plans.collector import payload_of
 from logweave.session import cut_lineage
 from logweave.sources.changelog import read_changelog
 from logweave.streaming.state import BatchStore
@@ -50,7 +51,7 @@ def collect_stream(
         parts = cut_lineage(record_parts(whole, rules, max_size, scope, span))
         headers = cut_lineage(read_changelog(headers_of(parts, scope).withColumn("kind", F.lit("RECORD")), seen, scope))
         numbered = assign_seqid(headers.drop("kind"), counter, scope, span)
-        store.write("records", batch_id, attach_payload(numbered, parts, whole, scope))
+        store.write("records", batch_id, payload_of(numbered, parts, whole, scope))
         records = spark.read.parquet(store.path("records", batch_id))
         if sink is not None:
             sink(records, batch_id)

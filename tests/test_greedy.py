@@ -41,7 +41,7 @@ def test_matches_fold(spark, max_size, max_count, base):
         df = spark.createDataFrame(pd.DataFrame(data, columns=["scope", "pos", "run", "size", "ok"]).sample(frac=1, random_state=1))
         df = df.withColumn("blk", F.floor(F.col("pos") / span).cast("bigint"))
         got = greedy_pack(
-            df, ["scope"], ["blk"], ["pos"], F.col("size"), max_size, max_count, F.col("ok"), F.col("run"), base_size=base
+            df, ["scope"], ["blk"], ["pos"], "size", max_size, max_count, "ok", "run", base_size=base
         ).toPandas()
         assert len(got) == len(data)
         for r in got.itertuples():
