@@ -59,9 +59,9 @@ def collect_stream(
         last = F.max(F.struct("log_file", "log_pos"))
         commits = whole.where(F.col("kind") == "XID").groupBy(*scope).agg(last.alias("at"))
         after = read_changelog(whole, commits.select(*scope, "at.log_file", "at.log_pos"), scope)
-        store.write("open", batch_id, after)
+        store.keep("open", batch_id, after)
         reached = seen.unionByName(fresh.select(*place)).groupBy(*scope).agg(last.alias("at"))
-        store.write("seen", batch_id, reached.select(*scope, "at.log_file", "at.log_pos"))
-        store.write_row(spark, "counter", batch_id, {"next_seqid": next_seqid(counter, records.count())})
+        store.keep("seen", batch_id, reached.select(*scope, "at.log_file", "at.log_pos"))
+        store.keep_row(spark, "counter", batch_id, {"next_seqid": next_seqid(counter, records.count())})
 
     return writer.foreachBatch(batch).option("checkpointLocation", store.path("checkpoint"))

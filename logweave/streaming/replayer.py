@@ -22,7 +22,7 @@ def resequence_stream(
     """A writer that releases messages in id order to ``store``'s "released", batch by batch.
 
     State: the expected id and the messages behind the first gap ("pending"). A gap that never fills
-    keeps everything behind it pending, as it must; ``gap_report`` on "pending" names it.
+    keeps everything behind it pending, as it must; ``gap_report`` on that state names it.
     Undecodable messages go to "dead". With ``segment_limit`` the released records are also laid out
     as frames in "segments"; the open segment's number and bytes are state as well.
     """
@@ -40,7 +40,7 @@ def resequence_stream(
         released = spark.read.parquet(store.path("released", batch_id))
         count = released.count()
         following = next_seqid(state.seqid, count)
-        store.write("pending", batch_id, drop_stale(waiting, following))
+        store.keep("pending", batch_id, drop_stale(waiting, following))
         segment_id, segment_bytes = state.segment_id, state.segment_bytes
         if segment_limit is not None and count:
             frames = _place(released, segment_id, segment_bytes, segment_limit, span)
@@ -48,7 +48,7 @@ def resequence_stream(
             written = spark.read.parquet(store.path("segments", batch_id))
             end = written.agg(F.max(F.struct("segment_id", "log_pos"))).first()[0]
             segment_id, segment_bytes = end["segment_id"], end["log_pos"] - HEADER_BYTES
-        store.write_row(
+        store.keep_row(
             spark,
             "expected",
             batch_id,
