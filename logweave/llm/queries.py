@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logweave.llm import exact, mixing, packing, wavelet
+from logweave.llm import exact, lines, mixing, packing, urls, wavelet
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +21,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=1024, end_id=2)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_boilerplate(table(spark, sf_dir, "documents"), ratio=0.02, least_pages=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -28,18 +34,28 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).drop("text_hash", "copies")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.filter(urls.host_of(F.col("url")).rlike(urls.LISTED_HOSTS)).select("url")
+    return urls.judge_urls(pages, listed, urls.RULES)
+
+
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_systematic_mix": op6_systematic_mix,
+    "op8_url_filter": op8_url_filter,
     "op9_wavelet_tokens": op9_wavelet_tokens,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE,
     "op5_exact_dedup": exact.ORACLE,
     "op6_systematic_mix": mixing.ORACLE,
+    "op8_url_filter": urls.ORACLE,
 }
