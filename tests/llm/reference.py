@@ -15,3 +15,33 @@ def encoded(texts, path, end_id=2):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     return [e.ids + [end_id] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def shingle_set(text, width):
+    words = [w for w in (text or "").encode().lower().split()]
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
+
+
+def components_of(rows, width, percent):
+    """{doc_id: (set size, smallest reachable id)} over (doc_id, text), by comparing every pair that shares a shingle."""
+    from collections import Counter, defaultdict
+
+    sets = {d: shingle_set(t, width) for d, t in rows}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for d, s in sets.items():
+        shared = Counter(o for x in s for o in holders[x] if o > d)
+        for o, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[o]) - n):
+                a, b = sorted((root(d), root(o)))
+                parent[b] = a
+    return {d: (len(s), root(d)) for d, s in sets.items()}
