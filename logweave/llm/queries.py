@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import exact, lines, minmax, mixing, packing, urls, wavelet
+from logweave.llm import exact, lines, minmax, mixing, packing, quality, urls, wavelet
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,10 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_systematic_mix": op6_systematic_mix,
     "op8_url_filter": op8_url_filter,
     "op9_wavelet_tokens": op9_wavelet_tokens,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
