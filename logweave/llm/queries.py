@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import exact, lines, minmax, mixing, packing, quality, urls, wavelet
+from logweave.llm import crossentropy, exact, lines, minmax, mixing, packing, quality, urls, wavelet
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,12 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    target = labels.filter((F.col("quality") == 1) & ~quality.held_out(F.col("doc_id")))
+    return crossentropy.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_boilerplate(table(spark, sf_dir, "documents"), ratio=0.02, least_pages=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
@@ -55,6 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
+    "op3_cross_entropy_difference": op3_cross_entropy_difference,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_systematic_mix": op6_systematic_mix,
