@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import crossentropy, exact, lines, minmax, mixing, packing, quality, urls, wavelet
+from logweave.llm import crossentropy, exact, lines, minmax, mixing, packing, quality, rules, urls, wavelet
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,6 +44,10 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).drop("text_hash", "copies")
 
 
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.filter(urls.host_of(F.col("url")).rlike(urls.LISTED_HOSTS)).select("url")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_systematic_mix": op6_systematic_mix,
+    "op7_decision_list": op7_decision_list,
     "op8_url_filter": op8_url_filter,
     "op9_wavelet_tokens": op9_wavelet_tokens,
     "op10_quality_classifier": op10_quality_classifier,

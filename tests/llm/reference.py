@@ -45,3 +45,18 @@ def components_of(rows, width, percent):
                 a, b = sorted((root(d), root(o)))
                 parent[b] = a
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def base_statistics(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    import re
+    from collections import Counter
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = list(zip(words, words[1:], words[2:]))
+    count = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(3)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
