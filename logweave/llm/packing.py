@@ -142,7 +142,7 @@ def pack_plan(histogram: dict[int, int], capacity: int, groups: int = 48) -> tup
     What counts as large is tried at several places: rounding up wastes least where few sizes matter, and
     configurations gain most where several large documents share a sequence. The shortest plan is kept.
     """
-    plans = [_plan(histogram, capacity, max(1, capacity * eighths // 8), groups) for eighths in (4, 3, 2)]
+    plans = [_plan(histogram, capacity, max(1, capacity * eighths // 8), groups) for eighths in (4, 3, 2, 1)]
     return min(plans, key=lambda p: p[1])
 
 

@@ -162,10 +162,16 @@ def read_shard(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletMat
     return doc_ids, np.frombuffer(parts[2], "<i8"), WaveletMatrix(header["ids"], header["bits"], header["zeros"], planes)
 
 
+def _folder(root: str) -> tuple[fs.FileSystem, str]:
+    """The folder's file system and its path there; the folder is made if need be."""
+    system, path = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+    system.create_dir(path, recursive=True)
+    return system, path
+
+
 def _put(root: str, name: str, content: bytes) -> None:
     """Write under another name, then rename: a task that runs again replaces its file by the same one."""
-    system, path = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-    system.create_dir(path, recursive=True)
+    system, path = _folder(root)
     part = f"{path}/.{name}.{os.getpid()}"
     with system.open_output_stream(part) as out:
         out.write(content)
@@ -193,6 +199,7 @@ def write_shards(
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    _folder(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(spec.value, end_id)
