@@ -12,8 +12,9 @@ from logweave.operators.scan import ROW_SPAN, block_of, dense_rank_rows
 
 def last_position(records: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataFrame:
     """Where each source's last emitted record ended; events that were filtered out do not move it."""
+    per_file = records.groupBy(*scope, "log_file").agg(F.max("log_pos").alias("log_pos"))  # plain numbers: hashed, not sorted
     return (
-        records.groupBy(*scope)
+        per_file.groupBy(*scope)
         .agg(F.max(F.struct("log_file", "log_pos")).alias("at"))
         .select(*scope, "at.log_file", "at.log_pos")
     )

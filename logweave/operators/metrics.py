@@ -50,9 +50,10 @@ def throughput(df: DataFrame, ts: str, interval_seconds: int, scope: Sequence[st
 
 def freshness(events: DataFrame, now: Column, scope: Sequence[str] = ("source_id",)) -> DataFrame:
     """Time of the last event of each source in log order, and how far it is behind ``now``."""
-    last = events.groupBy(*scope).agg(
-        F.max(F.struct("log_file", "log_pos", epoch_seconds(F.col("event_ts")).alias("seconds"))).alias("last")
-    )
+    per_file = events.groupBy(*scope, "log_file").agg(
+        F.max("log_pos").alias("log_pos"), F.max_by(epoch_seconds(F.col("event_ts")), "log_pos").alias("seconds")
+    )  # plain numbers: hashed, not sorted
+    last = per_file.groupBy(*scope).agg(F.max(F.struct("log_file", "log_pos", "seconds")).alias("last"))
     seconds = F.col("last.seconds")
     return last.select(
         *scope, seconds.alias("last_event"), rfc3339(seconds).alias("last_event_text"), (now - seconds).alias("lag_seconds")

@@ -21,28 +21,34 @@ def override_topic(default: str | None, topic: Column) -> Column:
     return F.coalesce(F.nullif(F.lit(default).cast("string"), F.lit("")), topic)
 
 
+def message_scope(messages: DataFrame) -> list[str]:
+    """What an offset counts within: the partition, of its topic where messages carry one."""
+    return [c for c in ("topic", "partition") if c in messages.columns]
+
+
 def pack_parts(
     messages: DataFrame, max_count: int, max_size: int, tick_seconds: int, span: int = ROW_SPAN
 ) -> DataFrame:
-    """Which pack every message goes into: (partition, offset, bytes, tick, part), without payload.
+    """Which pack every message goes into: (topic, partition, offset, bytes, tick, part), without payload.
 
     A pack closes once it holds more than ``max_size`` value bytes or more than ``max_count`` messages,
     or at a tick. Messages are taken in offset order, so the tick a message is seen in is never before
     that of an earlier offset.
     """
+    scope = message_scope(messages)
     sized = messages.select(
-        "partition",
+        *scope,
         "offset",
         F.octet_length("value").cast("bigint").alias("bytes"),
         floor_div(epoch_seconds(F.col("ts")), tick_seconds).alias("ts_tick"),
         block_of(F.col("offset"), span).alias("block"),
     )
     ticked = prefix_scan(
-        sized, ["partition"], [["block"]], ["offset"], [Scan("tick", F.col("ts_tick"), "max", inclusive=True)]
+        sized, scope, [["block"]], ["offset"], [Scan("tick", F.col("ts_tick"), "max", inclusive=True)]
     ).drop("ts_tick")
     return greedy_pack(
         ticked,
-        ["partition"],
+        scope,
         ["block"],
         ["offset"],
         "bytes",
@@ -60,17 +66,18 @@ def pack_messages(
     topic: str | None = None,
     span: int = ROW_SPAN,
 ) -> DataFrame:
-    """Packs as JSON with their extent. The payload joins its pack number on (partition, offset) and never
-    enters Python; a pack is bounded by its limits."""
+    """Packs as JSON with their extent. The payload joins its pack number on its offset and never enters
+    Python; a pack is bounded by its limits, and never mixes topics, even if all go out under one name."""
     parts = pack_parts(messages, max_count, max_size, tick_seconds, span)
-    named = messages.select("partition", "offset", override_topic(topic, F.col("topic")).alias("topic"), "key", "value")
+    scope = message_scope(messages)
+    named = messages.select(*scope, "offset", override_topic(topic, F.col("topic")).alias("__topic"), "key", "value")
     data = F.transform(
         F.array_sort(F.collect_list(F.struct("offset", "key", "value"))),
         lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value")),
     )
     return (
-        named.join(parts, ["partition", "offset"])
-        .groupBy("topic", "partition", "tick", "part")
+        named.join(parts, [*scope, "offset"])
+        .groupBy(*scope, "__topic", "tick", "part")
         .agg(
             F.count("*").alias("messages"),
             F.sum("bytes").alias("bytes"),
@@ -78,8 +85,9 @@ def pack_messages(
             F.max("offset").alias("last_offset"),
             data.alias("data"),
         )
+        .withColumn("topic", F.col("__topic"))
         .withColumn("pack", encode_pack(F.col("topic"), F.col("data")))
-        .drop("data")
+        .drop("data", "__topic")
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.cyclic import MIN_SEQID, cyclic_distance, seqid_at
 from logweave.operators.greedy import greedy_pack
 from logweave.operators.scan import ROW_SPAN, Scan, block_of, prefix_scan
 
@@ -34,8 +35,9 @@ def segments_matching(df: DataFrame, name: str = "name") -> DataFrame:
 
 
 def newest_and_oldest(df: DataFrame, name: str = "name") -> DataFrame:
-    """The segment to append to (newest by name) and the one a new reader starts with (oldest)."""
-    return segments_matching(df, name).agg(F.max(name).alias("newest"), F.min(name).alias("oldest"))
+    """The segment to append to (highest number) and the one a new reader starts with (lowest)."""
+    named = segments_matching(df, name)
+    return named.agg(F.max_by(name, "segment_number").alias("newest"), F.min_by(name, "segment_number").alias("oldest"))
 
 
 def segment_log(
@@ -46,9 +48,14 @@ def segment_log(
     committed: str = "committed",
     scope: Sequence[str] = (),
     span: int = ROW_SPAN,
+    start: int | None = None,
 ) -> DataFrame:
     """Add ``segment_id``: a new segment starts once the file is over ``limit`` bytes and the record just
-    written ended a transaction."""
+    written ended a transaction. With ``start``, ``order`` holds ids of the cycle and the log begins at that
+    one, so an id after the wrap follows those before it."""
+    if start is not None:
+        ahead = records.withColumn("__ahead", cyclic_distance(F.col(order), start))
+        return segment_log(ahead, limit, "__ahead", size, committed, scope, span).drop("__ahead")
     scope = list(scope)
     narrow = records.select(*scope, order, F.col(size).cast("bigint").alias("__bytes"), F.col(committed).alias("__committed"))
     narrow = narrow.withColumns({"__log": F.lit(0), "__block": block_of(F.col(order), span)})
@@ -81,14 +88,19 @@ def rewrite_positions(
     return placed if frame is None else placed.withColumn("crc", F.crc32(frame))
 
 
-def segment_manifest(frames: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """One row per segment: extent, times, size with header and rotation frame, and the next segment."""
+def segment_manifest(frames: DataFrame, scope: Sequence[str] = (), start: int = MIN_SEQID) -> DataFrame:
+    """One row per segment: extent, times, size with header and rotation frame, and the next segment.
+
+    First and last id go by their distance from ``start``, the id the log begins with, so a segment
+    may hold the wrap of the cycle.
+    """
     scope = list(scope)
+    ahead = cyclic_distance(F.col("seqid"), start)
     per_segment = frames.groupBy(*scope, "segment_id").agg(
         F.count("*").alias("frames"),
         F.sum("size").alias("bytes"),
-        F.min("seqid").alias("first_seqid"),
-        F.max("seqid").alias("last_seqid"),
+        seqid_at(start, F.min(ahead)).alias("first_seqid"),
+        seqid_at(start, F.max(ahead)).alias("last_seqid"),
         F.min("event_ts").alias("first_ts"),
         F.max("event_ts").alias("last_ts"),
     )

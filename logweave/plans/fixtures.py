@@ -133,7 +133,11 @@ def topic_messages(spark: SparkSession, sf_dir: str, variant: str = "dense", sta
 
 def ordered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a topic in id order, as a collector writes it."""
-    return table(spark, sf_dir, "events").select(
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
         F.col("props").cast("binary").alias("value"),
         F.lit("changes").alias("topic"),

@@ -244,6 +244,7 @@ WITH {LOG}, names AS (
   SELECT CASE kind WHEN 'OTHER' THEN log_file || '.tmp' WHEN 'XID' THEN 'old-' || log_file ELSE log_file END AS name FROM log)
 SELECT name, CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) AS segment_number, count(*) AS n
 FROM names WHERE regexp_matches(name, '^binlog-[0-9]+.log$') GROUP BY ALL""",
+    "newest_and_oldest_unpadded": "SELECT 'binlog-' || max(event_id % 7 + 7) || '.log' AS newest, 'binlog-' || min(event_id % 7 + 7) || '.log' AS oldest FROM events",
     "newest_and_oldest_segment": f"WITH {LOG} SELECT max(log_file) AS newest, min(log_file) AS oldest FROM log",
     "assemble_transactions": f"WITH {ROUTED}, {TRANSACTIONS} SELECT * FROM transactions",
     "drop_empty_transactions": f"""
@@ -344,6 +345,12 @@ SELECT 'changes' AS topic, partition, tick, part, count(*) AS messages, CAST(sum
        min("offset") AS first_offset, max("offset") AS last_offset,
        '{{"topic":"changes","data":[' || string_agg('{{"key":"' || key || '","value":"' || to_base64(encode(value)) || '"}}', ',' ORDER BY idx) || ']}}' AS pack
 FROM packed GROUP BY partition, tick, part""",
+    "pack_messages_two_topics": f"""
+WITH RECURSIVE {PACKS}
+SELECT topic, partition, tick, part, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes,
+       min("offset") AS first_offset, max("offset") AS last_offset,
+       '{{"topic":"' || topic || '","data":[' || string_agg('{{"key":"' || key || '","value":"' || to_base64(encode(value)) || '"}}', ',' ORDER BY idx) || ']}}' AS pack
+FROM packed, (VALUES ('left'), ('right')) AS t(topic) GROUP BY topic, partition, tick, part""",
     "unpack": f"WITH RECURSIVE {PACKS} SELECT 'archive' AS topic, CAST(idx AS INT) AS idx, key, value FROM packed",
     "log_rows": "SELECT 'key: k' || event_id || ', value:' || props AS line FROM events",
     "republish": f"""
@@ -351,6 +358,10 @@ WITH keyed AS (SELECT 'k' || event_id AS key, props AS value FROM events),
 {partition_of("key", "keyed", 6, "key, value")} SELECT 'archive' AS topic, key, value, partition FROM placed""",
     "segment_log": f"""
 WITH RECURSIVE {SEGMENTS} SELECT seqid, bytes, committed, segment_id FROM numbered JOIN seg_fold USING (seqid)""",
+    "segment_log_wrapped": f"""
+WITH RECURSIVE {SEGMENTS}
+SELECT (10**12 - 999 - 1 + seqid - 1)::BIGINT % 1000000000000 + 1 AS seqid, bytes, committed, segment_id
+FROM numbered JOIN seg_fold USING (seqid)""",
     "rewrite_positions": f"""
 WITH {FRAMES} SELECT segment_id, seqid, size, log_pos, CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) AS crc FROM frames""",
     "verify_segments": f"""
@@ -366,6 +377,9 @@ WITH {FRAMES}, m AS (
 chained AS (SELECT *, lead(segment_id) OVER (ORDER BY segment_id) AS next_segment FROM m)
 SELECT * REPLACE (coalesce(next_segment, -1) AS next_segment), 120 + bytes + coalesce(31 + length('binlog-' || next_segment || '.log'), 0) AS file_bytes FROM chained""",
     "write_segments_table": f"""
+WITH {FRAMES} SELECT segment_id, seqid, size, log_pos,
+  CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) + CAST(damaged AS INT) AS crc FROM frames""",
+    "read_segments_pruned": f"""
 WITH {FRAMES} SELECT segment_id, seqid, size, log_pos,
   CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) + CAST(damaged AS INT) AS crc FROM frames WHERE segment_id >= 1""",
     "scan_segments": f"""
@@ -411,3 +425,6 @@ FROM released JOIN seg_fold USING (d)""",
 WITH keyed AS (SELECT 'k' || event_id AS key, props AS value FROM events),
 {partition_of("key", "keyed", 6, "key, value")} SELECT 'changes' AS topic, key, value, partition FROM placed""",
 }
+ORACLES["stream_log_rows"] = ORACLES["log_rows"]
+ORACLES["stream_files_to_table"] = "SELECT 'archive' AS topic, 'k' || event_id AS key, props AS value FROM events"
+ORACLES["stream_segments_in_batches"] = ORACLES["stream_segments"]

@@ -18,7 +18,15 @@ from logweave.session import checkpoint_root, cut_lineage
 from logweave.sinks.segments import read_segments, write_segments
 from logweave.sources import changelog, topic
 from logweave.streaming.collector import collect_stream
-from logweave.streaming.relay import failover_write, pack_stream, republish_stream, retrying_write, table_writer
+from logweave.streaming.relay import (
+    failover_write,
+    log_lines,
+    open_sink,
+    pack_stream,
+    republish_stream,
+    retrying_write,
+    table_writer,
+)
 from logweave.streaming.replayer import resequence_stream
 from logweave.streaming.state import BatchStore
 
@@ -128,6 +136,13 @@ def newest_and_oldest_segment(spark, sf):
 # ---- transactions and records --------------------------------------------------------------------
 
 
+@query
+def newest_and_oldest_unpadded(spark, sf):
+    """Numbers of different width: newest and oldest go by number, not by text."""
+    names = fx.table(spark, sf, "events").select(segments.segment_name(F.col("event_id") % 7 + 7).alias("name"))
+    return segments.newest_and_oldest(names)
+
+
 @query
 def assemble_transactions(spark, sf):
     return transactions.assemble_transactions(fx.change_log(spark, sf), RULES, span=fx.SPAN)
@@ -365,6 +380,14 @@ def pack_messages(spark, sf):
     return packs.select("topic", "partition", "tick", "part", "messages", "bytes", "first_offset", "last_offset", "pack")
 
 
+@query
+def pack_messages_two_topics(spark, sf):
+    """Two topics with the same partitions and offsets: their packs stay apart."""
+    both = fx.ordered_messages(spark, sf).withColumn("topic", F.explode(F.array(F.lit("left"), F.lit("right"))))
+    packs = relay.pack_messages(both, PACK_COUNT, PACK_SIZE, PACK_TICK, span=fx.SPAN)
+    return packs.select("topic", "partition", "tick", "part", "messages", "bytes", "first_offset", "last_offset", "pack")
+
+
 def _packs(spark, sf):
     return relay.pack_messages(
         fx.ordered_messages(spark, sf), PACK_COUNT, PACK_SIZE, PACK_TICK, topic="archive", span=fx.SPAN
@@ -379,8 +402,7 @@ def unpack(spark, sf):
 @query
 def log_rows(spark, sf):
     """What the log sink prints."""
-    rows = relay.unpack(_packs(spark, sf))
-    return rows.select(F.concat(F.lit("key: "), "key", F.lit(", value:"), F.col("value").cast("string")).alias("line"))
+    return log_lines(_packs(spark, sf))
 
 
 @query
@@ -398,6 +420,14 @@ def segment_log(spark, sf):
     return segments.segment_log(records, SEGMENT_LIMIT)
 
 
+@query
+def segment_log_wrapped(spark, sf):
+    """The same cuts with ids that pass the end of their cycle."""
+    numbered = collector.numbered_headers(fx.change_log(spark, sf), RULES, fx.MAX_SIZE, start=SEQ_START, span=fx.SPAN)
+    records = cut_lineage(numbered.select("seqid", "bytes", "committed"))
+    return segments.segment_log(records, SEGMENT_LIMIT, start=SEQ_START, span=64)
+
+
 @query
 def rewrite_positions(spark, sf):
     placed = segments.rewrite_positions(
@@ -436,11 +466,20 @@ def segment_manifest(spark, sf):
 
 @query
 def write_segments_table(spark, sf):
-    """Frames written as a segment table and read back from segment 1 on."""
-    path = f"{checkpoint_root(spark)}/segment-table-{sf.strip('/').replace('/', '-')}"
-    write_segments(fx.segment_frames(spark, sf), path, mode="overwrite", per_folder=4)
-    frames = read_segments(spark, path, from_segment=1, per_folder=4)
-    return frames.select("segment_id", "seqid", "size", "log_pos", "crc")
+    """Frames written as a segment table and read back."""
+    return _segment_table(spark, sf).select("segment_id", "seqid", "size", "log_pos", "crc")
+
+
+@query
+def read_segments_pruned(spark, sf):
+    """The same from segment 1 on; folders before it are not listed."""
+    return _segment_table(spark, sf, from_segment=1).select("segment_id", "seqid", "size", "log_pos", "crc")
+
+
+def _segment_table(spark, sf, from_segment=None):
+    path = f"{checkpoint_root(spark)}/segment-table-{uuid.uuid4().hex}"
+    write_segments(fx.segment_frames(spark, sf), path, per_folder=4)
+    return read_segments(spark, path, from_segment, per_folder=4)
 
 
 @query
@@ -532,10 +571,50 @@ def stream_records(spark, sf):
     )
 
 
+def _event_batches(spark, sf, files=4):
+    """The event table as a stream of several micro-batches."""
+    events = fx.table(spark, sf, "events")
+    path = f"{checkpoint_root(spark)}/streams/events-{uuid.uuid4().hex}"
+    events.repartitionByRange(files, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_log_rows(spark, sf):
+    """Topic to packs to the log sink, over several micro-batches: a line for every message."""
+    store = _store(spark, "log")
+    messages = fx.messages_of(_event_batches(spark, sf))
+    _finish(
+        pack_stream(messages, open_sink("log", {"path": store.root}), store.path("checkpoint"), PACK_COUNT, PACK_SIZE, PACK_TICK, span=fx.SPAN)
+    )
+    return spark.read.text(store.path("log") + "/batch=*").withColumnRenamed("value", "line")
+
+
+@query
+def stream_files_to_table(spark, sf):
+    """Files as the source and a table as the sink of the relay."""
+    store = _store(spark, "hop")
+    messages = fx.messages_of(_event_batches(spark, sf))
+    _finish(
+        pack_stream(messages, open_sink("table", {"path": store.root}), store.path("checkpoint"), PACK_COUNT, PACK_SIZE, PACK_TICK, "archive", fx.SPAN)
+    )
+    return relay.unpack(store.read(spark, "packs")).select("topic", "key", _text("value"))
+
+
+@query
+def stream_segments_in_batches(spark, sf):
+    """As ``stream_segments``, in several micro-batches that carry state."""
+    return _stream_segments(spark, _event_batches(spark, sf))
+
+
 @query
 def stream_segments(spark, sf):
     """The replayer as a stream: out-of-order messages with a gap, released, cut and placed."""
-    events = _event_stream(spark, sf).where(F.col("event_id") % 6007 != 6006)  # the gap
+    return _stream_segments(spark, _event_stream(spark, sf))
+
+
+def _stream_segments(spark, stream):
+    events = stream.where(F.col("event_id") % 6007 != 6006)  # the gap
     messages = events.select(
         F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
         encode_envelope(F.col("event_id") + 1, F.array(F.col("props").cast("binary"))).cast("binary").alias("value"),

@@ -66,9 +66,15 @@ def table_writer(store: BatchStore, name: str) -> BatchWriter:
     return lambda df, batch_id: store.write(name, batch_id, df)
 
 
-def log_writer(pack: str = "pack", rows: int = 20) -> BatchWriter:
-    """Print unpacked messages, as the console sink does."""
-    return lambda df, batch_id: unpack(df, pack).select("key", F.col("value").cast("string")).show(rows, truncate=False)
+def log_lines(packs: DataFrame, pack: str = "pack") -> DataFrame:
+    """One log line per message of every pack; a missing key or value is empty."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("key", "value")}
+    return unpack(packs, pack).select(F.concat(F.lit("key: "), text["key"], F.lit(", value:"), text["value"]).alias("line"))
+
+
+def log_writer(store: BatchStore, name: str = "log", pack: str = "pack") -> BatchWriter:
+    """Every message as a line of text, one folder a batch; a replayed batch replaces its folder."""
+    return lambda df, batch_id: log_lines(df, pack).write.mode("overwrite").text(store.path(name, batch_id))
 
 
 def kafka_writer(options: dict[str, str]) -> BatchWriter:
@@ -101,7 +107,7 @@ def republish_stream(packs: DataFrame, write: BatchWriter, checkpoint: str, part
 
 
 SOURCES = ("table", "files", "kafka")
-SINKS = ("table", "kafka", "console")
+SINKS = ("table", "kafka", "log")
 
 
 def open_source(spark, kind: str, options: dict[str, str], schema=None) -> DataFrame:
@@ -123,6 +129,5 @@ def open_sink(kind: str, options: dict[str, str]) -> BatchWriter:
         raise ValueError(f"sink {kind!r} is not one of {SINKS}")
     if kind == "kafka":
         return kafka_writer(options)
-    if kind == "console":
-        return log_writer()
-    return table_writer(BatchStore(options["path"]), options.get("name", "packs"))
+    store = BatchStore(options["path"])
+    return log_writer(store, options.get("name", "log")) if kind == "log" else table_writer(store, options.get("name", "packs"))

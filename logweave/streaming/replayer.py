@@ -24,7 +24,8 @@ def resequence_stream(
     State: the expected id and the messages behind the first gap ("pending"). A gap that never fills
     keeps everything behind it pending, as it must; ``gap_report`` on that state names it.
     Undecodable messages go to "dead". With ``segment_limit`` the released records are also laid out
-    as frames in "segments"; the open segment's number and bytes are state as well.
+    as frames in "segments"; the open segment's number and bytes are state as well. A segment that the
+    last record of a batch has closed stays closed: the next batch starts a new one, wherever batches end.
     """
 
     def batch(new: DataFrame, batch_id: int) -> None:
@@ -46,8 +47,12 @@ def resequence_stream(
             frames = _place(released, segment_id, segment_bytes, segment_limit, span)
             store.write("segments", batch_id, frames)
             written = spark.read.parquet(store.path("segments", batch_id))
-            end = written.agg(F.max(F.struct("segment_id", "log_pos"))).first()[0]
-            segment_id, segment_bytes = end["segment_id"], end["log_pos"] - HEADER_BYTES
+            segment_id = written.agg(F.max("segment_id")).first()[0]
+            log_pos = written.where(F.col("segment_id") == segment_id).agg(F.max("log_pos")).first()[0]
+            committed = released.where(F.col("d") == count - 1).select("committed").first()[0]
+            segment_bytes = log_pos - HEADER_BYTES
+            if committed and log_pos > segment_limit:
+                segment_id, segment_bytes = segment_id + 1, 0
         store.keep_row(
             spark,
             "expected",

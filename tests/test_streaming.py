@@ -131,7 +131,8 @@ def test_relay_round_trip(spark, tmp_path):
     got = out.read(spark, "topic").select("topic", "key", "value").collect()
     want = messages.select("topic", "key", "value").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
-    open_sink("console", {})(spark.read.parquet(packs.path("packs")).limit(1), 0)
+    open_sink("log", {"path": packs.root})(spark.read.parquet(packs.path("packs")), 0)
+    assert spark.read.text(packs.path("log", 0)).count() == len(want)
     with pytest.raises(ValueError):
         open_sink("tape", {})
 
