@@ -6,25 +6,32 @@ of rows only needs to know how much the open pack already holds when the block s
 start never cuts earlier, a block's answer as a function of that amount is a step function with few
 steps. So:
 
-1. every block is summarised on its own to its steps (a handful of rows),
-2. the steps of one scope are walked in block order, giving each block the amount it starts with,
-3. every block is cut on its own from that amount.
+1. every block is summarised on its own to its steps,
+2. the steps of ``FAN_IN`` neighbouring blocks are composed to those of one larger block, level by level,
+3. the largest blocks of a scope are walked in order, giving each the amount it starts with; what each starts
+   with is handed down the same way to the smaller blocks inside it,
+4. every block is cut on its own from that amount.
 
-Steps 1 and 3 are the work and run in parallel over blocks; step 2 sees only the summaries. No group
-ever holds more than one block, however hot a scope or a run is.
+Steps 1 and 4 are the work and run in parallel over blocks. A block has no more steps than one pack has rows,
+also after composing, so a group of step 2 or 3 holds at most ``FAN_IN`` times that, however hot a scope or a run is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.integers import floor_div
+
+FAN_IN = 64
 _NO_LIMIT = np.iinfo(np.int64).max // 4
 STEP_COLUMNS = ("hi_cum", "hi_row", "bytes", "rows", "cuts")
+ENTRY_COLUMNS = ("entry_bytes", "entry_rows", "entry_cuts")
 
 
 class _Block:
@@ -109,6 +116,97 @@ class _Block:
         return before - base[run_no]
 
 
+@dataclass
+class _Steps:
+    """One block's summary: what it adds without a cut (``bytes``, ``rows``), or where it ends whatever comes
+    in if its run changes inside, and its steps."""
+
+    head: int
+    first_run: int
+    last_run: int
+    whole: tuple[int, int, int]
+    steps: dict[str, np.ndarray]
+
+    @classmethod
+    def read(cls, summary: pa.Table) -> list[_Steps]:
+        at = {c: summary[c].to_numpy() for c in (*STEP_COLUMNS, "first_run", "last_run")}
+        heads = np.flatnonzero(at["hi_row"] == -1)  # each block's first row
+        tails = np.append(heads[1:], summary.num_rows)
+        return [
+            cls(
+                h, at["first_run"][h], at["last_run"][h], tuple(int(at[c][h]) for c in ("bytes", "rows", "cuts")),
+                {c: at[c][h + 1 : t] for c in STEP_COLUMNS},
+            )
+            for h, t in zip(heads.tolist(), tails.tolist())
+        ]
+
+    def step(self, held, count, max_size: int, max_count: int):
+        """Index of the step that an open pack of this much takes; the number of steps if it stays open."""
+        return np.minimum(
+            np.searchsorted(self.steps["hi_cum"], max_size - held, side="right"),
+            np.searchsorted(self.steps["hi_row"], max_count - count, side="left"),
+        )
+
+    def ends(self, held: np.ndarray, count: np.ndarray, cuts: np.ndarray, max_size: int, max_count: int) -> list[np.ndarray]:
+        """What is open after the block, and the cuts of its run, for each state before it in the same run."""
+        index = self.step(held, count, max_size, max_count)
+        cut = index < len(self.steps["hi_cum"])
+        out = []
+        for before, name, add in ((held, "bytes", self.whole[0]), (count, "rows", self.whole[1]), (cuts, "cuts", 0)):
+            after = np.append(self.steps[name], 0)[index]
+            out.append(np.where(cut, after + (before if name == "cuts" else 0), before + add))
+        return out
+
+
+def _walked(blocks: list[_Steps], start: tuple[int, int, int], max_size: int, max_count: int) -> np.ndarray:
+    """What every block starts with: bytes and rows of the open pack, and the cuts of its run before it."""
+    entries = np.zeros((len(blocks), 3), dtype=np.int64)
+    run, state = blocks[0].first_run, start
+    for i, block in enumerate(blocks):
+        if run != block.first_run:
+            state = (0, 0, 0)
+        entries[i] = state
+        run = block.last_run
+        if block.first_run != run:
+            state = block.whole
+        else:
+            state = tuple(int(x[0]) for x in block.ends(*(np.array([v]) for v in state), max_size, max_count))
+    return entries
+
+
+def _composed(blocks: list[_Steps], max_size: int, max_count: int) -> dict[str, np.ndarray]:
+    """The summary of neighbouring blocks as one block."""
+    none = np.zeros(0, np.int64)
+    hi_cum, hi_row, ends = none, none, [none, none, none]
+    one_run, run, whole = True, blocks[0].first_run, (0, 0, 0)
+    for block in blocks:
+        fresh = run != block.first_run
+        run = block.last_run
+        if fresh or block.first_run != run:  # from here on, the end does not depend on the beginning
+            one_run, hi_cum, hi_row, ends = False, none, none, [none, none, none]
+        if block.first_run != run:
+            whole = block.whole
+            continue
+        ends = block.ends(*ends, max_size, max_count)
+        state = (0, 0, 0) if fresh else whole
+        if one_run:  # a pack that no block before has cut
+            hi_cum, hi_row = (np.concatenate([a, block.steps[c] + add]) for a, c, add in ((hi_cum, "hi_cum", whole[0]), (hi_row, "hi_row", whole[1])))
+            ends = [np.concatenate([a, block.steps[c]]) for a, c in zip(ends, ("bytes", "rows", "cuts"))]
+            whole = (whole[0] + block.whole[0], whole[1] + block.whole[1], 0)
+        else:
+            whole = tuple(int(x[0]) for x in block.ends(*(np.array([v]) for v in state), max_size, max_count))
+    reach = min(int(np.searchsorted(hi_cum, max_size, side="right")), int(np.searchsorted(hi_row, max_count, side="left"))) + 1
+    hi_cum, hi_row, ends = hi_cum[:reach], hi_row[:reach], [x[:reach] for x in ends]  # an empty pack is cut last
+    if len(hi_cum):
+        changes = np.any([x[1:] != x[:-1] for x in ends], axis=0)
+        edge = np.append(np.flatnonzero(changes), len(hi_cum) - 1)
+        hi_cum, hi_row, ends = hi_cum[edge], hi_row[edge], [x[edge] for x in ends]
+    columns = dict(zip(STEP_COLUMNS, zip((-1, -1, *whole), (hi_cum, hi_row, *ends))))
+    out = {c: np.concatenate([[first], rest]).astype(np.int64) for c, (first, rest) in columns.items()}
+    runs = {"first_run": blocks[0].first_run, "last_run": blocks[-1].last_run}
+    return out | {c: np.full(len(out["hi_cum"]), v, np.int64) for c, v in runs.items()}
+
+
 def _sorted(table: pa.Table, order: Sequence[str]) -> pa.Table:
     return table.take(pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in order]))
 
@@ -133,6 +231,7 @@ def greedy_pack(
     eligible: str | None = None,
     run: str | None = None,
     base_size: int = 0,
+    levels: int = 1,
 ) -> DataFrame:
     """Add ``part`` (0-based within the run) and ``is_cut`` (row closed its part by a limit).
 
@@ -140,6 +239,8 @@ def greedy_pack(
     size, eligible, run  columns: bytes of a row (BIGINT), whether it may be cut after it (all rows
             without it), and a BIGINT where a new pack always starts when it changes along the order.
     base_size  bytes every pack holds before its first row.
+    levels     how often blocks are composed before a scope is walked: a walk sees one summary for
+               ``FAN_IN`` ** levels neighbouring values of the last block column, which is an integer.
 
     All columns pass through Python: leave out what the caller can join back.
     """
@@ -174,34 +275,53 @@ def greedy_pack(
     # the same columns as in the cutting step below, so that Spark can reuse the shuffle underneath
     summaries = df.groupBy(*keys).applyInArrow(summarise, ", ".join(key_types + summary_types))
 
-    def walk(summary: pa.Table) -> pa.Table:
-        summary = _sorted(summary, [*block, "hi_row"])
-        at = {c: summary[c].to_numpy() for c in summary_names[len(keys) :]}
-        heads = np.flatnonzero(at["hi_row"] == -1)  # each block's first row
-        tails = np.append(heads[1:], summary.num_rows)
-        entries = np.zeros((len(heads), 3), dtype=np.int64)
-        run, held, count, cuts = None, 0, 0, 0
-        for i, (head, tail) in enumerate(zip(heads.tolist(), tails.tolist())):
-            if run != at["first_run"][head]:
-                held, count, cuts = 0, 0, 0
-            entries[i] = held, count, cuts
-            run = at["last_run"][head]
-            if at["first_run"][head] != run:
-                held, count, cuts = at["bytes"][head], at["rows"][head], at["cuts"][head]
-                continue
-            step = head + 1 + min(
-                np.searchsorted(at["hi_cum"][head + 1 : tail], max_size - held, side="right"),
-                np.searchsorted(at["hi_row"][head + 1 : tail], max_count - count, side="left"),
-            )
-            if step < tail:
-                held, count, cuts = at["bytes"][step], at["rows"][step], cuts + at["cuts"][step]
-            else:
-                held, count = held + at["bytes"][head], count + at["rows"][head]
-        arrays = [summary[k].take(pa.array(heads)) for k in keys] + [pa.array(entries[:, c]) for c in range(3)]
-        return pa.Table.from_arrays(arrays, names=keys + ["entry_bytes", "entry_rows", "entry_cuts"])
-
-    entry_types = ["entry_bytes bigint", "entry_rows bigint", "entry_cuts bigint"]
-    entries = summaries.groupBy(*scope).applyInArrow(walk, ", ".join(key_types + entry_types))
+    step_names = summary_names[len(keys) :]
+    level_keys = [block] + [[*block[:-1], f"__up{k}"] for k in range(1, levels + 1)]
+    level_types = [", ".join(key_types)] + [", ".join([*key_types[:-1], f"__up{k} bigint"]) for k in range(1, levels + 1)]
+
+    def parent(frame: DataFrame, level: int) -> DataFrame:
+        return frame.withColumn(f"__up{level + 1}", floor_div(F.col(level_keys[level][-1]), FAN_IN))
+
+    def composing(level: int):
+        own, upper = level_keys[level], scope + level_keys[level + 1]
+
+        def compose(summary: pa.Table) -> pa.Table:
+            steps = _composed(_Steps.read(_sorted(summary, [*own, "hi_row"])), max_size, max_count)
+            arrays = [pa.repeat(summary[k][0], len(steps["hi_cum"])) for k in upper]
+            return pa.Table.from_arrays(arrays + [pa.array(steps[c]) for c in step_names], names=upper + step_names)
+
+        return compose
+
+    def walking(level: int):
+        own = scope + level_keys[level]
+
+        def walk(summary: pa.Table, start: tuple[int, int, int]) -> pa.Table:
+            summary = _sorted(summary, [*level_keys[level], "hi_row"])
+            blocks = _Steps.read(summary)
+            found = _walked(blocks, start, max_size, max_count)
+            heads = pa.array([x.head for x in blocks])
+            arrays = [summary[k].take(heads) for k in own] + [pa.array(found[:, c]) for c in range(3)]
+            return pa.Table.from_arrays(arrays, names=own + list(ENTRY_COLUMNS))
+
+        def from_top(summary: pa.Table) -> pa.Table:
+            return walk(summary, (0, 0, 0))
+
+        def from_above(summary: pa.Table, entry: pa.Table) -> pa.Table:
+            return walk(summary, tuple(entry[c][0].as_py() for c in ENTRY_COLUMNS))
+
+        return from_top if level == levels else from_above
+
+    tiers = [summaries]
+    for level in range(levels):
+        tiers[level] = parent(tiers[level], level)
+        grouped = tiers[level].groupBy(*scope, *level_keys[level + 1])
+        tiers.append(grouped.applyInArrow(composing(level), ", ".join([level_types[level + 1], *summary_types])))
+    entry_types = [f"{c} bigint" for c in ENTRY_COLUMNS]
+    entries = tiers[-1].groupBy(*scope).applyInArrow(walking(levels), ", ".join([level_types[levels], *entry_types]))
+    for level in reversed(range(levels)):
+        upper = scope + level_keys[level + 1]
+        pairs = tiers[level].groupBy(*upper).cogroup(entries.groupBy(*upper))
+        entries = pairs.applyInArrow(walking(level), ", ".join([level_types[level], *entry_types]))
 
     out_schema = df.withColumns({"part": F.lit(0).cast("bigint"), "is_cut": F.lit(False)}).schema
 

@@ -68,6 +68,7 @@ def segment_log(
         max_size=limit,
         eligible="__committed",
         base_size=HEADER_BYTES,
+        levels=2,  # one log holds everything
     )
     # payload, if any, meets its segment here and stays out of the cutting
     return records.join(cut.select(*scope, order, F.col("part").alias("segment_id")), [*scope, order])

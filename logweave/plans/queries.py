@@ -384,7 +384,7 @@ def pack_messages(spark, sf):
 def pack_messages_two_topics(spark, sf):
     """Two topics with the same partitions and offsets: their packs stay apart."""
     both = fx.ordered_messages(spark, sf).withColumn("topic", F.explode(F.array(F.lit("left"), F.lit("right"))))
-    packs = relay.pack_messages(both, PACK_COUNT, PACK_SIZE, PACK_TICK, span=fx.SPAN)
+    packs = relay.pack_messages(both, PACK_COUNT, PACK_SIZE, PACK_TICK, span=256)  # ten blocks and more
     return packs.select("topic", "partition", "tick", "part", "messages", "bytes", "first_offset", "last_offset", "pack")
 
 

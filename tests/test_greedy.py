@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.operators import greedy
 from logweave.operators.greedy import greedy_pack
 
 
@@ -25,7 +27,8 @@ def fold(rows, max_size, max_count, base=0):
 
 
 @pytest.mark.parametrize("max_size,max_count,base", [(100, None, 0), (None, 5, 0), (60, 4, 0), (1000, 40, 0), (300, None, 120)])
-def test_matches_fold(spark, max_size, max_count, base):
+def test_matches_fold(spark, monkeypatch, max_size, max_count, base):
+    monkeypatch.setattr(greedy, "FAN_IN", 3)
     rng = random.Random(max_size or 7)
     data, expected = [], {}
     for scope in range(4):
@@ -41,13 +44,35 @@ def test_matches_fold(spark, max_size, max_count, base):
         df = spark.createDataFrame(pd.DataFrame(data, columns=["scope", "pos", "run", "size", "ok"]).sample(frac=1, random_state=1))
         df = df.withColumn("blk", F.floor(F.col("pos") / span).cast("bigint"))
         got = greedy_pack(
-            df, ["scope"], ["blk"], ["pos"], "size", max_size, max_count, "ok", "run", base_size=base
+            df, ["scope"], ["blk"], ["pos"], "size", max_size, max_count, "ok", "run", base_size=base, levels={3: 3, 17: 2, 1000: 0}[span]
         ).toPandas()
         assert len(got) == len(data)
         for r in got.itertuples():
             assert (r.part, r.is_cut) == expected[r.scope][r.pos], (span, r)
 
 
+def test_composed_blocks_stay_small():
+    """Records of one size never meet at a cut: the worst case for the number of steps."""
+    limit, per_block, size = 10_000, 40, 100
+    blocks = []
+    for _ in range(27):
+        b = greedy._Block(np.zeros(per_block, np.int64), np.full(per_block, size), np.ones(per_block, bool), limit, greedy._NO_LIMIT)
+        blocks.append(greedy._Steps(0, 0, 0, (int(b.cum[-1]), b.n, 0), b.steps()))
+    tiers = [blocks]
+    while len(tiers[-1]) > 1:
+        groups = [tiers[-1][i : i + 3] for i in range(0, len(tiers[-1]), 3)]
+        composed = [greedy._composed(g, limit, greedy._NO_LIMIT) for g in groups]
+        tiers.append([greedy._Steps.read(pa.table(c))[0] for c in composed])
+        assert max(len(x.steps["hi_cum"]) for x in tiers[-1]) <= limit // size + 1
+    assert len(tiers) == 4
+    for held in range(0, limit + 1, 700):
+        want = (held, held // size, 0)
+        for block in blocks:
+            want = tuple(int(x[0]) for x in block.ends(*(np.array([v]) for v in want), limit, greedy._NO_LIMIT))
+        got = tuple(int(x[0]) for x in tiers[-1][0].ends(*(np.array([v]) for v in (held, held // size, 0)), limit, greedy._NO_LIMIT))
+        assert got == want
+
+
 def test_key_hash_vectors():
     from logweave.functions.hashing import hash_keys
 
