@@ -12,7 +12,6 @@ from logweave.operators.relay import split_bad_envelopes
 from logweave.operators.scan import ROW_SPAN, block_of
 from logweave.operators.segments import HEADER_BYTES, rewrite_positions, segment_log
 from logweave.operators.sequence import drop_stale, resequence
-from logweave.session import cut_lineage
 from logweave.streaming.state import BatchStore
 
 
@@ -36,7 +35,7 @@ def resequence_stream(
             spark, "expected", batch_id, {"seqid": start, "segment_id": 0, "segment_bytes": 0}
         )
         pending = store.previous(spark, "pending", batch_id, good.schema)
-        waiting = cut_lineage(drop_stale(pending.unionByName(good), state.seqid))
+        waiting = store.between("waiting", batch_id, drop_stale(pending.unionByName(good), state.seqid))
         store.write("released", batch_id, resequence(waiting, state.seqid, span))
         released = spark.read.parquet(store.path("released", batch_id))
         count = released.count()

@@ -33,6 +33,11 @@ class BatchStore:
         """State after a batch."""
         df.write.mode("overwrite").parquet(self._slot(name, batch_id))
 
+    def between(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
+        """An intermediate result of a batch, written once and read back; its folder is used again two batches on."""
+        self.keep(name, batch_id, df)
+        return df.sparkSession.read.schema(df.schema).parquet(self._slot(name, batch_id))
+
     def previous(self, spark: SparkSession, name: str, batch_id: int, schema: StructType) -> DataFrame:
         """State after the batch before this one; empty for the first batch."""
         if batch_id == 0:

@@ -51,6 +51,18 @@ def test_collector_stream_equals_batch(spark, tmp_path):
         assert positions == sorted(positions)
 
 
+def test_collector_state_holds_open_transactions_only(spark, tmp_path):
+    log = fx.change_log(spark, SF_SMALL)
+    alone = log.where(F.col("kind").isin("OTHER", "ROWS") | ((F.col("kind") == "QUERY") & (F.upper(F.coalesce("query", F.lit(""))) != "BEGIN")))
+    store = BatchStore(str(tmp_path / "store"))
+    folder = str(tmp_path / "log")
+    in_files(alone, folder, "log_pos", 3)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    run(collect_stream(stream, RULES, fx.MAX_SIZE, store, span=fx.SPAN))
+    assert store.read(spark, "records").select("batch").distinct().count() == 3
+    assert all(store.previous(spark, "open", batch, log.schema).count() == 0 for batch in (2, 3))
+
+
 def test_replayed_batch_hands_out_the_same_ids(spark, tmp_path):
     log = fx.change_log(spark, SF_SMALL)
     store = BatchStore(str(tmp_path / "store"))
