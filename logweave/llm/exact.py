@@ -1,28 +1,39 @@
 """Exact deduplication with the most frequent texts taken out before the shuffle.
 
-Misra-Gries summaries (Spark's frequent-items aggregate keeps one, ``tracked`` counters at most, and merges
-them) find every digest that could hold a large share of the rows. The few candidates are counted
-exactly where the rows lie, with partial sums; their winners are broadcast, ``hot`` rows at most, and
-settle their groups without moving a row. No group that is left is large, so an ordinary shuffle by
-digest does the rest.
+Misra-Gries summaries find every digest that could hold a large share of the rows: a block of rows keeps the
+``hot`` most frequent values of its exact counts, each less the count of the next one, and summaries are added up and cut
+again. A value loses at most rows / (hot + 1) of its count, so none above that is missed. The few candidates are
+counted exactly where the rows lie, with partial sums; their winners are broadcast, ``hot`` rows at most, and settle
+their groups without moving a row. No group that is left is large, so an ordinary shuffle by digest does the rest.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from logweave.llm.rows import picked_rows
 from logweave.llm.scratch import stored
 
-GROUPS = 64  # summaries are merged in two steps
+BLOCK_PARTS = 16  # input partitions to a block
 
 
-def frequent_values(df: DataFrame, column: str, part: str, hot: int, tracked: int) -> DataFrame:
-    """At most ``hot`` values of ``column`` (candidates for the most frequent ones), from mergeable summaries."""
-    partial = df.groupBy((F.col(part) % GROUPS).alias("g")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("s"))
-    merged = partial.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
-    return merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {hot})").alias("c")).alias("c")).select(F.col("c.item").alias(column))
+def _cut(counts: DataFrame, block: list[str], hot: int) -> DataFrame:
+    """The ``hot`` largest counts n of each block, less the next one."""
+    turn = F.row_number().over(W.partitionBy(*block).orderBy(F.desc("n"), "value"))
+    first = counts.withColumn("turn", turn).filter(F.col("turn") <= hot + 1)
+    over = F.max(F.when(F.col("turn") == hot + 1, F.col("n"))).over(W.partitionBy(*block))
+    less = first.withColumn("n", F.col("n") - F.coalesce(over, F.lit(0)))
+    return less.filter("n > 0").select(*block, "value", "n")
+
+
+def frequent_values(df: DataFrame, value: str, part: str, hot: int) -> DataFrame:
+    """At most ``hot`` values (column ``value``): all that more than one in ``hot`` + 1 rows has, and maybe others."""
+    counts = df.groupBy(F.expr(f"{part} div {BLOCK_PARTS}").alias("block"), F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    summed = _cut(counts, ["block"], hot).groupBy("value").agg(F.sum("n").alias("n"))
+    largest = summed.orderBy(F.desc("n"), "value").limit(hot + 1).withColumn("block", F.lit(0))
+    return _cut(largest, ["block"], hot).select("value")
 
 
 def _winners(rows: DataFrame) -> DataFrame:
@@ -35,7 +46,7 @@ def _winners(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 256, tracked: int = 4096) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 256) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when their SHA-256 digests are; null counts as the empty text. Of equal texts the row with the
@@ -52,8 +63,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "digests",
     )
-    candidates = F.broadcast(frequent_values(rows, "text_sha256", "part", hot, tracked))
-    found = rows.join(candidates, "text_sha256", "left_semi")
+    rows = rows.withColumn("short", F.xxhash64("text_sha256"))  # for the summaries; the digest decides
+    candidates = F.broadcast(frequent_values(rows, "short", "part", hot))
+    found = rows.join(candidates, rows["short"] == candidates["value"], "left_semi")
     counted = found.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
     counted = stored(counted.filter("group_size > 1"), "frequent")  # at most `hot` rows
     first = (
