@@ -2,13 +2,21 @@
 
 A permutation's smallest and largest value over a document's shingles both agree between two documents with a chance
 equal to their Jaccard similarity. Keeping both halves the hashing for a signature of given length, and since
-they hardly depend on each other, the estimate's variance is lower. Bands of the signature find
-candidates, the signature's estimate drops hopeless ones, and every other is confirmed on the full sets.
+they hardly depend on each other, the estimate's variance is lower. Bands of the signature put candidates
+into buckets; every link is confirmed on the full sets.
 
-Documents with equal sets are one node from the start. In each bucket of a band, one member is compared with all others;
-only what is still in several components goes on, with further members compared round by round, until
-each pair of members is either in one component or has been compared. So large groups cost few
-comparisons, no pair of a bucket is left out, and no bucket is ever turned into all its pairs.
+Documents with equal sets are one node from the start. Pairs of a bucket are not listed. One document, the centre c (the
+one with the most company that its members have in any bucket), is compared with all members; whoever is linked to it is in one component. What
+is left are pairs (x, y) with y not linked to c:
+
+* They share a shingle outside c: then smaller buckets, one for each such shingle, are enough. How many shingles outside c a link
+  shares at least is known, so only that many of them fewer (plus one), in hash order, need a bucket.
+* All they share lies in c. A link shares at least the threshold's part of x and of y, so both lie in c to that part. And
+  if x is linked to c and not smaller, shared <= |c and y| and x or y >= |x| + |y outside c|, so they are no more alike than c
+  and y, hence no link. So one more bucket holds those that lie in c and are not linked or smaller.
+
+These buckets hold those rows of a group that share changes. Their members are compared in memory, in blocks of bounded size
+(two blocks at a time where a bucket has more), and only links that join components come out. No link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from logweave.llm.components import connected_components
 from logweave.llm.scratch import discard, stored
@@ -28,8 +35,7 @@ from logweave.llm.words import mix, text_chunks, word_hashes
 
 PERMUTATIONS = 84
 MISSED = 1e-5  # the chance that no band holds a pair just at the threshold
-MARGIN = 20  # points by which the estimate may fall short of the threshold: five standard deviations and more
-PIVOTS = 64  # members of a bucket compared with all others in one round
+SMALL = 64  # members of a bucket that a task holds at a time
 MEMBERS = 256  # documents compared with one copy of a centre's text
 
 _random = np.random.default_rng(85)
@@ -79,83 +85,110 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, text_hash, n_shingles, set_key, signature (a byte a value), bands."""
+    """Per row: doc_id, text_hash, n_shingles, set_key, bands."""
     rows = band_rows(percent)
     count = 2 * PERMUTATIONS // rows
     numbers = np.arange(count, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, short, bands = [], [], [], []
+            sizes, keys, bands = [], [], []
             for shingles in sets_of(batch.column(2), width):
                 sizes.append(len(shingles))
                 if not len(shingles):
                     keys.append(None)
-                    short.append(None)
                     bands.append(None)
                     continue
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 values = mix(signature(shingles))
-                short.append((values & np.uint64(255)).astype(np.uint8).tobytes())
                 banded = (values[: count * rows].reshape(count, rows) * PLACES[:rows]).sum(axis=1, dtype=np.uint64)
                 bands.append(mix(banded + numbers).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(short, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "signature", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
 
     rows_in = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col))
-    return rows_in.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>")
+    return rows_in.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
 def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches ``percent``."""
-    small, large = sorted((len(one), len(two)))
-    if 100 * small < percent * large:
-        return False
-    shared = len(np.intersect1d(one, two, assume_unique=True))
-    return 100 * shared >= percent * (small + large - shared)
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
 
+def compare(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bool, bool, np.ndarray]:
+    """How a sorted set stands to a centre: whether they are linked; whether it may link to a third set inside the centre alone;
+    and the shingles outside the centre of which any other link shares one (all but ``shared`` - 1, in hash order on both sides)."""
+    both = len(np.intersect1d(centre, other, assume_unique=True))
+    n, m = len(centre), len(other)
+    linked = 100 * both >= percent * (n + m - both)
+    inside = 100 * both >= percent * m and (not linked or m < n)
+    smallest = -(-percent * m // 100)  # of any set linked to the other one
+    shared = max(1, -(-percent * (m + smallest) // (100 + percent)) - both)
+    outside = np.setdiff1d(other, centre, assume_unique=True)
+    return linked, inside, outside[: max(0, len(outside) - shared + 1)]
 
-def _hopeful(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures (sa, sb) agree nearly as often as the threshold asks."""
-    least = 2 * PERMUTATIONS * (percent - MARGIN) / 100
+
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of sets (centre, sid) compared: centre, sid, linked, inside, outside. A centre's text moves once for up to ``MEMBERS`` pairs."""
+    pairs = stored(pairs, "pairs")
+    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    salted = stored(pairs.join(sizes, "centre").select("centre", "sid", F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt")), "salted")
+    centres = salted.select("centre", "salt", F.col("centre").alias("sid"), F.lit(True).alias("first")).distinct()
+    rows = centres.unionByName(salted.withColumn("first", F.lit(False))).join(texts, "sid")
+    rows = rows.select("centre", "salt", "sid", "first", "text").repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros(0, np.uint64)
         for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                good = (one == two).sum(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+            centre, sid, linked, within, outside = [], [], [], [], []
+            for c, s, first, shingles in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets_of(batch.column(4), width)):
+                if first:
+                    whole = shingles
+                    continue
+                yes, inside, beyond = compare(whole, shingles, percent)
+                centre.append(c)
+                sid.append(s)
+                linked.append(yes)
+                within.append(inside)
+                outside.append(beyond.view(np.int64))
+            columns = [pa.array(centre, pa.int64()), pa.array(sid, pa.int64()), pa.array(linked, pa.bool_()), pa.array(within, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["centre", "sid", "linked", "inside", "outside"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return stored(rows.mapInArrow(run, "centre bigint, sid bigint, linked boolean, inside boolean, outside array<bigint>"), "compared")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough. Texts of ``b`` move once a pair, those of ``a`` once for up to ``MEMBERS`` pairs."""
-    pairs = stored(pairs, "pairs")
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-    salted = stored(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), "salted")
-    wanted = salted.select("a", "salt", F.col("a").alias("node")).distinct().withColumn("b", F.lit(None).cast("bigint"))
-    wanted = wanted.unionByName(salted.select("a", "salt", "b", F.col("b").alias("node")))
-    wanted = wanted.join(nodes.select("node", "text_hash"), "node")
-    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
-    rows = wanted.join(texts, (F.col("node") == F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    rows = rows.select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+def _settled(entries: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) inside buckets (bucket, sid, node, component, members), as far as they join components.
+
+    A bucket of more than ``SMALL`` members is dealt into blocks of about half of that, by a hash; every two blocks
+    meet in one group.
+    """
+    blocks = F.when(F.col("members") <= SMALL, 1).otherwise(F.ceil(F.col("members") * 2 / SMALL)).cast("bigint")
+    dealt = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    group = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.select(group.alias("group"), (F.col("block") == F.col("other")).alias("alone"), "block", "node", "component", "sid")
+    rows = dealt.join(texts, "sid").select("group", "alone", "block", "node", "component", "text").repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, wholes = None, []
+        now, members = None, []
         for batch in batches:
             left, right = [], []
-            salts = batch.column(1).to_pylist()
-            for a, salt, b, shingles in zip(batch.column(0).to_pylist(), salts, batch.column(2).to_pylist(), sets_of(batch.column(3), width)):
-                if b is None:
-                    wholes = [*wholes, shingles] if centre == (a, salt) else [shingles]  # one for each text of the id
-                    centre = (a, salt)
-                elif any(similar(shingles, whole, percent) for whole in wholes):
-                    left.append(a)
-                    right.append(b)
+            columns = (batch.column(i).to_pylist() for i in range(5))
+            for group, alone, block, node, component, shingles in zip(*columns, sets_of(batch.column(5), width)):
+                if group != now:
+                    now, members = group, []
+                for other, its_block, its_component, its_shingles in members:
+                    if its_component != component and (alone or block != its_block):
+                        small, large = sorted((len(shingles), len(its_shingles)))
+                        if 100 * small >= percent * large and similar(shingles, its_shingles, percent):
+                            left.append(node)
+                            right.append(other)
+                            members = [(n, b, component if c == its_component else c, x) for n, b, c, x in members]
+                members = [*members, (node, block, component, shingles)]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return stored(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "confirmed")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -173,49 +206,60 @@ def near_duplicates(
     known = rows.filter("doc_id is not null and set_key is not null")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     same = known.join(classes, "set_key").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    nodes = known.join(classes, (known["set_key"] == classes["set_key"]) & (known["doc_id"] == classes["node"]))
-    nodes = stored(nodes.select("node", "text_hash", "n_shingles", "signature", "bands").dropDuplicates(["node", "text_hash"]), "nodes")
-    links = _bucket_links(nodes, docs, width, percent, id_col, text_col)
+    # One row a set: where its shingles can be read, and a number of its own.
+    sets = known.join(classes, "set_key").filter("doc_id = node").groupBy("set_key", "node")
+    sets = sets.agg(F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n"))
+    bands = rows.select(F.col("doc_id").alias("node"), "text_hash", "bands").dropDuplicates(["node", "text_hash"])
+    sets = sets.join(bands, ["node", "text_hash"])
+    sets = stored(sets.select(F.monotonically_increasing_id().alias("sid"), "node", "text_hash", "n", "bands"), "sets")
+    links = _bucket_links(sets, docs, width, percent, id_col, text_col)
     components = connected_components(same.unionByName(links))
     found = rows.join(components, rows["doc_id"] == components["node"], "left")
     component = F.coalesce("component", "doc_id").alias("component_id")
     return found.select("doc_id", "n_shingles", component, F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
-def _bucket_links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) that connect whatever the buckets of all bands connect."""
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    members = stored(entries.join(shared.select("bucket", "first"), "bucket"), "members")
-    small = nodes.select("node", "n_shingles", "signature")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        one = small.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-        two = small.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-        sized = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return _confirmed(_hopeful(sized, percent).distinct(), nodes, docs, width, percent, id_col, text_col)
-
-    links = linked(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    open_members = members.filter("node <> first").select("bucket", "node")
-    while True:
-        components = connected_components(links)
-        now = open_members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        now = stored(now.join(several.select("bucket"), "bucket", "left_semi"), "open")
-        if now.isEmpty():
-            return links
-        # All but a bucket's largest component: its members, some at a time, are compared with everything else there.
-        sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("bucket").agg(F.max_by("component", "n").alias("largest"))
-        others = now.join(largest, "bucket").filter("component <> largest")
-        pivots = others.withColumn("turn", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("turn") <= PIVOTS)
-        pivots = stored(pivots.select("bucket", F.col("node").alias("pivot"), F.col("component").alias("own")), "pivots")
-        pairs = pivots.join(now, "bucket").filter("component <> own").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-        more = linked(pairs.distinct())
-        links = stored(links.unionByName(more), "confirmed")
-        left = now.join(pivots, (now["bucket"] == pivots["bucket"]) & (now["node"] == pivots["pivot"]), "left_anti").select("bucket", "node")
-        open_members = stored(left, "members")
-        discard(now)
+def _bucket_links(sets: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between ids that connect whatever the links inside the bands' buckets connect."""
+    entries = sets.select("sid", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    entries = stored(entries.join(shared, "bucket"), "entries")
+    company = entries.groupBy("sid").agg(F.sum("members").alias("company"))
+    # A bucket's centre need not be in it: its members' best known company, so that a group of copies shares one centre.
+    best = entries.join(company, "sid").groupBy("bucket").agg(F.max_by("sid", "company").alias("best"), F.max("company").alias("company"))
+    hubs = entries.join(best, "bucket").groupBy("sid").agg(F.max_by("best", "company").alias("hub"), F.max("company").alias("company"))
+    centres = entries.join(hubs, "sid").groupBy("bucket").agg(F.max_by("hub", "company").alias("centre"))
+    star = entries.join(centres, "bucket").filter("sid <> centre").select("centre", "sid").distinct()
+    star = stored(star, "star")
+    wanted = stored(star.select("sid").union(star.select("centre")).distinct().join(sets.select("sid", "node", "text_hash"), "sid"), "wanted")
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, (F.col("__id") == F.col("node")) & (F.col("__hash") == F.col("text_hash"))).select("sid", "text")
+    texts = stored(texts, "texts")
+    if texts.count() > wanted.count():  # repeated rows
+        texts = stored(texts.dropDuplicates(["sid"]), "texts")
+    numbers = stored(sets.select("sid", "node").join(company, "sid"), "numbers")
+    compared = _compared(star, texts, width, percent)
+    found = compared.filter("linked").select("centre", "sid").distinct()
+    named = found.join(numbers.select(F.col("sid").alias("centre"), F.col("node").alias("a")), "centre")
+    links = stored(named.join(numbers.select("sid", F.col("node").alias("b")), "sid").select("a", "b"), "links")
+    # Smaller buckets, as far as a member that is not linked to the centre meets others there.
+    places = F.concat(
+        F.transform("outside", lambda shingle: F.xxhash64("centre", shingle)),
+        F.when(F.col("inside"), F.array(F.xxhash64("centre"))).otherwise(F.array().cast("array<bigint>")),
+    )
+    entries = compared.select("sid", "linked", F.explode(places).alias("bucket"))
+    open_ = entries.groupBy("bucket").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.bool_and("linked").alias("settled"))
+    open_ = open_.filter("low < high and not settled").select("bucket")
+    entries = stored(entries.join(open_, "bucket").select("bucket", "sid").distinct().join(numbers, "sid"), "entries")
+    discard(compared)
+    placed = entries.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    buckets = placed.groupBy("bucket").agg(
+        F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.bit_xor(F.xxhash64("sid")).alias("who"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("who2"),
+    ).filter("low < high")
+    buckets = buckets.groupBy("who", "who2", "members").agg(F.min("bucket").alias("bucket"))  # of those with the same members, one
+    placed = stored(placed.join(buckets.select("bucket", "members"), "bucket"), "placed")
+    return stored(links.unionByName(_settled(placed, texts, width, percent)), "links")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
