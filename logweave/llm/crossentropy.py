@@ -97,8 +97,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     """
     spark = docs.sparkSession
     wanted = target.select(F.col(id_col).alias("__id")).dropna().distinct().withColumn("__target", F.lit(True))
-    marked = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("__id"), "left")
-    marked = marked.select(id_col, text_col, F.coalesce("__target", F.lit(False)).alias("__target"))
+    # The target's ids grow with the corpus, so this is a shuffle at every size; scoring below moves no text.
+    marked = docs.select(id_col, text_col).join(wanted.hint("merge"), F.col(id_col) == F.col("__id"), "left")
+    marked = marked.select(text_col, F.coalesce("__target", F.lit(False)).alias("__target"))
     counts = ngram_counts(marked, text_col, "__target")
     sizes = counts[:, :CLASSES].sum(axis=1)
     ratio = float(max(sizes[1], 1) / max(sizes[0], 1))
@@ -113,15 +114,18 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
                 own_now = _occurrences(row, now)
                 own_before = np.where(before == CLASSES, 1, np.append(1, own_now[:-1])[: len(now)])
                 own = np.stack([own_now, own_before, _occurrences(row, cells), n[row]]) if len(now) else np.zeros((4, 0))
-                counted = batch.column(2).to_numpy(zero_copy_only=False)[low:high].astype(bool)[row]
                 losses = []
-                for model, part, there in ((1, ratio, counted), (0, 1.0, True)):
-                    each = token_losses(models.value[model], part, now, before, cells, tuple(own * there))
+                for model, part, counted in ((0, 1.0, True), (1, ratio, True), (1, ratio, False)):
+                    each = token_losses(models.value[model], part, now, before, cells, tuple(own * counted))
                     sums = np.concatenate(([0.0], np.cumsum(each)))
-                    losses.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1))
-                columns = [batch.column(0).slice(low, high - low), pa.array(n), *map(pa.array, losses), pa.array(losses[0] - losses[1])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+                    losses.append(pa.array((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), *losses], ["doc_id", "n_tokens", "background_loss", "inside", "outside"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    fields = f"doc_id {id_type}, n_tokens bigint, target_loss double, background_loss double, difference double"
-    return marked.mapInArrow(run, fields)
+    fields = f"doc_id {id_type}, n_tokens bigint, background_loss double, inside double, outside double"
+    scored = docs.select(id_col, text_col).mapInArrow(run, fields)
+    # Both target losses are known: with the document among those counted, and without.
+    loss = F.when(F.col("__target"), F.col("inside")).otherwise(F.col("outside"))
+    scored = scored.join(wanted, F.col("doc_id") == F.col("__id"), "left").withColumn("target_loss", loss)
+    difference = (F.col("target_loss") - F.col("background_loss")).alias("difference")
+    return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", difference)
