@@ -134,7 +134,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
     salted = stored(pairs.join(sizes, "centre").select("centre", "sid", F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt")), "salted")
     centres = salted.select("centre", "salt", F.col("centre").alias("sid"), F.lit(True).alias("first")).distinct()
-    rows = centres.unionByName(salted.withColumn("first", F.lit(False))).join(texts, "sid")
+    rows = centres.unionByName(salted.withColumn("first", F.lit(False))).join(texts.hint("merge"), "sid")
     rows = rows.select("centre", "salt", "sid", "first", "text").repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def _settled(entries: DataFrame, texts: DataFrame, width: int, percent: int) ->
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     group = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
     dealt = dealt.select(group.alias("group"), (F.col("block") == F.col("other")).alias("alone"), "block", "node", "component", "sid")
-    rows = dealt.join(texts, "sid").select("group", "alone", "block", "node", "component", "text").repartition("group").sortWithinPartitions("group")
+    rows = dealt.join(texts.hint("merge"), "sid").select("group", "alone", "block", "node", "component", "text").repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, []
@@ -233,7 +233,8 @@ def _bucket_links(sets: DataFrame, docs: DataFrame, width: int, percent: int, id
     star = stored(star, "star")
     wanted = stored(star.select("sid").union(star.select("centre")).distinct().join(sets.select("sid", "node", "text_hash"), "sid"), "wanted")
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, (F.col("__id") == F.col("node")) & (F.col("__hash") == F.col("text_hash"))).select("sid", "text")
+    # What is wanted grows with the corpus: a shuffle at every size.
+    texts = texts.join(wanted.hint("merge"), (F.col("__id") == F.col("node")) & (F.col("__hash") == F.col("text_hash"))).select("sid", "text")
     texts = stored(texts, "texts")
     if texts.count() > wanted.count():  # repeated rows
         texts = stored(texts.dropDuplicates(["sid"]), "texts")
