@@ -25,7 +25,7 @@ SIZE = 64
 NONZERO = 4
 WINDOW = 2
 TRAINING_ROWS = 20_000  # the most labelled documents that the network is trained on
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # so that arrays of a word's vectors stay in the cache
 
 _shape_class = np.arange(256, dtype=np.uint8)  # each sign is its own class
 _shape_class[48:58] = 48
@@ -72,10 +72,12 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 place = np.arange(n) + WINDOW * (1 + np.searchsorted(bounds[1:], np.arange(n), "right"))
                 own = np.zeros((n + WINDOW * (len(bounds) + 1), SIZE), np.int8)  # rows of zeros keep documents apart
                 own[place] = index[letters] + index[shapes]
-                around = sum(own[place + step] for step in range(-WINDOW, WINDOW + 1) if step)
+                moved = [own[WINDOW + step : len(own) - WINDOW + step] for step in range(-WINDOW, WINDOW + 1) if step]
+                around = sum(moved[1:], moved[0])[place - WINDOW]
                 for buckets in (letters, shapes):
                     order = np.argsort(buckets, kind="stable")
-                    found, begins = np.unique(buckets[order], return_index=True)
+                    begins = np.flatnonzero(np.append(True, np.diff(buckets[order]) != 0))
+                    found = buckets[order][begins]
                     sums[found] += np.add.reduceat(around[order], begins, axis=0, dtype=np.int64)
         used = np.flatnonzero(np.abs(sums).any(axis=1))
         columns = [pa.array(used)] + [pa.array(sums[used, i]) for i in range(SIZE)]
@@ -102,12 +104,16 @@ def pooled(texts: pa.Array, vectors: np.ndarray, index: np.ndarray) -> np.ndarra
         some = np.flatnonzero(n)
         if not len(some):
             continue
-        own = vectors[letters] + vectors[shapes]
-        begins = bounds[:-1][some]
+        own, fixed = vectors[letters] + vectors[shapes], index[letters]
+        sums, squares, words = np.zeros((3, len(some), SIZE), np.float32)
+        for k, row in enumerate(some):  # a row's words at a time stay in the cache
+            inside = own[bounds[row] : bounds[row + 1]]
+            sums[k] = inside.sum(axis=0)
+            squares[k] = np.einsum("ij,ij->j", inside, inside)
+            words[k] = fixed[bounds[row] : bounds[row + 1]].sum(axis=0, dtype=np.int32)
         count = n[some, None].astype(np.float32)
-        mean = np.add.reduceat(own, begins, axis=0) / count
-        spread = np.sqrt(np.maximum(np.add.reduceat(own * own, begins, axis=0) / count - mean * mean, 0))
-        words = np.add.reduceat(index[letters], begins, axis=0, dtype=np.int64)
+        mean = sums / count
+        spread = np.sqrt(np.maximum(squares / count - mean * mean, 0))
         repeated = (words.astype(np.float64) ** 2).sum(axis=1) / NONZERO / n[some] ** 2  # near the sum of squared word shares
         beside = _repeats(letters, bounds)[some]
         extra = np.stack([np.log1p(n[some]), np.log(repeated + 1e-4), beside], axis=1)
