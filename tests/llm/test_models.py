@@ -62,6 +62,32 @@ def test_losses_are_those_of_plain_counting(spark):
     assert np.mean([got[i].difference for i in range(2, 40, 4)]) < np.mean([got[i].difference for i in range(1, 40, 2)])
 
 
+def test_no_two_words_or_bigrams_share_a_count(spark):
+    """Every word stands in two documents, no bigram does: more words than ``CLASSES``, and all losses are known."""
+    n, width = 300_000, 100
+    assert n > crossentropy.CLASSES
+    lists = np.concatenate((np.arange(n), (np.arange(n) * 7 + 3) % n)).reshape(-1, width)
+    docs = [(i, " ".join(f"w{x}" for x in words)) for i, words in enumerate(lists.tolist())]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    target = spark.createDataFrame([(i,) for i in range(n // width)], "doc_id bigint")
+    got = crossentropy.cross_entropy_difference(frame, target).collect()
+    assert len(got) == len(docs)
+    # Of the first half each word is once in all other texts and never in those of the target; of the second half once in both.
+    total = np.array([2 * n - width, n - width, n])
+    counted = np.array([1, 0, 1])
+    unseen = crossentropy.UNSEEN * np.array([1, 0.5, 0.5])
+    alone = (counted + unseen) / (total + unseen * n)
+    # Words that the model has not seen before have no history: the word's own share stands in for the bigram's.
+    share = np.where(counted > 0, 0, alone)
+    s = crossentropy.SHARES
+    want = -np.log(s[0] * share + s[1] * alone + s[2] / n)
+    start = -np.log(s[1] * alone + s[2] / n)  # no word starts two texts
+    want = (want * (width - 1) + start) / width
+    for r in got:
+        assert r.background_loss == pytest.approx(want[0], rel=1e-9)
+        assert r.target_loss == pytest.approx(want[1 if r.doc_id < n // width else 2], rel=1e-9)
+
+
 def test_losses_of_odd_rows(spark):
     target = spark.createDataFrame([(6,), (6,), (None,)], "doc_id bigint")
     got = crossentropy.cross_entropy_difference(edge.frame(spark), target).collect()
