@@ -103,7 +103,8 @@ def topic_messages(spark: SparkSession, sf_dir: str, variant: str = "dense", sta
     """The event table as an out-of-order topic of three partitions.
 
     dense: every id once. dups: some messages arrive twice. gap: some ids never arrive.
-    late_gap: few ids never arrive, and some messages twice. Except there, every 211th value is junk.
+    late_gap: few ids never arrive, and some messages twice. whole: every id, and some messages twice.
+    Except in these two, every 211th value is junk.
     ``start`` is the first id.
     """
     events = table(spark, sf_dir, "events").select("event_id", "ts", "props")
@@ -112,12 +113,12 @@ def topic_messages(spark: SparkSession, sf_dir: str, variant: str = "dense", sta
     if variant == "late_gap":
         events = events.where(F.col("event_id") % 6007 != 6006)
     messages = events.withColumn("arrival", _arrival(F.col("event_id")))
-    if variant in ("dups", "late_gap"):
+    if variant in ("dups", "late_gap", "whole"):
         again = events.where(F.col("event_id") % 101 == 7).withColumn("arrival", _arrival(F.col("event_id")) + 2147483647)
         messages = messages.unionByName(again)
     seqid = seqid_at(start, F.col("event_id"))
     envelope = encode_envelope(seqid, F.array(F.col("props").cast("binary")))
-    value = envelope if variant == "late_gap" else F.when(F.col("event_id") % 211 == 210, "junk").otherwise(envelope)
+    value = envelope if variant in ("late_gap", "whole") else F.when(F.col("event_id") % 211 == 210, "junk").otherwise(envelope)
     keyed = messages.select(
         F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
         value.cast("binary").alias("value"),

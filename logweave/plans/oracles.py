@@ -116,10 +116,10 @@ def topic(variant: str, start: int = 1) -> str:
     keep = {"gap": "event_id % 997 <> 13", "late_gap": "event_id % 6007 <> 6006"}.get(variant, "true")
     again = (
         f"UNION ALL SELECT event_id, ts, props, (event_id * 48271) % 2147483647 + 2147483647 FROM events WHERE {keep} AND event_id % 101 = 7"
-        if variant in ("dups", "late_gap")
+        if variant in ("dups", "late_gap", "whole")
         else ""
     )
-    junk = "false" if variant == "late_gap" else "event_id % 211 = 210"
+    junk = "false" if variant in ("late_gap", "whole") else "event_id % 211 = 210"
     return f"""
 arrived AS (
   SELECT event_id, ts, props, (event_id * 48271) % 2147483647 AS arrival FROM events WHERE {keep} {again}),
@@ -297,6 +297,12 @@ SELECT seqid, w.d, partition, "offset", key FROM winners w, expected e WHERE w.d
     "resequence_wrapped": f"""
 WITH {topic("late_gap", 10**12 - 4999)}, {winners(10**12 - 4999)}
 SELECT seqid, w.d, partition, "offset", key FROM winners w, expected e WHERE w.d < e.d""",
+    "resequence_whole": f"""
+WITH {topic("whole")}, {winners(1)}
+SELECT seqid, d, partition, "offset", key FROM winners""",
+    "resequence_whole_wrapped": f"""
+WITH {topic("whole", 10**12 - 4999)}, {winners(10**12 - 4999)}
+SELECT seqid, d, partition, "offset", key FROM winners""",
     "drop_stale": f"""WITH {topic("dups")}, {winners(501)} SELECT seqid, partition, "offset", key FROM winners""",
     "pending_status": f"""
 WITH {topic("dups")}, {winners(501)}
@@ -421,6 +427,17 @@ seg_fold AS (
   FROM seg_fold f JOIN released r ON r.d = f.d + 1)
 SELECT segment_id, seqid, size, log_pos, CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) AS crc, raw AS frame
 FROM released JOIN seg_fold USING (d)""",
+    "stream_segments_whole": f"""
+WITH RECURSIVE {LOG},
+whole AS (SELECT log_pos AS d, log_pos + 1 AS seqid, length(raw) AS size, kind = 'XID' AS committed, raw,
+                 CAST(sum(length(raw)) OVER (ORDER BY log_pos) AS BIGINT) AS upto FROM log),
+ends AS (SELECT d, upto FROM whole WHERE committed),
+next_cut AS (SELECT s.upto AS before, e.d, e.upto FROM (SELECT 0 AS upto UNION ALL SELECT upto FROM ends) s ASOF JOIN ends e ON s.upto + 3880 < e.upto),
+cuts AS (SELECT d, upto FROM next_cut WHERE before = 0 UNION ALL SELECT n.d, n.upto FROM cuts c JOIN next_cut n ON n.before = c.upto),
+numbered AS (SELECT d, upto, row_number() OVER (ORDER BY d) AS segment_id FROM cuts)
+SELECT coalesce(segment_id, 0) AS segment_id, seqid, size, 120 + w.upto - coalesce(n.upto, 0) AS log_pos,
+       CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) AS crc, raw AS frame
+FROM whole w ASOF LEFT JOIN numbered n ON w.d > n.d""",
     "stream_relay": f"""
 WITH keyed AS (SELECT 'k' || event_id AS key, props AS value FROM events),
 {partition_of("key", "keyed", 6, "key, value")} SELECT 'changes' AS topic, key, value, partition FROM placed""",
@@ -428,3 +445,4 @@ WITH keyed AS (SELECT 'k' || event_id AS key, props AS value FROM events),
 ORACLES["stream_log_rows"] = ORACLES["log_rows"]
 ORACLES["stream_files_to_table"] = "SELECT 'archive' AS topic, 'k' || event_id AS key, props AS value FROM events"
 ORACLES["stream_segments_in_batches"] = ORACLES["stream_segments"]
+ORACLES["stream_segments_whole_in_batches"] = ORACLES["stream_segments_whole"]

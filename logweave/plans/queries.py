@@ -289,6 +289,20 @@ def resequence_wrapped(spark, sf):
     return released.select("seqid", "d", "partition", "offset", "key")
 
 
+@query
+def resequence_whole(spark, sf):
+    """Every id arrives, so every id is released."""
+    released = sequence.resequence(_good(spark, sf, "whole"), 1)
+    return released.select("seqid", "d", "partition", "offset", "key")
+
+
+@query
+def resequence_whole_wrapped(spark, sf):
+    """As ``resequence_whole``, over the end of the id cycle."""
+    released = sequence.resequence(_good(spark, sf, "whole", fx.WRAP_START), fx.WRAP_START)
+    return released.select("seqid", "d", "partition", "offset", "key")
+
+
 @query
 def drop_stale(spark, sf):
     kept = sequence.drop_stale(_good(spark, sf, "dups"), fx.STALE_START)
@@ -613,8 +627,20 @@ def stream_segments(spark, sf):
     return _stream_segments(spark, _event_stream(spark, sf))
 
 
-def _stream_segments(spark, stream):
-    events = stream.where(F.col("event_id") % 6007 != 6006)  # the gap
+@query
+def stream_segments_whole(spark, sf):
+    """As ``stream_segments`` without a gap: every row is released, cut and placed."""
+    return _stream_segments(spark, _event_stream(spark, sf), gap=False)
+
+
+@query
+def stream_segments_whole_in_batches(spark, sf):
+    """As ``stream_segments_whole``, in micro-batches: segments go on over their borders."""
+    return _stream_segments(spark, _event_batches(spark, sf), gap=False)
+
+
+def _stream_segments(spark, stream, gap=True):
+    events = stream.where(F.col("event_id") % 6007 != 6006) if gap else stream
     messages = events.select(
         F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
         encode_envelope(F.col("event_id") + 1, F.array(F.col("props").cast("binary"))).cast("binary").alias("value"),

@@ -105,3 +105,13 @@ def test_prefix_scan(spark, span):
         assert (r.total, r.before, r.n) == (sum(known), sum(earlier), len(upto))
         assert r.top == (max(known) if known else None)
         assert r.latest == (earlier[-1] if earlier else -99)
+
+
+def test_topic_without_a_gap_is_released_whole(spark):
+    from logweave.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert events > 6006
+    assert QUERIES["resequence_whole"](spark, sf).count() == events
+    assert QUERIES["resequence"](spark, sf).count() < 6006
