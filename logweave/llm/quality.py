@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.rows import one_text_per_id
 from logweave.llm.words import BYTE_VALUES, LOWER_VALUES, segment_hashes, text_chunks, word_bounds
 
 BUCKETS = 1 << 15
@@ -210,6 +211,7 @@ def quality_score(
     known = docs.select(F.col(id_col).alias("__id")).dropna().distinct()
     chosen = usable.join(known, "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(most)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
+    rows = one_text_per_id(rows, "__id", text_col, "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from logweave.llm.scratch import stored
 
 
+def one_text_per_id(rows: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
+    """Of the rows of an id the text with the smallest hash, folded before rows are shuffled; ``others`` are the same for all rows of an id."""
+    return rows.groupBy(id_col, *others).agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col))
+
+
 def picked_rows(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row of ``docs`` as often as ``decided`` says, all columns.
 

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.rows import one_text_per_id
+
 BLANK = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 TRAINING_ROWS = 20_000  # the most labelled documents that rules are learned from
@@ -213,8 +215,9 @@ def learned_rules(
     known = docs.select(F.col(id_col).alias("__id")).dropna().distinct()
     chosen = usable.join(known, "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(most)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
+    rows = one_text_per_id(rows, id_col, text_col, "__label")
     seen = with_statistics(rows, id_col, text_col, "__label").filter(~base_failed())
-    sample = seen.select("doc_id", "__label", *features().values()).collect()  # at most `most` rows, plus repeats of their ids
+    sample = seen.select("doc_id", "__label", *features().values()).collect()  # at most `most` rows
     sample.sort(key=lambda r: tuple(-1.0 if v is None else v for v in r))
     x = np.array([[0.0 if v is None else v for v in r[2:]] for r in sample], float).reshape(len(sample), len(features()))
     return learn_rules(x, np.array([r[1] == 0 for r in sample], bool))

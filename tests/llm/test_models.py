@@ -209,3 +209,17 @@ def test_temperature_and_repetition():
     vectors, index = np.zeros((quality.BUCKETS, quality.SIZE), np.float32), quality.index_vectors()
     x = quality.pooled(pa.array(["a b c d e f g h", "a a a a a a a a", "", None]), vectors, index)
     assert x[1, -2] > x[0, -2] and x[1, -1] > x[0, -1] and not x[2:].any()
+
+
+def test_an_id_is_learned_from_once(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(80))) for i in range(40)]
+    frame = spark.createDataFrame(docs + [(0, f"{t} {k}") for k in range(50) for i, t in docs if i == 0], "doc_id bigint, text string")
+    labels = edge.labels(spark, [(i, i % 2, 0) for i in range(40)])
+    sizes = {}
+    learn, train = rules.learn_rules, quality.train_network
+    monkeypatch.setattr(rules, "learn_rules", lambda x, bad: (sizes.update(rules=len(x)), learn(x, bad))[1])
+    monkeypatch.setattr(quality, "train_network", lambda x, y: (sizes.update(quality=len(x)), train(x, y))[1])
+    rules.learned_rules(frame, labels)
+    quality.quality_score(frame, labels)
+    assert sizes == {"rules": 40, "quality": labels.filter(~quality.held_out(F.col("doc_id"))).count()}
+    assert labels.filter((F.col("doc_id") == 0) & ~quality.held_out(F.col("doc_id"))).count()
