@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import crossentropy, exact, lines, minmax, mixing, packing, quality, rules, urls, wavelet
+from logweave.llm import crossentropy, exact, lines, minmax, mixing, packing, quality, resampling, rules, urls, wavelet
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +63,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_wavelet_tokens": op9_wavelet_tokens,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_importance_resampling": op11_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -82,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact.ORACLE,
     "op6_systematic_mix": mixing.ORACLE,
     "op8_url_filter": urls.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }

@@ -70,9 +70,9 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of anything but space, tab, and bytes 0A to 0D, cut at the rows' offsets."""
-    word = ~IS_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes not ``between`` words (space, tab, and 0A to 0D), cut at the rows' offsets."""
+    word = ~between[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, last = word.copy(), word.copy()
