@@ -15,8 +15,8 @@ is left are pairs (x, y) with y not linked to c:
   if x is linked to c and not smaller, shared <= |c and y| and x or y >= |x| + |y outside c|, so they are no more alike than c
   and y, hence no link. So one more bucket holds those that lie in c and are not linked or smaller.
 
-These buckets hold those rows of a group that share changes. Their members are compared in memory, in blocks of bounded size
-(two blocks at a time where a bucket has more), and only links that join components come out. No link of a bucket is lost.
+These buckets hold those rows of a group that share changes, or are fragments of the centre. Their members are joined exactly by
+:mod:`tokengroups`, in which no group is compared with itself pair by pair either. No link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -31,17 +31,18 @@ from pyspark.sql import functions as F
 
 from logweave.llm.components import connected_components
 from logweave.llm.scratch import discard, stored
-from logweave.llm.words import mix, text_chunks, word_hashes
+from logweave.llm.shingles import PLACES, sets_of
+from logweave.llm.tokengroups import set_links, token_sets
+from logweave.llm.words import mix
 
 PERMUTATIONS = 84
 MISSED = 1e-5  # the chance that no band holds a pair just at the threshold
-SMALL = 64  # members of a bucket that a task holds at a time
+SMALL = 32  # of the documents that are left, so many are compared at once
 MEMBERS = 256  # documents compared with one copy of a centre's text
 
 _random = np.random.default_rng(85)
 FACTORS = _random.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _random.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
-PLACES = _random.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def band_rows(percent: int, values: int = 2 * PERMUTATIONS) -> int:
@@ -51,29 +52,6 @@ def band_rows(percent: int, values: int = 2 * PERMUTATIONS) -> int:
     return max(fine, default=1)
 
 
-def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Per row, the sorted different hashes of its shingles of ``width`` words; of fewer words, the whole sequence."""
-    turned = [words * PLACES[k] + PLACES[k + 32] for k in range(width)]
-    inner = np.zeros(max(0, len(words) - width + 1), np.uint64)
-    for k in range(width):
-        inner += mix(turned[k])[k : k + len(inner)]
-    inner = mix(inner)
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if high - low >= width:
-            yield np.unique(inner[low : high - width + 1])
-        elif high > low:
-            short = np.uint64(high - low) + sum((mix(turned[k])[low + k : low + k + 1] for k in range(high - low)), np.zeros(1, np.uint64))
-            yield mix(short)
-        else:
-            yield np.zeros(0, np.uint64)
-
-
-def sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in text_chunks(texts):
-        words, bounds = word_hashes(data, offsets, lower=True)
-        yield from shingle_sets(words, bounds, width)
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Smallest values under all permutations, then the largest."""
     low = np.full(PERMUTATIONS, ~np.uint64(0))
@@ -110,11 +88,6 @@ def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     return rows_in.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return 100 * both >= percent * (len(one) + len(two) - both)
-
-
 def compare(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bool, bool, np.ndarray]:
     """How a sorted set stands to a centre: whether they are linked; whether it may link to a third set inside the centre alone;
     and the shingles outside the centre of which any other link shares one (all but ``shared`` - 1, in hash order on both sides)."""
@@ -157,40 +130,6 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return stored(rows.mapInArrow(run, "centre bigint, sid bigint, linked boolean, inside boolean, outside array<bigint>"), "compared")
 
 
-def _settled(entries: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) inside buckets (bucket, sid, node, component, members), as far as they join components.
-
-    A bucket of more than ``SMALL`` members is dealt into blocks of about half of that, by a hash; every two blocks
-    meet in one group.
-    """
-    blocks = F.when(F.col("members") <= SMALL, 1).otherwise(F.ceil(F.col("members") * 2 / SMALL)).cast("bigint")
-    dealt = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    group = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(group.alias("group"), (F.col("block") == F.col("other")).alias("alone"), "block", "node", "component", "sid")
-    rows = dealt.join(texts.hint("merge"), "sid").select("group", "alone", "block", "node", "component", "text").repartition("group").sortWithinPartitions("group")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members = None, []
-        for batch in batches:
-            left, right = [], []
-            columns = (batch.column(i).to_pylist() for i in range(5))
-            for group, alone, block, node, component, shingles in zip(*columns, sets_of(batch.column(5), width)):
-                if group != now:
-                    now, members = group, []
-                for other, its_block, its_component, its_shingles in members:
-                    if its_component != component and (alone or block != its_block):
-                        small, large = sorted((len(shingles), len(its_shingles)))
-                        if 100 * small >= percent * large and similar(shingles, its_shingles, percent):
-                            left.append(node)
-                            right.append(other)
-                            members = [(n, b, component if c == its_component else c, x) for n, b, c, x in members]
-                members = [*members, (node, block, component, shingles)]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -254,13 +193,11 @@ def _bucket_links(sets: DataFrame, docs: DataFrame, width: int, percent: int, id
     entries = stored(entries.join(open_, "bucket").select("bucket", "sid").distinct().join(numbers, "sid"), "entries")
     discard(compared)
     placed = entries.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    buckets = placed.groupBy("bucket").agg(
-        F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.bit_xor(F.xxhash64("sid")).alias("who"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("who2"),
-    ).filter("low < high")
-    buckets = buckets.groupBy("who", "who2", "members").agg(F.min("bucket").alias("bucket"))  # of those with the same members, one
-    placed = stored(placed.join(buckets.select("bucket", "members"), "bucket"), "placed")
-    return stored(links.unionByName(_settled(placed, texts, width, percent)), "links")
+    buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    left = stored(placed.join(buckets, "bucket").select("sid").distinct(), "left")
+    rest = set_links(stored(token_sets(texts.join(left.hint("merge"), "sid"), width), "rest"), percent, SMALL)
+    rest = rest.join(numbers.select(F.col("sid").alias("a"), F.col("node").alias("x")), "a").join(numbers.select(F.col("sid").alias("b"), F.col("node").alias("y")), "b")
+    return stored(links.unionByName(rest.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
