@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import crossentropy, exact, lines, minmax, mixing, packing, quality, resampling, rules, tokengroups, urls, wavelet
+from logweave.llm import crossentropy, exact, lines, minmax, mixing, packing, quality, resampling, rules, tokengroups, trie, urls, wavelet
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,6 +67,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20).drop("text_hash")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), block=100, most=5)
+
+
 def op13_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokengroups.similarity_join(table(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wavelet_tokens": op9_wavelet_tokens,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_token_group_join": op13_token_group_join,
     "pipeline": corpus_pipeline.run,
 }
