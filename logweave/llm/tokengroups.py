@@ -12,7 +12,7 @@ with any member, and only groups whose bound reaches the threshold are opened.
   link to a set of its size or larger can miss, plus one; a group is listed under the first tokens of its members, with the sizes of queries that can still
   reach the threshold from that place on. So a group that differs from the query by rare tokens never meets it, however
   many frequent ones they share.
-* Large families of near copies: for each token one group (the one with the most company) is opened first for all that ask with the token, and
+* Large families of near copies: for each set one group (that of the most central set it shares a first token with) is opened first, and
   the links found are turned into components. After that, only queries and groups of different components meet.
 
 Every link is confirmed on the full sets. Links inside one component may be missing, so components are exact.
@@ -136,25 +136,27 @@ def _matrix(groups: DataFrame) -> DataFrame:
 
 
 def _entries(groups: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """Each set's first tokens that other groups hold too: token, gid, sid, n, pos (tokens before it, rarest first), asks (it asks with it).
+    """Each set's first tokens that other groups hold too: token, gid, sid, n, pos (tokens before it, rarest first), asks (it asks with it),
+    company (how many groups hold a token of the set, on average).
 
     Tokens of one group alone come first in the order and can't be met, so they only move the places of the others.
     """
     spread = matrix.groupBy("token").agg(F.count("*").alias("spread")).filter("spread > 1")
-    shared = matrix.join(spread, "token").groupBy("gid").agg(F.collect_list(F.struct("spread", "token", "bits")).alias("shared"), F.sum("spread").alias("company"))
+    shared = matrix.join(spread, "token").groupBy("gid").agg(F.collect_list(F.struct("spread", "token", "bits")).alias("shared"))
     rows = groups.select("gid", "sids", "sizes").join(shared, "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "gid", "sid", "n", "pos", "asks", "company"]
         for batch in batches:
             for i in range(batch.num_rows):
-                gid, sids, sizes, company = (batch.column(k)[i].as_py() for k in (0, 1, 2, 4))
+                gid, sids, sizes = (batch.column(k)[i].as_py() for k in range(3))
                 fields = batch.column(3)[i].values
                 spread, token, bits = (fields.field(k).to_numpy() for k in range(3))
                 order = np.lexsort((token, spread))
-                token, bits = token[order], bits[order]
+                spread, token, bits = spread[order], token[order], bits[order]
                 for m, (sid, n) in enumerate(zip(sids, sizes)):
-                    mine = token[(bits >> m) & 1 == 1]
+                    held = (bits >> m) & 1 == 1
+                    mine, company = token[held], spread[held].sum() / n
                     pos = np.arange(n - len(mine), n)
                     first = pos <= n + (-percent * n // 100)  # n - ceil(percent * n / 100)
                     if not first.any():
@@ -162,9 +164,9 @@ def _entries(groups: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
                     mine, pos = mine[first], pos[first]
                     same = [pa.array(np.full(len(mine), v, np.int64)) for v in (gid, sid, n)]
                     asks = pa.array(pos <= n - need(n, n, percent))
-                    yield pa.RecordBatch.from_arrays([pa.array(mine), *same, pa.array(pos), asks, pa.array(np.full(len(mine), company, np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine), *same, pa.array(pos), asks, pa.array(np.full(len(mine), company))], names)
 
-    out = rows.select("gid", "sids", "sizes", "shared", "company").mapInArrow(run, "token bigint, gid bigint, sid bigint, n bigint, pos bigint, asks boolean, company bigint")
+    out = rows.select("gid", "sids", "sizes", "shared").mapInArrow(run, "token bigint, gid bigint, sid bigint, n bigint, pos bigint, asks boolean, company double")
     return stored(out, "entries")
 
 
@@ -209,9 +211,11 @@ def set_links(sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
     inside = groups.select(F.explode(F.arrays_zip("sids", "parts")).alias("m"), "sids").select(F.col("m.sids").alias("a"), F.expr("sids[m.parts]").alias("b")).filter("a <> b")
     entries = _entries(groups, _matrix(groups), percent)
     asking = entries.filter("asks")
-    # The group with the most company stands for all groups of a token.
-    heads = entries.groupBy("token").agg(F.max_by("gid", F.struct("company", "gid")).alias("head"), F.count_distinct("gid").alias("n")).filter("n > 1").select("token", "head")
-    star = stored(asking.join(heads, "token").filter("gid <> head").select("sid", F.col("head").alias("gid")).distinct(), "star")
+    # The group of the set with the most company, the one with the fewest tokens of its own, stands for all groups of a token; a set asks one of these.
+    heads = entries.groupBy("token").agg(F.max(F.struct("company", "gid")).alias("head"), F.min("gid").alias("low"), F.max("gid").alias("high"))
+    heads = heads.filter("low < high").select("token", "head")
+    star = asking.join(heads, "token").groupBy("sid", "gid").agg(F.max("head").alias("head"))
+    star = stored(star.filter("gid <> head.gid").select("sid", F.col("head.gid").alias("gid")), "star")
     links = stored(inside.unionByName(_opened(star, sets, groups, percent)), "links")
     rest = _separate(entries, connected_components(links), percent)
     rest = stored(rest.join(star, ["sid", "gid"], "left_anti"), "rest")
@@ -298,10 +302,13 @@ def similarity_join(
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     same = known.join(classes.filter("n > 1"), "set_key").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
-    listed = known.select("row", "due", F.xxhash64("set_key").alias("set"), F.explode("first").alias("token"))
-    met = listed.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("token")
-    able = listed.join(met, "token").groupBy("row", "due").agg(F.count("*").alias("n")).filter("n >= due").select("row")
-    able = known.join(able, "row").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("s"))
+    # A token is another set's too if more rows have it than have the same set.
+    listed = known.select("row", F.explode("first").alias("token"))
+    held = listed.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    met = stored(listed.join(held, "token").groupBy("row", "held").agg(F.count("*").alias("tokens")), "met")
+    sized = known.join(classes, "set_key").select("row", "doc_id", "text_hash", "set_key", "due", "n")
+    able = met.join(sized, "row").filter("held > n").groupBy("row", "doc_id", "text_hash", "set_key", "due").agg(F.sum("tokens").alias("tokens"))
+    able = able.filter("tokens >= due").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("s"))
     able = stored(able.select(F.col("s.row").alias("sid"), F.col("s.doc_id").alias("node"), "s.text_hash"), "able")
 
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
