@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.relay import message_scope
 from logweave.operators.scan import ROW_SPAN, block_of, dense_rank_rows
 
 
@@ -21,41 +22,44 @@ def last_position(records: DataFrame, scope: Sequence[str] = ("source_id",)) ->
 
 
 def last_offsets(processed: DataFrame, order: str = "ord") -> DataFrame:
-    """Last processed (offset, seqid) per partition; the last write wins."""
-    return processed.groupBy("partition").agg(
+    """Last processed (offset, seqid) per partition, of each topic where messages carry one; the last write wins."""
+    return processed.groupBy(*message_scope(processed)).agg(
         F.max_by("offset", order).alias("offset"), F.max_by("seqid", order).alias("seqid")
     )
 
 
 def offset_book(processed: DataFrame, order: str = "ord") -> DataFrame:
-    """The same as one row: map of partition to offset, and the last sequence id of all. There are as many
-    entries as topic partitions."""
-    per_partition = processed.groupBy("partition").agg(
+    """The same as one row (one per topic where messages carry one): map of partition to offset, and the last
+    sequence id. There are as many entries as topic partitions."""
+    scope = message_scope(processed)
+    topic = [c for c in scope if c != "partition"]
+    per_partition = processed.groupBy(*scope).agg(
         F.max_by("offset", order).alias("offset"), F.max(F.struct(order, "seqid")).alias("latest")
     )
-    return per_partition.agg(
+    return per_partition.groupBy(*topic).agg(
         F.map_from_entries(F.collect_list(F.struct("partition", "offset"))).alias("offsets"),
         F.max("latest").alias("latest"),
-    ).select("offsets", F.col("latest.seqid").alias("seqid"))
+    ).select(*topic, "offsets", F.col("latest.seqid").alias("seqid"))
 
 
 def contiguous_watermark(done: DataFrame, start: Column | int = 0, span: int = ROW_SPAN) -> DataFrame:
-    """Highest offset per partition up to which every offset since ``start`` is done.
+    """Highest offset per partition (of each topic where messages carry one) up to which every offset since ``start`` is done.
 
     ``start`` may be a column that is constant per partition. Partitions whose start has not
     arrived have no row.
     """
+    scope = message_scope(done)
     start = F.lit(start).cast("bigint") if isinstance(start, int) else start
     offsets = (
-        done.select("partition", "offset", start.alias("start"))
+        done.select(*scope, "offset", start.alias("start"))
         .where(F.col("offset") >= F.col("start"))
-        .groupBy("partition", "offset")
+        .groupBy(*scope, "offset")
         .agg(F.min("start").alias("start"))
         .withColumn("__block", block_of(F.col("offset"), span))
     )
-    ranked = dense_rank_rows(offsets, ["partition"], [["__block"]], ["offset"], "__rn")
+    ranked = dense_rank_rows(offsets, scope, [["__block"]], ["offset"], "__rn")
     return (
         ranked.where(F.col("offset") - F.col("start") == F.col("__rn") - 1)
-        .groupBy("partition")
+        .groupBy(*scope)
         .agg(F.max("offset").alias("watermark"))
     )

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from logweave.functions.cyclic import CYCLE, MAX_SEQID, MIN_SEQID, cyclic_distance, seqid_at
 from logweave.functions.integers import floor_div
 from logweave.functions.times import epoch_seconds
+from logweave.operators.relay import message_scope
 from logweave.operators.scan import BLOCK_SPAN, ROW_SPAN, Scan, block_of, dense_rank_rows, prefix_scan
 
 SLOT_SECONDS = 60
@@ -70,16 +72,22 @@ def _ahead(seqid: Column, start: int) -> Column:
     return _valid(seqid) & (cyclic_distance(seqid, start) <= CYCLE // 2)
 
 
+def _place(messages: DataFrame) -> list[str]:
+    """What tells messages apart: rows that agree in it are copies of one message, delivered again."""
+    return [*message_scope(messages), "offset"]
+
+
 def _winners(messages: DataFrame, start: int) -> DataFrame:
-    """(d, partition, offset): per id ahead of ``start`` the copy with the lowest partition and offset.
+    """(d, place): per id ahead of ``start`` the message with the lowest partition and offset, then topic.
 
     A grouped minimum, so copies of one id are folded before they are shuffled.
     """
+    lowest = F.struct("partition", "offset", *[c for c in _place(messages) if c not in ("partition", "offset")])
     return (
         messages.where(_ahead(F.col("seqid"), start))
         .groupBy(cyclic_distance(F.col("seqid"), start).alias("d"))
-        .agg(F.min(F.struct("partition", "offset")).alias("at"))
-        .select("d", "at.partition", "at.offset")
+        .agg(F.min(lowest).alias("at"))
+        .select("d", "at.*")
     )
 
 
@@ -87,37 +95,43 @@ def _ranked(messages: DataFrame, start: int, span: int) -> DataFrame:
     """Winners with ``released``: no id between ``start`` and theirs is missing."""
     blocks = _winners(messages, start).withColumn("__block", block_of(F.col("d"), span))
     ranked = dense_rank_rows(blocks, [], [["__block"]], ["d"], "__rn")
-    return ranked.select("d", "partition", "offset", (F.col("__rn") - 1 == F.col("d")).alias("released"))
+    return ranked.select("d", *_place(messages), (F.col("__rn") - 1 == F.col("d")).alias("released"))
 
 
 def drop_stale(messages: DataFrame, start: int) -> DataFrame:
-    """Messages at or ahead of the expected id, one per id."""
-    return messages.join(_winners(messages, start).drop("d"), ["partition", "offset"], "left_semi")
+    """Messages at or ahead of the expected id, one row per id, also where a message was delivered twice."""
+    place = _place(messages)
+    return messages.join(_winners(messages, start).drop("d"), place, "left_semi").dropDuplicates(place)
 
 
 def resequence(messages: DataFrame, start: int = MIN_SEQID, span: int = ROW_SPAN) -> DataFrame:
-    """Messages that can go out now, with ``d`` as their order: from ``start`` up to the first gap.
+    """Messages that can go out now, with ``d`` as their order: from ``start`` up to the first gap, one row per id.
 
-    Ids are decided on (id, partition, offset) alone; the payload is joined once, on its unique position.
+    Ids are decided on the id and the place (topic, partition, offset) alone; the payload is joined once, on its place. Several
+    rows of one place are one message delivered again: one of them goes out. The join has brought them together already.
     """
-    released = _ranked(messages, start, span).where("released").select("d", "partition", "offset")
-    return messages.join(released, ["partition", "offset"])
+    place = _place(messages)
+    released = _ranked(messages, start, span).where("released").select("d", *place)
+    return messages.join(released, place).dropDuplicates(place)
 
 
 def message_status(messages: DataFrame, start: int, window: int, span: int = ROW_SPAN) -> DataFrame:
     """``status`` per message: released, pending (inside the window after the first gap), blocked (beyond
-    it), duplicate (second copy or behind the expected id) or invalid."""
+    it), duplicate (second copy, second delivery or behind the expected id) or invalid."""
+    place = _place(messages)
     ranked = _ranked(messages, start, span)
     # released rows are exactly the distances 0 .. expected-1: one running maximum tells all others
     expected = F.coalesce(ranked.where("released").agg(F.max("d") + 1).scalar(), F.lit(0))
     marked = ranked.withColumn(
         "__status",
         F.when(F.col("released"), "released").when(F.col("d") - expected < window, "pending").otherwise("blocked"),
-    ).select("partition", "offset", "__status")
+    ).select(*place, "__status")
+    delivery = F.row_number().over(W.partitionBy(*place).orderBy("seqid"))
     status = F.when(~_valid(F.col("seqid")) | F.col("seqid").isNull(), "invalid").otherwise(
-        F.coalesce(F.col("__status"), F.lit("duplicate"))
+        F.when(F.col("__delivery") == 1, F.col("__status")).otherwise("duplicate")
     )
-    return messages.join(marked, ["partition", "offset"], "left").withColumn("status", status).drop("__status")
+    told = messages.join(marked, place, "left").withColumn("__delivery", delivery)
+    return told.withColumn("status", F.coalesce(status, F.lit("duplicate"))).drop("__status", "__delivery")
 
 
 def gap_report(messages: DataFrame, start: int, span: int = ROW_SPAN) -> DataFrame:

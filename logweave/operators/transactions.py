@@ -76,9 +76,13 @@ def split_transactions(
 
 def _routed(events: DataFrame, rules: Rules, scope: Sequence[str], span: int) -> DataFrame:
     """Events with their action, reduced to a mark and a few numbers before they are shuffled."""
+    return route_marked(marked_events(events, rules, scope), scope, span)
+
+
+def marked_events(events: DataFrame, rules: Rules, scope: Sequence[str]) -> DataFrame:
+    """Events without names and text, which their mark stands for."""
     described = events.where(~F.col("kind").isin("ROTATE", "FORMAT"))
-    narrow = classify(described, rules).select(*scope, "log_file", "log_pos", "event_ts", "size", "mark")
-    return route_marked(narrow, scope, span)
+    return classify(described, rules).select(*scope, "log_file", "log_pos", "event_ts", "size", "mark")
 
 
 def standalone_events(
@@ -113,11 +117,15 @@ def record_parts(
 ) -> DataFrame:
     """Every event that belongs to a record, under its record's key (scope, epoch, part, alone_file,
     alone_pos). Narrow: no payload."""
-    scope = list(scope)
+    return parts_of_routed(_routed(events, rules, scope, span), max_size, list(scope))
+
+
+def parts_of_routed(routed: DataFrame, max_size: int, scope: list[str]) -> DataFrame:
+    """:func:`record_parts` of events that have their action already."""
     # Standalone events ride along: they weigh nothing and cannot be cut at, so they do not disturb the
     # transactions around them.
     alone = F.col("action") == "standalone"
-    going = _routed(events, rules, scope, span).where(F.col("action") != "drop").select(
+    going = routed.where(F.col("action") != "drop").select(
         *scope,
         "log_file",
         "block",

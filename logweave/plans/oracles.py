@@ -220,6 +220,12 @@ SELECT {by}slot * {seconds} AS interval_start, coalesce(n, 0) AS events,
 FROM slots LEFT JOIN counted USING {using}"""
 
 
+BOTH_TOPICS = f"""
+both_topics AS (
+  SELECT * FROM (WITH {topic("dups")} SELECT 'changes' AS topic, partition, "offset", arrival, key, seqid, junk FROM topic)
+  UNION ALL SELECT * FROM (WITH {topic("gap")} SELECT 'audit' AS topic, partition, "offset", arrival, key, seqid, junk FROM topic))"""
+
+
 ORACLES: dict[str, str] = {
     "parse_rules": """
 WITH rules AS (SELECT DISTINCT 'DB' || (k % 7) || '@t[' || (k % 5) || ']' AS rule
@@ -303,6 +309,38 @@ SELECT seqid, d, partition, "offset", key FROM winners""",
     "resequence_whole_wrapped": f"""
 WITH {topic("whole", 10**12 - 4999)}, {winners(10**12 - 4999)}
 SELECT seqid, d, partition, "offset", key FROM winners""",
+    "resequence_delivered_again": f"""
+WITH {topic("whole")}, {winners(1)}
+SELECT seqid, d, partition, "offset", key FROM winners""",
+    "pending_status_delivered_again": f"""
+WITH {topic("dups")}, {winners(501)},
+told AS (
+  SELECT t.partition, t."offset", 1 + CAST(t.arrival % 101 = 3 AS INT) + CAST(t.arrival % 7 = 3 AS INT) AS n, CASE WHEN t.seqid IS NULL THEN 'invalid' WHEN w.d IS NULL THEN 'duplicate'
+         WHEN w.d < e.d THEN 'released' WHEN w.d < e.d + 50 THEN 'pending' ELSE 'blocked' END AS status
+  FROM topic t CROSS JOIN expected e LEFT JOIN winners w ON w.partition = t.partition AND w."offset" = t."offset"),
+rows AS (
+  SELECT partition, "offset", status, CASE WHEN status IN ('invalid', 'duplicate') THEN n ELSE 1 END AS n FROM told
+  UNION ALL SELECT partition, "offset", 'duplicate', n - 1 FROM told WHERE status NOT IN ('invalid', 'duplicate') AND n > 1)
+SELECT partition, "offset", status, CAST(sum(n) AS BIGINT) AS deliveries FROM rows GROUP BY ALL""",
+    "last_offsets_two_topics": f"""
+WITH {BOTH_TOPICS} SELECT topic, partition, arg_max("offset", arrival) AS "offset", arg_max(seqid, arrival) AS seqid
+FROM both_topics WHERE NOT junk GROUP BY ALL""",
+    "contiguous_watermark_two_topics": f"""
+WITH {BOTH_TOPICS}, good AS (SELECT DISTINCT topic, partition, "offset" AS o FROM both_topics WHERE NOT junk),
+started AS (SELECT topic, partition FROM good WHERE o = 0)
+SELECT g.topic, g.partition, min(g.o) AS watermark FROM good g JOIN started USING (topic, partition)
+WHERE NOT EXISTS (SELECT 1 FROM good n WHERE n.topic = g.topic AND n.partition = g.partition AND n.o = g.o + 1) GROUP BY ALL""",
+    "read_from_offsets_two_topics": f"""
+WITH {BOTH_TOPICS}, saved AS (
+  SELECT topic, partition, max("offset") // 2 AS p FROM both_topics WHERE partition < 2 AND topic = 'changes' GROUP BY ALL)
+SELECT topic, partition, "offset", key, coalesce(seqid, 0) AS seqid FROM both_topics LEFT JOIN saved USING (topic, partition)
+WHERE "offset" >= coalesce(p, 0)""",
+    "resequence_two_topics": f"""
+WITH {BOTH_TOPICS}, firsts AS (
+  SELECT seqid, seqid - 1 AS d, topic, partition, "offset", key,
+         row_number() OVER (PARTITION BY seqid ORDER BY partition, "offset", topic) AS copy FROM both_topics WHERE NOT junk),
+ids AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS place FROM firsts WHERE copy = 1)
+SELECT seqid, d, topic, partition, "offset", key FROM ids WHERE d = place""",
     "drop_stale": f"""WITH {topic("dups")}, {winners(501)} SELECT seqid, partition, "offset", key FROM winners""",
     "pending_status": f"""
 WITH {topic("dups")}, {winners(501)}
@@ -416,6 +454,8 @@ SELECT * FROM latest WHERE kind <> 'XID'""",
     "stream_records": f"""
 WITH RECURSIVE {RECORDS}, {numbered(1)}
 SELECT source_id, log_file, log_pos, n_events, bytes, committed, seqid, payload FROM numbered""",
+    "stream_records_in_batches": f"""
+WITH RECURSIVE {RECORDS} SELECT source_id, epoch, CAST(part AS BIGINT) AS part, log_file, log_pos, n_events, bytes, committed, payload FROM records""",
     "stream_segments": f"""
 WITH RECURSIVE {LOG},
 released AS (SELECT log_pos AS d, log_pos + 1 AS seqid, length(raw) AS size, kind = 'XID' AS committed, raw FROM log WHERE log_pos < 6006),

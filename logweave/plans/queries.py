@@ -303,6 +303,27 @@ def resequence_whole_wrapped(spark, sf):
     return released.select("seqid", "d", "partition", "offset", "key")
 
 
+def _delivered_again(messages):
+    """Every 101st and every 7th message once more, under the same partition and offset."""
+    again = [messages.where(F.col("arrival") % n == 3) for n in (101, 7)]
+    return messages.unionByName(again[0]).unionByName(again[1])
+
+
+@query
+def resequence_delivered_again(spark, sf):
+    """Messages that a reader gets twice or three times go out once."""
+    released = sequence.resequence(_delivered_again(_good(spark, sf, "whole")), 1)
+    return released.select("seqid", "d", "partition", "offset", "key")
+
+
+@query
+def pending_status_delivered_again(spark, sf):
+    """How many deliveries of each message have which status."""
+    decoded = _delivered_again(relay.decode_messages(fx.topic_messages(spark, sf, "dups")))
+    marked = sequence.message_status(decoded, fx.STALE_START, WINDOW)
+    return marked.groupBy("partition", "offset", "status").agg(F.count("*").alias("deliveries"))
+
+
 @query
 def drop_stale(spark, sf):
     kept = sequence.drop_stale(_good(spark, sf, "dups"), fx.STALE_START)
@@ -324,7 +345,44 @@ def gap_report(spark, sf):
 @query
 def last_offsets(spark, sf):
     processed = _good(spark, sf, "dups").withColumn("ord", F.col("arrival"))
-    return bookkeeping.last_offsets(processed)
+    return bookkeeping.last_offsets(processed).select("partition", "offset", "seqid")
+
+
+def _two_topics(spark, sf):
+    """Two topics whose partitions and offsets have the same numbers."""
+    other = fx.topic_messages(spark, sf, "gap").withColumn("topic", F.lit("audit"))
+    return fx.topic_messages(spark, sf, "dups").unionByName(other)
+
+
+@query
+def last_offsets_two_topics(spark, sf):
+    good, _ = relay.split_bad_envelopes(_two_topics(spark, sf))
+    return bookkeeping.last_offsets(good.withColumn("ord", F.col("arrival"))).select("topic", "partition", "offset", "seqid")
+
+
+@query
+def contiguous_watermark_two_topics(spark, sf):
+    good, _ = relay.split_bad_envelopes(_two_topics(spark, sf))
+    return bookkeeping.contiguous_watermark(good, 0).select("topic", "partition", "watermark")
+
+
+@query
+def read_from_offsets_two_topics(spark, sf):
+    """Two partitions of one topic go on from their middle, everything else from its start."""
+    messages = _two_topics(spark, sf)
+    saved = messages.where((F.col("partition") < 2) & (F.col("topic") == "changes")).groupBy("topic", "partition").agg(
+        floor_div(F.max("offset"), 2).alias("offset")
+    )
+    read = topic.read_from_offsets(messages, saved)
+    return read.select("topic", "partition", "offset", "key", F.coalesce("seqid", F.lit(0)).alias("seqid"))
+
+
+@query
+def resequence_two_topics(spark, sf):
+    """Ids that arrive over two topics under the same partitions and offsets."""
+    good, _ = relay.split_bad_envelopes(_two_topics(spark, sf))
+    released = sequence.resequence(good, 1)
+    return released.select("seqid", "d", "topic", "partition", "offset", "key")
 
 
 @query
@@ -339,7 +397,7 @@ def offset_book(spark, sf):
 def contiguous_watermark(spark, sf):
     """Offsets whose message was processed; those with a junk value were not."""
     done = _good(spark, sf, "gap")
-    return bookkeeping.contiguous_watermark(done, 0)
+    return bookkeeping.contiguous_watermark(done, 0).select("partition", "watermark")
 
 
 # ---- relay ---------------------------------------------------------------------------------------
@@ -585,6 +643,29 @@ def stream_records(spark, sf):
     )
 
 
+@query
+def stream_records_in_batches(spark, sf):
+    """The collector over micro-batches that cut transactions anywhere: keys and records are those of the whole log."""
+    store = _store(spark, "records")
+    log = fx.change_log_of(_ordered_batches(spark, sf, files=6))
+    _finish(collect_stream(log, RULES, fx.MAX_SIZE, store, span=fx.SPAN))
+    return store.read(spark, "records").select(
+        "source_id", "epoch", "part", "log_file", "log_pos", "n_events", "bytes", "committed",
+        F.concat_ws("|", F.transform("data", lambda b: b.cast("string"))).alias("payload"),
+    )
+
+
+def _ordered_batches(spark, sf, files):
+    """The event table as a stream of micro-batches in order of the ids: one file after the other is written."""
+    events = fx.table(spark, sf, "events")
+    path = f"{checkpoint_root(spark)}/streams/events-{uuid.uuid4().hex}"
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    for i in range(files):
+        first, end = (low + (high + 1 - low) * k // files for k in (i, i + 1))
+        events.where((F.col("event_id") >= first) & (F.col("event_id") < end)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _event_batches(spark, sf, files=4):
     """The event table as a stream of several micro-batches."""
     events = fx.table(spark, sf, "events")

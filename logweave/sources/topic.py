@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators.relay import decode_messages
+from logweave.operators.relay import decode_messages, message_scope
 from logweave.operators.small import join_small
 
 
@@ -37,9 +37,11 @@ def kafka_stream(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
 
 
 def read_from_offsets(topic: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Messages from each partition's saved offset on (inclusive), or from its start, decoded."""
-    saved = offsets.select("partition", F.col("offset").alias("saved"))
-    wanted = join_small(topic, saved, ["partition"]).where(F.col("offset") >= F.coalesce("saved", F.lit(0)))
+    """Messages from each partition's saved offset on (inclusive), or from its start, decoded. Offsets saved with
+    their topic hold for that topic only."""
+    keys = [c for c in message_scope(topic) if c in offsets.columns]
+    saved = offsets.select(*keys, F.col("offset").alias("saved"))
+    wanted = join_small(topic, saved, keys).where(F.col("offset") >= F.coalesce("saved", F.lit(0)))
     return decode_messages(wanted.drop("saved"))
 
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from logweave.functions.cyclic import MIN_SEQID, next_seqid
-from logweave.operators.rules import BEGIN_QUERY, WANTED_TABLE, classify
+from logweave.operators.resume import headers_after, held_parts, no_state, parts_after, routed_after, state_after
 from logweave.operators.scan import BLOCK_SPAN
 from logweave.operators.sequence import assign_seqid
-from logweave.operators.small import join_small
-from logweave.operators.transactions import headers_of, record_parts
 from logweave.plans.collector import payload_of
 from logweave.sources.changelog import read_changelog
 from logweave.streaming.state import BatchStore
 
+PART = "epoch bigint, part bigint, alone_file string, alone_pos bigint, is_commit boolean, is_cut boolean"
+
 
 def collect_stream(
     events: DataFrame,
@@ -31,10 +31,10 @@ def collect_stream(
 ) -> DataStreamWriter:
     """A writer that turns each micro-batch of events into records under ``store``'s "records".
 
-    State between batches: the events of each source's open transaction ("open"), how far each source
-    was read ("seen") and the id counter. An open transaction is simply cut again together with the
-    new events; a record goes out in the batch that brings its last event, so none goes out twice. A
-    source that is in no transaction leaves no events behind, however much it has sent.
+    State between batches: a row per source that routing and cutting follow on ("state", see
+    :mod:`logweave.operators.resume`), the events of its open part ("held", at most ``max_size`` bytes and what
+    statements add) and the id counter. Every event is routed and cut in its own batch only; epochs and parts count
+    through the whole log. A record goes out in the batch that brings its last event, so none goes out twice.
     Events must arrive in log order per source from batch to batch. ``sink`` gets the numbered
     records too, before the batch is committed.
     """
@@ -44,37 +44,26 @@ def collect_stream(
 
     def batch(new: DataFrame, batch_id: int) -> None:
         spark = new.sparkSession
-        seen = store.previous(spark, "seen", batch_id, new.select(*place).schema)
-        carried = store.previous(spark, "open", batch_id, new.schema)
+        state = store.previous(spark, "state", batch_id, no_state(new, scope).schema)
+        narrow = StructType([*new.select(*place, "event_ts", "size").schema, *StructType.fromDDL(PART)])
+        held = store.previous(spark, "held", batch_id, narrow)
+        held_events = store.previous(spark, "held_events", batch_id, new.schema)
         counter = store.previous_row(spark, "counter", batch_id, {"next_seqid": start}).next_seqid
-        fresh = store.between("fresh", batch_id, read_changelog(new, seen, scope))
-        whole = carried.unionByName(fresh)
+        fresh = store.between("fresh", batch_id, read_changelog(new, state, scope))
 
-        parts = store.between("parts", batch_id, record_parts(whole, rules, max_size, scope, span))
-        headers = read_changelog(headers_of(parts, scope).withColumn("kind", F.lit("RECORD")), seen, scope)
-        headers = store.between("headers", batch_id, headers)
-        numbered = assign_seqid(headers.drop("kind"), counter, scope, span)
-        store.write("records", batch_id, payload_of(numbered, parts, whole, scope))
+        routed = store.between("routed", batch_id, routed_after(fresh, state, rules, scope, span))
+        parts = store.between("parts", batch_id, parts_after(routed, state, max_size, scope).select(*narrow.names))
+        headers = store.between("headers", batch_id, headers_after(held, parts, scope))
+        waiting, whole = held.unionByName(parts), held_events.unionByName(fresh)
+        numbered = assign_seqid(headers, counter, scope, span)
+        store.write("records", batch_id, payload_of(numbered, waiting, whole, scope))
         records = spark.read.parquet(store.path("records", batch_id))
         if sink is not None:
             sink(records, batch_id)
 
-        last = F.max(F.struct("log_file", "log_pos"))
-        commits = whole.where(F.col("kind") == "XID").groupBy(*scope).agg(last.alias("at"))
-        after = read_changelog(whole, commits.select(*scope, "at.log_file", "at.log_pos"), scope)
-        store.keep("open", batch_id, _open_transactions(after, rules, scope))
-        reached = seen.unionByName(fresh.select(*place)).groupBy(*scope).agg(last.alias("at"))
-        store.keep("seen", batch_id, reached.select(*scope, "at.log_file", "at.log_pos"))
+        after = store.between("state", batch_id, state_after(routed, waiting, state, scope))
+        still = store.between("held", batch_id, held_parts(waiting, after, scope))
+        store.keep("held_events", batch_id, whole.join(still.select(*place), place, "left_semi").select(*new.columns))
         store.keep_row(spark, "counter", batch_id, {"next_seqid": next_seqid(counter, records.count())})
 
     return writer.foreachBatch(batch).option("checkpointLocation", store.path("checkpoint"))
-
-
-def _open_transactions(after: DataFrame, rules: Mapping[str, Sequence[str]], scope: Sequence[str]) -> DataFrame:
-    """Of the events after each source's last commit, those from the one on that opens a transaction.
-
-    What stands before it is standalone or dropped for good, and leaves no state that routing would need.
-    """
-    opening = classify(after, rules).where(F.col("mark").isin(BEGIN_QUERY, WANTED_TABLE))
-    opening = opening.groupBy(*scope).agg(F.min(F.struct("log_file", "log_pos")).alias("opened"))
-    return join_small(after, opening, scope, "inner").where(F.struct("log_file", "log_pos") >= F.col("opened")).drop("opened")

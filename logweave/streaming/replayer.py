@@ -22,6 +22,7 @@ def resequence_stream(
 
     State: the expected id and the messages behind the first gap ("pending"). A gap that never fills
     keeps everything behind it pending, as it must; ``gap_report`` on that state names it.
+    Messages delivered again, in one batch, over batches or while their first delivery waits, go out once.
     Undecodable messages go to "dead". With ``segment_limit`` the released records are also laid out
     as frames in "segments"; the open segment's number and bytes are state as well. A segment that the
     last record of a batch has closed stays closed: the next batch starts a new one, wherever batches end.
@@ -38,7 +39,7 @@ def resequence_stream(
         waiting = store.between("waiting", batch_id, drop_stale(pending.unionByName(good), state.seqid))
         store.write("released", batch_id, resequence(waiting, state.seqid, span))
         released = spark.read.parquet(store.path("released", batch_id))
-        count = released.count()
+        count = released.agg(F.coalesce(F.max("d") + 1, F.lit(0))).first()[0]  # ids, not rows
         following = next_seqid(state.seqid, count)
         store.keep("pending", batch_id, drop_stale(waiting, following))
         segment_id, segment_bytes = state.segment_id, state.segment_bytes

@@ -1,5 +1,7 @@
 """Streams cut into several micro-batches against the batch operators, with restarts in between."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def test_collector_stream_equals_batch(spark, tmp_path):
         assert positions == sorted(positions)
 
 
-def test_collector_state_holds_open_transactions_only(spark, tmp_path):
+def test_collector_state_holds_open_parts_only(spark, tmp_path):
     log = fx.change_log(spark, SF_SMALL)
     alone = log.where(F.col("kind").isin("OTHER", "ROWS") | ((F.col("kind") == "QUERY") & (F.upper(F.coalesce("query", F.lit(""))) != "BEGIN")))
     store = BatchStore(str(tmp_path / "store"))
@@ -60,7 +62,45 @@ def test_collector_state_holds_open_transactions_only(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     run(collect_stream(stream, RULES, fx.MAX_SIZE, store, span=fx.SPAN))
     assert store.read(spark, "records").select("batch").distinct().count() == 3
-    assert all(store.previous(spark, "open", batch, log.schema).count() == 0 for batch in (2, 3))
+    assert all(store.previous(spark, "held_events", batch, log.schema).count() == 0 for batch in (2, 3))
+
+
+def test_a_transaction_over_many_batches_is_cut_once(spark, tmp_path, monkeypatch):
+    """Twelve batches, one transaction through nearly all of them; short ones of a second source beside it."""
+    columns = "source_id bigint, log_file string, log_pos bigint, event_ts timestamp, kind string, schema_name string, table_name string, query string, size bigint, raw binary"
+    ts, rows = datetime(2024, 1, 1), []
+
+    def event(source, pos, kind, query=None, table="T1"):
+        file = f"binlog-{pos // 70}.log"
+        rows.append((source, file, pos, ts + timedelta(seconds=pos), kind, "DB0", table, query, 30 + pos % 11, f"{source}:{pos}".encode()))
+
+    for step in range(100):
+        long, short = step * 2, step * 2 + 1
+        kind = {0: "QUERY", 1: "TABLE_MAP", 97: "XID", 98: "QUERY"}.get(step, "TABLE_MAP" if step % 23 == 5 else "ROWS")
+        event(1, long, kind, "BEGIN" if step in (0, 98) else None, "T9" if step % 46 == 28 else "T1")
+        event(2, short, ["QUERY", "TABLE_MAP", "ROWS", "XID", "ROTATE"][step % 5], "begin")
+    log = spark.createDataFrame(rows, columns)
+    store, folder = BatchStore(str(tmp_path / "store")), str(tmp_path / "log")
+    in_files(log, folder, "log_pos", 12)
+    routed = []
+    keep = BatchStore.keep
+
+    def counting(self, name, batch_id, df):
+        keep(self, name, batch_id, df)
+        if name == "routed":
+            state = 0 if batch_id == 0 else spark.read.parquet(self._slot("state", batch_id - 1)).count()
+            routed.append(spark.read.parquet(self._slot(name, batch_id)).count() - state)
+
+    monkeypatch.setattr(BatchStore, "keep", counting)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    run(collect_stream(stream, RULES, 200, store, span=64))
+    assert len(routed) == 12 and sum(routed) == len([r for r in rows if r[4] != "ROTATE"])
+    kept = ["source_id", "epoch", "part", "log_file", "log_pos", "n_events", "bytes", "first_file", "first_pos", "event_ts", "committed", "data"]
+    want = transactions.build_records(log, RULES, 200, span=64).select(*kept).collect()
+    got = store.read(spark, "records").select(*kept).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and max(r.part for r in want) > 5
+    held = store.previous(spark, "held_events", 12, log.schema).collect()
+    assert sum(r.size for r in held) <= 2 * 240
 
 
 def test_replayed_batch_hands_out_the_same_ids(spark, tmp_path):
@@ -181,3 +221,21 @@ def test_failing_sinks(spark):
     assert tries == [7, 7, 7]
     with pytest.raises(OSError):
         retrying_write(down, 2, 0)(df, 8)
+
+
+def test_messages_delivered_again_go_out_once(spark, tmp_path):
+    """Copies under one partition and offset: in one batch, over batches, and while the first one waits."""
+    schema = "key string, value binary, topic string, partition int, offset bigint, committed boolean"
+
+    def message(seqid):
+        return (f"k{seqid}", f'{{"seqid":{seqid},"data":["eA=="]}}'.encode(), "changes", seqid % 3, 10 * seqid, True)
+
+    batches = [[1, 2, 2, 3, 6], [4, 6, 3, 7, 6], [5, 2, 8, 8], [9, 7, 10]]
+    store, folder = BatchStore(str(tmp_path / "store")), str(tmp_path / "topic")
+    for ids in batches:
+        spark.createDataFrame([message(i) for i in ids], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        run(resequence_stream(stream, store, segment_limit=1000))
+    got = [(r.batch, r.seqid) for r in store.read(spark, "released").orderBy("batch", "d").collect()]
+    assert got == [(0, 1), (0, 2), (0, 3), (1, 4), (2, 5), (2, 6), (2, 7), (2, 8), (3, 9), (3, 10)]
+    assert store.read(spark, "segments").count() == 10
