@@ -123,10 +123,12 @@ def pooled(texts: pa.Array, vectors: np.ndarray, index: np.ndarray) -> np.ndarra
 
 
 def _repeats(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Share of each row's words that stand there again, as a pair with the word after them."""
+    """Share of each row's words that stand there again, as a pair with the word after them. A row's last word has none after it."""
     n = np.diff(bounds)
-    row = np.repeat(np.arange(len(n)), n)
-    pair = letters * BUCKETS + np.append(letters[1:], 0)
+    inside = np.ones(len(letters), bool)
+    inside[bounds[1:][n > 0] - 1] = False
+    row = np.repeat(np.arange(len(n)), n)[inside]
+    pair = (letters * BUCKETS + np.append(letters[1:], 0))[inside]
     order = np.lexsort((pair, row))
     same = (pair[order][1:] == pair[order][:-1]) & (row[order][1:] == row[order][:-1])
     again = np.bincount(row[order][1:][same], minlength=len(n)) if len(order) else np.zeros(len(n))

@@ -223,3 +223,20 @@ def test_an_id_is_learned_from_once(spark, monkeypatch):
     quality.quality_score(frame, labels)
     assert sizes == {"rules": 40, "quality": labels.filter(~quality.held_out(F.col("doc_id"))).count()}
     assert labels.filter((F.col("doc_id") == 0) & ~quality.held_out(F.col("doc_id"))).count()
+
+
+def test_a_score_is_a_function_of_the_text_alone():
+    def share(*texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+        letters, _, bounds = quality.word_buckets(data, offsets)
+        return quality._repeats(letters, bounds)[0]
+
+    assert share("a b a ", "b c d") == share("a b a ", "c b d") == share("a b a ") == 0
+    assert share("a b a b ", "a") == share("a b a b ") == 1 / 4
+    vectors = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.SIZE)).astype(np.float32)
+    texts = ["a b a", "b c d", "", "c b d " * 40, "a b a"]
+    together = quality.pooled(pa.array(texts), vectors, quality.index_vectors())
+    for order in ([4, 3, 2, 1, 0], [1, 0, 3, 2, 4]):
+        again = quality.pooled(pa.array([texts[i] for i in order]), vectors, quality.index_vectors())
+        assert (again == together[order]).all()
