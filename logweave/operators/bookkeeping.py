@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.relay import message_scope
-from logweave.operators.scan import ROW_SPAN, block_of, dense_rank_rows
+from logweave.operators.scan import ROW_SPAN, Scan, block_of, dense_rank_rows, prefix_scan
 
 
 def last_position(records: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataFrame:
@@ -63,3 +63,28 @@ def contiguous_watermark(done: DataFrame, start: Column | int = 0, span: int = R
         .groupBy(*scope)
         .agg(F.max("offset").alias("watermark"))
     )
+
+
+def offset_intervals(offsets: DataFrame, span: int = ROW_SPAN) -> DataFrame:
+    """Runs of offsets without a hole: (topic, partition, low, high), from single offsets or from such runs.
+
+    Runs that overlap or touch become one, so this is a union: runs of two batches may be united in any order, and a
+    partition needs as many rows as it has holes.
+    """
+    scope = message_scope(offsets)
+    if "offset" in offsets.columns:
+        offsets = offsets.select(*scope, F.col("offset").alias("low"), F.col("offset").alias("high"))
+    # the longest of the runs that begin at one offset stands for them
+    runs = offsets.groupBy(*scope, "low").agg(F.max("high").alias("high")).withColumn("__block", block_of(F.col("low"), span))
+    reached = prefix_scan(runs, scope, [["__block"]], ["low"], [Scan("__reached", F.col("high"), "max")])
+    starts = F.coalesce(F.col("low") > F.col("__reached") + 1, F.lit(True)).cast("bigint")
+    numbered = prefix_scan(reached, scope, [["__block"]], ["low"], [Scan("__run", starts, inclusive=True)])
+    # within blocks first, where the rows are
+    local = numbered.groupBy(*scope, "__block", "__run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return local.groupBy(*scope, "__run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("__run")
+
+
+def watermark_of(intervals: DataFrame, start: int = 0) -> DataFrame:
+    """:func:`contiguous_watermark` from :func:`offset_intervals`: the end of the run that holds ``start``."""
+    holding = intervals.where((F.col("low") <= start) & (F.col("high") >= start))
+    return holding.select(*message_scope(intervals), F.col("high").alias("watermark"))

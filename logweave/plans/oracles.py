@@ -454,6 +454,12 @@ SELECT * FROM latest WHERE kind <> 'XID'""",
     "stream_records": f"""
 WITH RECURSIVE {RECORDS}, {numbered(1)}
 SELECT source_id, log_file, log_pos, n_events, bytes, committed, seqid, payload FROM numbered""",
+    "stream_watermark": """
+WITH done AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'changes' ELSE 'audit' END AS topic, CAST(event_id // 2 % 3 AS INT) AS partition, event_id // 6 AS o
+              FROM events WHERE event_id % 211 <> 210),
+started AS (SELECT topic, partition FROM done WHERE o = 0)
+SELECT d.topic, d.partition, min(d.o) AS watermark FROM done d JOIN started USING (topic, partition)
+WHERE NOT EXISTS (SELECT 1 FROM done n WHERE n.topic = d.topic AND n.partition = d.partition AND n.o = d.o + 1) GROUP BY ALL""",
     "stream_records_in_batches": f"""
 WITH RECURSIVE {RECORDS} SELECT source_id, epoch, CAST(part AS BIGINT) AS part, log_file, log_pos, n_events, bytes, committed, payload FROM records""",
     "stream_segments": f"""

@@ -29,6 +29,7 @@ from logweave.streaming.relay import (
 )
 from logweave.streaming.replayer import resequence_stream
 from logweave.streaming.state import BatchStore
+from logweave.streaming.watermark import watermark_stream
 
 RULES = rules.parse_rules(fx.RULES)
 ORDER_RULES = rules.parse_rules(fx.ORDER_RULES)
@@ -655,6 +656,21 @@ def stream_records_in_batches(spark, sf):
     )
 
 
+@query
+def stream_watermark(spark, sf):
+    """The watermark kept over micro-batches of messages in random order, every 211th of which never gets done: the last batch's."""
+    store = _store(spark, "watermark")
+    done = _event_batches(spark, sf).where(F.col("event_id") % 211 != 210).select(
+        F.when(F.col("event_id") % 2 == 0, "changes").otherwise("audit").alias("topic"),
+        (floor_div(F.col("event_id"), 2) % fx.PARTITIONS).cast("int").alias("partition"),
+        floor_div(F.col("event_id"), 2 * fx.PARTITIONS).alias("offset"),
+    )
+    _finish(watermark_stream(done, store, span=1000))
+    marks = store.read(spark, "watermarks")
+    last = marks.groupBy("topic", "partition").agg(F.max_by("watermark", "batch").alias("watermark"))
+    return last.select("topic", "partition", "watermark")
+
+
 def _ordered_batches(spark, sf, files):
     """The event table as a stream of micro-batches in order of the ids: one file after the other is written."""
     events = fx.table(spark, sf, "events")

@@ -2,18 +2,20 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from logweave.functions.envelope import encode_envelope
-from logweave.operators import relay, sequence, transactions
+from logweave.operators import bookkeeping, relay, sequence, transactions
 from logweave.plans import fixtures as fx
 from logweave.plans.queries import RULES
 from logweave.streaming.collector import collect_stream
 from logweave.streaming.relay import failover_write, open_sink, open_source, pack_stream, republish_stream, retrying_write, table_writer
 from logweave.streaming.replayer import resequence_stream
 from logweave.streaming.state import BatchStore
+from logweave.streaming.watermark import watermark_stream
 
 
 def run(writer):
@@ -239,3 +241,22 @@ def test_messages_delivered_again_go_out_once(spark, tmp_path):
     got = [(r.batch, r.seqid) for r in store.read(spark, "released").orderBy("batch", "d").collect()]
     assert got == [(0, 1), (0, 2), (0, 3), (1, 4), (2, 5), (2, 6), (2, 7), (2, 8), (3, 9), (3, 10)]
     assert store.read(spark, "segments").count() == 10
+
+
+def test_watermark_over_batches_in_random_order(spark, tmp_path):
+    random = np.random.default_rng(7)
+    schema = "topic string, partition int, offset bigint"
+    offsets = [("a", 0, int(o)) for o in random.permutation(300)] + [("a", 1, int(o)) for o in random.permutation(300) if o % 50 != 49] + [("b", 0, int(o)) for o in range(5, 40)]
+    rows = [offsets[i] for i in random.permutation(len(offsets))]
+    rows[100:100] = rows[:40]  # done again
+    store, folder = BatchStore(str(tmp_path / "store")), str(tmp_path / "done")
+    for at in (0, 150, 400, 550):
+        spark.createDataFrame(rows[at : {0: 150, 150: 400, 400: 550}.get(at)], schema).coalesce(1).write.mode("append").parquet(folder)
+        run(watermark_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), store, span=16))
+        seen = spark.read.schema(schema).parquet(folder)
+        batch = store.read(spark, "watermarks").agg(F.max("batch")).first()[0]
+        got = store.read(spark, "watermarks").where(F.col("batch") == batch).drop("batch")
+        want = bookkeeping.contiguous_watermark(seen, 0, span=16)
+        assert sorted(map(tuple, got.select("topic", "partition", "watermark").collect())) == sorted(map(tuple, want.select("topic", "partition", "watermark").collect()))
+    runs = store.previous(spark, "runs", 4, bookkeeping.offset_intervals(seen).schema).groupBy("topic", "partition").count()
+    assert {(r.topic, r.partition): r["count"] for r in runs.collect()} == {("a", 0): 1, ("a", 1): 6, ("b", 0): 1}
