@@ -72,6 +72,11 @@ def _ahead(seqid: Column, start: int) -> Column:
     return _valid(seqid) & (cyclic_distance(seqid, start) <= CYCLE // 2)
 
 
+def ahead_of(messages: DataFrame, start: int) -> DataFrame:
+    """Messages with the expected id or a later one, copies included."""
+    return messages.where(_ahead(F.col("seqid"), start))
+
+
 def _place(messages: DataFrame) -> list[str]:
     """What tells messages apart: rows that agree in it are copies of one message, delivered again."""
     return [*message_scope(messages), "offset"]
@@ -84,7 +89,7 @@ def _winners(messages: DataFrame, start: int) -> DataFrame:
     """
     lowest = F.struct("partition", "offset", *[c for c in _place(messages) if c not in ("partition", "offset")])
     return (
-        messages.where(_ahead(F.col("seqid"), start))
+        ahead_of(messages, start)
         .groupBy(cyclic_distance(F.col("seqid"), start).alias("d"))
         .agg(F.min(lowest).alias("at"))
         .select("d", "at.*")
@@ -137,7 +142,7 @@ def message_status(messages: DataFrame, start: int, window: int, span: int = ROW
 def gap_report(messages: DataFrame, start: int, span: int = ROW_SPAN) -> DataFrame:
     """Missing id ranges (first_missing, last_missing, missing) between the ids that arrived."""
     distances = (
-        messages.where(_ahead(F.col("seqid"), start))
+        ahead_of(messages, start)
         .select(cyclic_distance(F.col("seqid"), start).alias("d"))
         .distinct()
         .withColumn("__block", block_of(F.col("d"), span))

@@ -484,6 +484,12 @@ numbered AS (SELECT d, upto, row_number() OVER (ORDER BY d) AS segment_id FROM c
 SELECT coalesce(segment_id, 0) AS segment_id, seqid, size, 120 + w.upto - coalesce(n.upto, 0) AS log_pos,
        CAST(xor({CRC}, 4294967295::UBIGINT) AS BIGINT) AS crc, raw AS frame
 FROM whole w ASOF LEFT JOIN numbered n ON w.d > n.d""",
+    "stream_far_ahead": """
+WITH bounds AS (SELECT min(event_id) AS low, max(event_id) + 1 - min(event_id) AS n FROM events),
+starts AS (SELECT low AS p0, low + n // 6 AS p1, low + n * 2 // 6 AS p2 FROM bounds),
+placed AS (SELECT event_id, CASE WHEN event_id < p1 THEN 3 WHEN event_id < p2 THEN 4 ELSE 5 END AS batch,
+                  CASE WHEN event_id < p1 THEN p0 WHEN event_id < p2 THEN p1 ELSE p2 END AS first_id FROM events, starts)
+SELECT batch::BIGINT AS batch, event_id + 1 AS seqid, event_id - first_id AS d, 'k' || event_id AS key FROM placed""",
     "stream_relay": f"""
 WITH keyed AS (SELECT 'k' || event_id AS key, props AS value FROM events),
 {partition_of("key", "keyed", 6, "key, value")} SELECT 'changes' AS topic, key, value, partition FROM placed""",
@@ -492,3 +498,6 @@ ORACLES["stream_log_rows"] = ORACLES["log_rows"]
 ORACLES["stream_files_to_table"] = "SELECT 'archive' AS topic, 'k' || event_id AS key, props AS value FROM events"
 ORACLES["stream_segments_in_batches"] = ORACLES["stream_segments"]
 ORACLES["stream_segments_whole_in_batches"] = ORACLES["stream_segments_whole"]
+ORACLES["stream_tail_segments"] = f"""
+SELECT segment_id, seqid, size, log_pos, frame FROM ({ORACLES["stream_segments_whole"]})
+WHERE segment_id > 1 OR (segment_id = 1 AND log_pos - size >= 1500)"""

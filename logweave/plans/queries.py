@@ -18,22 +18,24 @@ from logweave.session import checkpoint_root, cut_lineage
 from logweave.sinks.segments import read_segments, write_segments
 from logweave.sources import changelog, topic
 from logweave.streaming.collector import collect_stream
+from logweave.streaming.commits import CommitLog, commit_writer
 from logweave.streaming.relay import (
     failover_write,
     log_lines,
     open_sink,
     pack_stream,
-    republish_stream,
     retrying_write,
     table_writer,
 )
 from logweave.streaming.replayer import resequence_stream
 from logweave.streaming.state import BatchStore
+from logweave.streaming.tail import position, tail_segments
 from logweave.streaming.watermark import watermark_stream
 
 RULES = rules.parse_rules(fx.RULES)
 ORDER_RULES = rules.parse_rules(fx.ORDER_RULES)
 REPLAY_SEGMENT, REPLAY_POS = 2, 5000
+TAIL_SEGMENT, TAIL_POS = 1, 1500
 ORDER_MAX_SIZE = 400
 SEQ_START = 10**12 - 999  # the counter wraps after a thousand records
 SEGMENT_LIMIT = 4000
@@ -736,26 +738,70 @@ def stream_segments_whole_in_batches(spark, sf):
     return _stream_segments(spark, _event_batches(spark, sf), gap=False)
 
 
-def _stream_segments(spark, stream, gap=True):
-    events = stream.where(F.col("event_id") % 6007 != 6006) if gap else stream
-    messages = events.select(
+def _replayed_messages(events):
+    return events.select(
         F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
         encode_envelope(F.col("event_id") + 1, F.array(F.col("props").cast("binary"))).cast("binary").alias("value"),
         (F.col("event_id") % fx.PARTITIONS).cast("int").alias("partition"),
         ((F.col("event_id") * 48271) % 2147483647).alias("offset"),
         (F.col("event_type") == "purchase").alias("committed"),
     )
+
+
+def _stream_segments(spark, stream, gap=True):
+    events = stream.where(F.col("event_id") % 6007 != 6006) if gap else stream
     store = _store(spark, "segments")
-    _finish(resequence_stream(messages, store, segment_limit=SEGMENT_LIMIT))
+    _finish(resequence_stream(_replayed_messages(events), store, segment_limit=SEGMENT_LIMIT))
     return store.read(spark, "segments").select(
         "segment_id", "seqid", "size", "log_pos", "crc", F.col("frame").cast("string").alias("frame")
     )
 
 
+@query
+def stream_far_ahead(spark, sf):
+    """The later half of the ids arrives first and waits by ranges, with messages delivered again: what each batch releases."""
+    events, files = fx.table(spark, sf, "events"), 6
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    path = f"{checkpoint_root(spark)}/streams/events-{uuid.uuid4().hex}"
+    for i in range(files):
+        piece = (i + files // 2) % files
+        first, end = (low + (high + 1 - low) * k // files for k in (piece, piece + 1))
+        again = F.when(F.col("event_id") % 101 == 7, 2).otherwise(1)
+        batch = events.where((F.col("event_id") >= first) & (F.col("event_id") < end)).withColumn("copy", F.explode(F.sequence(F.lit(1), again)))
+        batch.drop("copy").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    store = _store(spark, "released")
+    _finish(resequence_stream(_replayed_messages(stream), store, span=1000))
+    return store.read(spark, "released").select(F.col("batch").cast("bigint").alias("batch"), "seqid", "d", "key")
+
+
+@query
+def stream_tail_segments(spark, sf):
+    """A reader that follows segments from a position on while they are written; half-way another one goes on from its place."""
+    events, files = fx.table(spark, sf, "events"), 4
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    path = f"{checkpoint_root(spark)}/streams/events-{uuid.uuid4().hex}"
+    store, log = _store(spark, "segments"), CommitLog(_store(spark, "segment-log").root)
+    readers = [_store(spark, "tail"), _store(spark, "tail")]
+    frames, start = _store(spark, "tail-frames"), (TAIL_SEGMENT, TAIL_POS)
+    for i in range(files):
+        first, end = (low + (high + 1 - low) * k // files for k in (i, i + 1))
+        events.where((F.col("event_id") >= first) & (F.col("event_id") < end)).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        _finish(resequence_stream(_replayed_messages(stream), store, segment_limit=SEGMENT_LIMIT, log=log))
+        nr = i * len(readers) // files
+        if nr and i * len(readers) % files == 0:
+            start = position(spark, readers[nr - 1], i - 1)
+        write = lambda df, batch_id, nr=nr: frames.write("read", batch_id * len(readers) + nr, df)
+        _finish(tail_segments(spark, log, readers[nr], write, *start))
+    return frames.read(spark, "read").select("segment_id", "seqid", "size", "log_pos", F.col("frame").cast("string").alias("frame"))
+
+
 @query
 def stream_relay(spark, sf):
-    """Topic to packs, over the hop with retries and a second way, and back to topic rows."""
+    """Topic to packs, over the hop with retries and a second way, and back to topic rows. Every batch is sent twice, as after a failure."""
     store = _store(spark, "relay")
+    sent = CommitLog(store.path("packs"))
     stream = _event_stream(spark, sf).select(
         F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"),
         F.col("props").cast("binary").alias("value"),
@@ -764,13 +810,17 @@ def stream_relay(spark, sf):
         floor_div(F.col("event_id"), fx.PARTITIONS).alias("offset"),
         "ts",
     )
-    hop = failover_write(table_writer(store, "packs"), [table_writer(store, "packs-second-way")])
+    hop = failover_write(commit_writer(sent), [commit_writer(sent)])
+
+    def twice(df, batch_id):
+        hop(df, batch_id)
+        hop(df, batch_id)
+
     _finish(
         pack_stream(
-            stream, retrying_write(hop, 3, 1.0), store.path("checkpoint-out"), PACK_COUNT, PACK_SIZE, PACK_TICK, span=fx.SPAN
+            stream, retrying_write(twice, 3, 1.0), store.path("checkpoint-out"), PACK_COUNT, PACK_SIZE, PACK_TICK, span=fx.SPAN
         )
     )
-    schema = store.read(spark, "packs").drop("batch").schema
-    arrived = spark.readStream.schema(schema).parquet(store.path("packs") + "/batch=*")
-    _finish(republish_stream(arrived, table_writer(store, "topic"), store.path("checkpoint-in"), 6))
+    arrive = lambda packs, batch_id: table_writer(store, "topic")(relay.republish(packs, 6), batch_id)
+    _finish(sent.follow_rows(spark, _store(spark, "relay-in"), arrive))
     return store.read(spark, "topic").select("topic", "key", _text("value"), "partition")

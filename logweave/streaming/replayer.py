@@ -6,44 +6,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from logweave.functions.cyclic import MIN_SEQID, next_seqid
+from logweave.functions.cyclic import MIN_SEQID, cyclic_distance, next_seqid
 from logweave.functions.envelope import total_bytes
+from logweave.operators.bookkeeping import offset_intervals, watermark_of
 from logweave.operators.relay import split_bad_envelopes
 from logweave.operators.scan import ROW_SPAN, block_of
 from logweave.operators.segments import HEADER_BYTES, rewrite_positions, segment_log
-from logweave.operators.sequence import drop_stale, resequence
+from logweave.operators.sequence import ahead_of, drop_stale
+from logweave.streaming.commits import CommitLog
+from logweave.streaming.shelf import Shelf
 from logweave.streaming.state import BatchStore
+from logweave.streaming.tail import commit_frames
+
+NO_FRAMES = "segment_id bigint, d bigint, seqid bigint, idx int, frame binary, size bigint, log_pos bigint, crc bigint"
 
 
 def resequence_stream(
-    messages: DataFrame, store: BatchStore, start: int = MIN_SEQID, span: int = ROW_SPAN, segment_limit: int | None = None
+    messages: DataFrame,
+    store: BatchStore,
+    start: int = MIN_SEQID,
+    span: int = ROW_SPAN,
+    segment_limit: int | None = None,
+    log: CommitLog | None = None,
 ) -> DataStreamWriter:
     """A writer that releases messages in id order to ``store``'s "released", batch by batch.
 
-    State: the expected id and the messages behind the first gap ("pending"). A gap that never fills
-    keeps everything behind it pending, as it must; ``gap_report`` on that state names it.
+    State: the expected id, the runs of ids that arrived ("runs", a row for each hole) and the messages behind the first
+    gap, on a :class:`Shelf` by ranges of ``span`` ids. A batch adds its own messages and reads the ranges that it releases from,
+    so what waits far behind a gap costs nothing until the gap is filled. A gap that never fills
+    keeps everything behind it pending, as it must; "runs" names it.
     Messages delivered again, in one batch, over batches or while their first delivery waits, go out once.
     Undecodable messages go to "dead". With ``segment_limit`` the released records are also laid out
     as frames in "segments"; the open segment's number and bytes are state as well. A segment that the
     last record of a batch has closed stays closed: the next batch starts a new one, wherever batches end.
+    With ``log`` the frames are committed there too, for readers that follow it (:mod:`logweave.streaming.tail`).
     """
+    shelf = Shelf(store.path("shelf"), span)
+    first = {"seqid": start, "released": 0, "before": 0, "segment_id": 0, "segment_bytes": 0}
 
     def batch(new: DataFrame, batch_id: int) -> None:
         spark = new.sparkSession
         good, dead = split_bad_envelopes(new)
         store.write("dead", batch_id, dead)
-        state = store.previous_row(
-            spark, "expected", batch_id, {"seqid": start, "segment_id": 0, "segment_bytes": 0}
-        )
-        pending = store.previous(spark, "pending", batch_id, good.schema)
-        waiting = store.between("waiting", batch_id, drop_stale(pending.unionByName(good), state.seqid))
-        store.write("released", batch_id, resequence(waiting, state.seqid, span))
-        released = spark.read.parquet(store.path("released", batch_id))
-        count = released.agg(F.coalesce(F.max("d") + 1, F.lit(0))).first()[0]  # ids, not rows
-        following = next_seqid(state.seqid, count)
-        store.keep("pending", batch_id, drop_stale(waiting, following))
+        state = store.previous_row(spark, "expected", batch_id, first)
+        shelf.forget(spark, state.before, state.released)
+        ahead = ahead_of(good, state.seqid).withColumn("at", cyclic_distance(F.col("seqid"), state.seqid) + state.released)
+        shelf.add(ahead, batch_id)
+
+        single = [F.lit(0).alias("partition"), F.col("at").alias("low"), F.col("at").alias("high")]
+        arrived = store.between("arrived", batch_id, ahead.select(*single))
+        before = store.previous(spark, "runs", batch_id, arrived.schema)
+        united = offset_intervals(before.unionByName(arrived), span).select(*arrived.columns)
+        runs = store.between("runs", batch_id, united.where(F.col("high") >= state.released))
+        last = watermark_of(runs, state.released).agg(F.max("watermark")).first()[0]
+        last = state.released - 1 if last is None else last
+        count = last + 1 - state.released
+        # no id of these is missing, so each id's first message can go
+        ready = drop_stale(shelf.between(spark, ahead.schema, state.released, last), state.seqid)
+        store.write("released", batch_id, ready.withColumn("d", F.col("at") - state.released).select("d", *good.columns))
+
         segment_id, segment_bytes = state.segment_id, state.segment_bytes
         if segment_limit is not None and count:
+            released = spark.read.parquet(store.path("released", batch_id))
             frames = _place(released, segment_id, segment_bytes, segment_limit, span)
             store.write("segments", batch_id, frames)
             written = spark.read.parquet(store.path("segments", batch_id))
@@ -53,11 +77,18 @@ def resequence_stream(
             segment_bytes = log_pos - HEADER_BYTES
             if committed and log_pos > segment_limit:
                 segment_id, segment_bytes = segment_id + 1, 0
+            if log is not None:
+                commit_frames(log, written, batch_id)
+        elif log is not None:
+            log.commit(spark.createDataFrame([], NO_FRAMES), batch_id)
         store.keep_row(
             spark,
             "expected",
             batch_id,
-            {"seqid": following, "segment_id": segment_id, "segment_bytes": segment_bytes},
+            {
+                "seqid": next_seqid(state.seqid, count), "released": last + 1, "before": state.released,
+                "segment_id": segment_id, "segment_bytes": segment_bytes,
+            },
         )
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", store.path("checkpoint"))
