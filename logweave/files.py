@@ -39,6 +39,7 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     system, target = _path(spark, path)
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs
+    system.mkdirs(target.getParent())
     draft = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
     out = system.create(draft, True)
     out.write(bytearray(text.encode()))

@@ -501,3 +501,4 @@ ORACLES["stream_segments_whole_in_batches"] = ORACLES["stream_segments_whole"]
 ORACLES["stream_tail_segments"] = f"""
 SELECT segment_id, seqid, size, log_pos, frame FROM ({ORACLES["stream_segments_whole"]})
 WHERE segment_id > 1 OR (segment_id = 1 AND log_pos - size >= 1500)"""
+ORACLES["stream_segments_repaired"] = ORACLES["stream_segments_whole"]

@@ -2,7 +2,8 @@
 
 A batch writes its rows to a folder of its own try and then puts its manifest, which is there whole or not at
 all. Readers go by manifests and never list folders, so they meet no file of a try that failed, and a batch that is replayed after
-its commit changes nothing.
+its commit changes nothing. Rows found damaged later are replaced by a repair: another folder and a manifest beside the commits,
+whose latest one stands for its batch from then on; the damaged folder stays as it is, aside.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from logweave.streaming.relay import BatchWriter
 from logweave.streaming.state import BatchStore
 
 ManifestWriter = Callable[[SparkSession, list[Row], int], None]
-MANIFEST = "batch bigint, folder string, schema string, facts map<string,bigint>"
+MANIFEST = "batch bigint, folder string, schema string, facts map<string,bigint>, repair int"
 
 
 @dataclass(frozen=True)
@@ -38,18 +39,33 @@ class CommitLog:
         spark = df.sparkSession
         if exists(spark, self.manifest_path(batch_id)):
             return
+        put_if_absent(spark, self.manifest_path(batch_id), json.dumps(self._written(df, batch_id, facts)))
+
+    def _written(self, df: DataFrame, batch_id: int, facts: Mapping[str, int] | None) -> dict:
         folder = f"rows/batch={batch_id}/try={uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        row = {"batch": batch_id, "folder": folder, "schema": df.schema.json(), "facts": dict(facts or {})}
-        put_if_absent(spark, self.manifest_path(batch_id), json.dumps(row))
+        return {"batch": batch_id, "folder": folder, "schema": df.schema.json(), "facts": dict(facts or {})}
+
+    def replace(self, df: DataFrame, manifest: Row) -> None:
+        """Put rows in the place of those that ``manifest`` names, with the same facts. Of several that try, one does."""
+        nr = (manifest.repair or 0) + 1
+        row = self._written(df, manifest.batch, manifest.facts) | {"repair": nr}
+        put_if_absent(df.sparkSession, f"{self.root}/repairs/{manifest.batch:012d}-{nr:04d}.json", json.dumps(row))
+
+    def _repairs(self, spark: SparkSession) -> dict[int, Row]:
+        """The latest repair of each batch that has one."""
+        if not exists(spark, f"{self.root}/repairs"):
+            return {}
+        found = spark.read.schema(MANIFEST).json(f"{self.root}/repairs").collect()
+        return {m.batch: m for m in sorted(found, key=lambda m: m.repair)}
 
     def manifests(self, spark: SparkSession, first: int = 0, last: int | None = None) -> list[Row]:
-        """Manifests in order of their batches, one small row each."""
+        """Manifests in order of their batches, one small row each; a repair stands in the place of what it replaces."""
         names = [self.manifest_path(b) for b in range(first, last + 1)] if last is not None else [f"{self.root}/commits"]
         if not names or (last is None and not exists(spark, names[0])):
             return []
-        found = spark.read.schema(MANIFEST).json(names).collect()
-        return sorted((m for m in found if m.batch >= first), key=lambda m: m.batch)
+        found, repairs = spark.read.schema(MANIFEST).json(names).collect(), self._repairs(spark)
+        return sorted((repairs.get(m.batch, m) for m in found if m.batch >= first), key=lambda m: m.batch)
 
     def rows(self, spark: SparkSession, manifests: list[Row]) -> DataFrame:
         """The rows of these batches, with ``batch``."""

@@ -15,10 +15,15 @@ from logweave.streaming.state import BatchStore
 FIRST = {"segment": -1, "pos": HEAD_BYTES}
 
 
-def commit_frames(log: CommitLog, frames: DataFrame, batch_id: int) -> None:
+def commit_frames(log: CommitLog, frames: DataFrame, batch_id: int, **facts: int) -> None:
     """Commit placed frames (a stored table); the manifest names the place where they end, which readers skip batches by."""
-    last = frames.agg(F.max(F.struct("segment_id", "log_pos")).alias("at")).first().at
-    log.commit(frames, batch_id, {} if last is None else {"segment": last.segment_id, "pos": last.log_pos})
+    last = end_of(frames)
+    log.commit(frames, batch_id, {} if last is None else {"segment": last.segment_id, "pos": last.log_pos, **facts})
+
+
+def end_of(frames: DataFrame) -> Row | None:
+    """(segment_id, log_pos) of the last frame."""
+    return frames.agg(F.max(F.struct("segment_id", "log_pos")).alias("at")).first().at
 
 
 def tail_segments(

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave import files
-from logweave.operators.segments import rewrite_positions
+from logweave.functions.envelope import encode_envelope
+from logweave.operators.segments import rewrite_positions, verify_segments
 from logweave.streaming.commits import CommitLog, commit_writer
-from logweave.streaming.replayer import resequence_stream
+from logweave.streaming.replayer import repair_tail, resequence_stream
 from logweave.streaming.shelf import Shelf
 from logweave.streaming.state import BatchStore
 from logweave.streaming.tail import commit_frames, position, tail_segments
@@ -140,3 +141,45 @@ def test_what_waits_far_behind_a_gap_is_not_touched(spark, tmp_path, monkeypatch
     assert sum(b == 4 for b, _ in got) == 86
     kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "store" / "shelf").glob("bucket=*"))
     assert kept == [9]  # what was released is gone
+
+
+@pytest.mark.parametrize("harm", ["frame", "tail", "nothing"])
+def test_a_damaged_last_segment_is_written_again_before_more_is_appended(spark, tmp_path, harm):
+    """Damage at rest, then a restart: every id once, in the places it had; readers ahead of the damage go on."""
+    path, store, log = str(tmp_path / "in"), BatchStore(str(tmp_path / "store")), CommitLog(str(tmp_path / "log"))
+    reader, seen = BatchStore(str(tmp_path / "reader")), []
+
+    def replay(first, end):
+        new = spark.range(first, end, numPartitions=1).select(
+            F.lit("k").alias("key"),
+            encode_envelope(F.col("id") + 1, F.array(F.lit("some bytes").cast("binary"), F.col("id").cast("string").cast("binary"))).cast("binary").alias("value"),
+            F.lit(0).alias("partition"), F.col("id").alias("offset"), (F.col("id") % 5 == 4).alias("committed"),
+        )
+        new.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(new.schema).parquet(path)
+        run(resequence_stream(stream, store, segment_limit=300, log=log))
+
+    def read():
+        run(tail_segments(spark, log, reader, lambda df, batch_id: seen.extend(r.seqid for r in df.collect())))
+
+    replay(0, 37)
+    replay(37, 60)
+    read()
+    intact = sorted(tuple(r) for r in log.read(spark).drop("batch").collect())
+    last = log.manifests(spark)[-1]
+    rows = log.rows(spark, [last]).drop("batch")
+    if harm == "frame":
+        worst = F.when(F.col("segment_id") == last.facts["segment"], F.lit("?").cast("binary")).otherwise(F.col("frame"))
+        log.replace(rows.withColumn("frame", worst), last)
+    if harm == "tail":
+        log.replace(rows.where(F.col("segment_id") < last.facts["segment"]), last)
+    before = len(log.manifests(spark))
+    replay(60, 80)
+    frames = log.read(spark).drop("batch")
+    assert len(log.manifests(spark)) == before + 1
+    assert set(intact) <= {tuple(r) for r in frames.collect()}
+    assert sorted(r.seqid for r in frames.collect()) == sorted([*range(1, 81)] * 2)
+    assert {r.stop_reason for r in verify_segments(frames).collect()} == {"eof"}
+    assert repair_tail(spark, log, store, 300) == [] == repair_tail(spark, log, store, 300, from_segment=0)
+    read()
+    assert sorted(seen) == sorted([*range(1, 81)] * 2)
