@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -55,3 +56,25 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
             raise error
         system.delete(draft, False)
         return False
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's content."""
+    system, at = _path(spark, path)
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def last_number(spark: SparkSession, path_of: Callable[[int], str]) -> int:
+    """The highest n of files numbered 1, 2, ... without a gap; 0 if there is none. Looks at some log n of them and lists no folder."""
+    high = 1
+    while exists(spark, path_of(high)):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if exists(spark, path_of(middle)) else (low, middle)
+    return low

@@ -37,15 +37,20 @@ def write_tiers(tiered: DataFrame, path: str, partition: str) -> None:
         )
 
 
-def apply_latest(records: DataFrame, key: Sequence[str], order: Sequence[str], deleted: Column) -> DataFrame:
-    """Latest row per key in log order, keys whose latest row deletes them left out.
+DELETED = "__deleted"
+
+
+def latest_rows(records: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Latest row per key.
 
     A grouped maximum instead of a window: a key with very many versions is folded before the shuffle.
     """
     values = [c for c in records.columns if c not in {*key, *order}]
-    latest = (
-        records.withColumn("__deleted", F.coalesce(deleted, F.lit(False)))
-        .groupBy(*key)
-        .agg(F.max_by(F.struct(*order, *values, "__deleted"), F.struct(*order)).alias("row"))
-    )
-    return latest.where(~F.col("row.__deleted")).select(*key, *[f"row.{c}" for c in (*order, *values)])
+    latest = records.groupBy(*key).agg(F.max_by(F.struct(*order, *values), F.struct(*order)).alias("row"))
+    return latest.select(*key, *[f"row.{c}" for c in (*order, *values)])
+
+
+def apply_latest(records: DataFrame, key: Sequence[str], order: Sequence[str], deleted: Column) -> DataFrame:
+    """Latest row per key in log order, keys whose latest row deletes them left out."""
+    marked = records.withColumn(DELETED, F.coalesce(deleted, F.lit(False)))
+    return latest_rows(marked, key, order).where(~F.col(DELETED)).drop(DELETED)

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.scan import BLOCK_SPAN, Scan, block_of, prefix_scan
+from logweave.operators.small import join_small
 
+# lower-cased database to expressions, or a table of them (schema_name, table_regexes) as parse_rule_rows gives it
+Rules = Mapping[str, Sequence[str]] | DataFrame
+
+RULE_COLUMNS = ("__database", "__pattern")
 RULE_SEPARATOR = "@"
 BEGIN = "BEGIN"
 
@@ -55,23 +60,43 @@ def table_matches(rules: Mapping[str, Sequence[str]], schema: Column, table: Col
     return F.coalesce(matched, F.lit(False))
 
 
+def decisions(df: DataFrame, rules: Rules) -> tuple[DataFrame, Column, Column]:
+    """``df`` with what it takes, and whether its row's schema and table are wanted.
+
+    Rules given as a table meet the rows by their lower-cased schema, once: the plan is the same for one database and for any number,
+    and a row is matched against its own database's expressions only. The columns that this adds are :data:`RULE_COLUMNS`.
+    """
+    if isinstance(rules, Mapping):
+        schema = F.col("schema_name")
+        return df, schema_matches(rules, schema), table_matches(rules, schema, F.col("table_name"))
+    database, pattern = RULE_COLUMNS
+    any_of = F.concat_ws("|", F.transform("table_regexes", lambda regex: F.concat(F.lit("(?:"), regex, F.lit(")"))))
+    table = rules.select(F.col("schema_name").alias(database), any_of.alias(pattern))
+    met = join_small(df.withColumn(database, F.lower("schema_name")), table, [database])
+    known = F.col(pattern).isNotNull()
+    return met, known, F.coalesce(known & F.rlike(F.lower("table_name"), F.col(pattern)), F.lit(False))
+
+
 def is_begin(query: Column) -> Column:
     return F.coalesce(F.upper(query) == BEGIN, F.lit(False))
 
 
-def filter_schema(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
+def filter_schema(df: DataFrame, rules: Rules) -> DataFrame:
     """Statement events of configured databases."""
-    return df.where((F.col("kind") == "QUERY") & schema_matches(rules, F.col("schema_name")))
+    met, wanted, _ = decisions(df.where(F.col("kind") == "QUERY"), rules)
+    return met.where(wanted).drop(*RULE_COLUMNS)
 
 
-def filter_tables(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
+def filter_tables(df: DataFrame, rules: Rules) -> DataFrame:
     """Table-map events of configured tables."""
-    return df.where((F.col("kind") == "TABLE_MAP") & table_matches(rules, F.col("schema_name"), F.col("table_name")))
+    met, _, wanted = decisions(df.where(F.col("kind") == "TABLE_MAP"), rules)
+    return met.where(wanted).drop(*RULE_COLUMNS)
 
 
-def classify(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
+def classify(df: DataFrame, rules: Rules) -> DataFrame:
     """Add ``mark``: all that routing needs to know about one event by itself. Everything that reads the
     event's names and text happens here, before any shuffle."""
+    met, wanted_schema, wanted_table = decisions(df, rules)
     kind = F.col("kind")
     mark = (
         F.when(kind.isin("ROTATE", "FORMAT"), FILE_EVENT)
@@ -79,21 +104,21 @@ def classify(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
         .when(
             kind == "QUERY",
             F.when(is_begin(F.col("query")), BEGIN_QUERY)
-            .when(schema_matches(rules, F.col("schema_name")), WANTED_QUERY)
+            .when(wanted_schema, WANTED_QUERY)
             .otherwise(OTHER_QUERY),
         )
         .when(
             kind == "TABLE_MAP",
-            F.when(table_matches(rules, F.col("schema_name"), F.col("table_name")), WANTED_TABLE).otherwise(OTHER_TABLE),
+            F.when(wanted_table, WANTED_TABLE).otherwise(OTHER_TABLE),
         )
         .otherwise(ROW_LIKE)
     )
-    return df.withColumn("mark", mark.cast("tinyint"))
+    return met.withColumn("mark", mark.cast("tinyint")).drop(*RULE_COLUMNS)
 
 
 def route_events(
     df: DataFrame,
-    rules: Mapping[str, Sequence[str]],
+    rules: Rules,
     scope: Sequence[str] = ("source_id",),
     span: int = BLOCK_SPAN,
 ) -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.greedy import greedy_pack
-from logweave.operators.rules import COMMIT, ROW_LIKE, classify, route_events, route_marked
+from logweave.operators.rules import COMMIT, ROW_LIKE, Rules, classify, route_events, route_marked
 from logweave.operators.scan import BLOCK_SPAN
 
-Rules = Mapping[str, Sequence[str]]
-
 # sets standalone events of one epoch apart
 ALONE_KEY = ("alone_file", "alone_pos")
 ALONE = -1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweave.functions.cyclic import MIN_SEQID
 from logweave.functions.envelope import encode_envelope
 from logweave.operators.routing import stable_key, topic_rows
+from logweave.operators.rules import Rules
 from logweave.operators.scan import BLOCK_SPAN
 from logweave.operators.sequence import assign_seqid
 from logweave.operators.transactions import ALONE_KEY, headers_of, record_parts, with_payload
@@ -18,7 +19,7 @@ from logweave.session import cut_lineage
 
 def numbered_headers(
     events: DataFrame,
-    rules: Mapping[str, Sequence[str]],
+    rules: Rules,
     max_size: int,
     start: int = MIN_SEQID,
     scope: Sequence[str] = ("source_id",),
@@ -32,7 +33,7 @@ def numbered_headers(
 
 def numbered_records(
     events: DataFrame,
-    rules: Mapping[str, Sequence[str]],
+    rules: Rules,
     max_size: int,
     start: int = MIN_SEQID,
     scope: Sequence[str] = ("source_id",),

@@ -502,3 +502,24 @@ ORACLES["stream_tail_segments"] = f"""
 SELECT segment_id, seqid, size, log_pos, frame FROM ({ORACLES["stream_segments_whole"]})
 WHERE segment_id > 1 OR (segment_id = 1 AND log_pos - size >= 1500)"""
 ORACLES["stream_segments_repaired"] = ORACLES["stream_segments_whole"]
+ORACLES["stream_apply_latest"] = ORACLES["apply_latest"]
+ORACLES["stream_records_two_collectors"] = f"""
+WITH RECURSIVE {RECORDS}
+SELECT source_id, log_file, log_pos, n_events, bytes, committed, count(*) OVER () AS ids, CAST(1 AS BIGINT) AS first_id, count(*) OVER () AS last_id FROM records"""
+ORACLES["age_log_files"] = f"""
+WITH aged AS ({ORACLES["tier_by_age"]}), {LOG}
+SELECT log_file, tier, log_pos, source_id FROM log JOIN aged USING (log_file) WHERE tier <> 'expired'"""
+
+# the databases Db0 .. Db6 but Db1, each with the tables that the events draw
+RULE_ROWS = """
+rule_rows AS (
+  SELECT 'db' || (k % 7) AS database, string_agg(DISTINCT CAST(k % 4 AS VARCHAR), '') AS digits
+  FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) WHERE k % 7 <> 1 GROUP BY 1)"""
+BY_ROWS = """EXISTS (SELECT 1 FROM rule_rows r WHERE r.database = lower(schema_name) AND regexp_matches(lower(table_name), 't[' || r.digits || ']'))"""
+ORACLES["filter_schema_by_rule_rows"] = f"""
+WITH {LOG}, {RULE_ROWS} SELECT source_id, log_pos, schema_name, size FROM log
+WHERE kind = 'QUERY' AND lower(schema_name) IN (SELECT database FROM rule_rows)"""
+ORACLES["filter_tables_by_rule_rows"] = f"""
+WITH {LOG}, {RULE_ROWS} SELECT source_id, log_pos, schema_name, table_name FROM log WHERE kind = 'TABLE_MAP' AND {BY_ROWS}"""
+ORACLES["route_kinds_by_rule_rows"] = f"""
+WITH {LOG}, {RULE_ROWS}, {routed("log", BY_ROWS, "SELECT database FROM rule_rows")} SELECT source_id, log_pos, kind, action FROM routed"""

@@ -12,13 +12,17 @@ from logweave.functions.envelope import encode_envelope, total_bytes
 from logweave.functions.integers import floor_div
 from logweave.functions.times import epoch_seconds
 from logweave.operators import bookkeeping, lifecycle, metrics, relay, routing, rules, segments, sequence, transactions
+from logweave.operators.small import join_small
 from logweave.plans import collector
 from logweave.plans import fixtures as fx
 from logweave.session import checkpoint_root, cut_lineage
 from logweave.sinks.segments import read_segments, write_segments
+from logweave.sinks.tiers import AgedTable
 from logweave.sources import changelog, topic
 from logweave.streaming.collector import collect_stream
 from logweave.streaming.commits import CommitLog, commit_writer
+from logweave.streaming.latest import LatestTable, upsert_stream
+from logweave.streaming.ledger import IdLedger
 from logweave.streaming.relay import (
     failover_write,
     log_lines,
@@ -82,6 +86,33 @@ def filter_tables(spark, sf):
     )
 
 
+def _rule_rows(spark, sf):
+    """Rules kept as a table, drawn from the events: some databases of the log, others that it never names."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    rows = fx.table(spark, sf, "events").where(k % 7 != 1).select(
+        F.concat(F.lit("Db"), (k % 7).cast("string"), F.lit("@t["), (k % 4).cast("string"), F.lit("]")).alias("rule")
+    )
+    return rules.parse_rule_rows(rows.distinct())
+
+
+@query
+def filter_schema_by_rule_rows(spark, sf):
+    wanted = rules.filter_schema(fx.change_log(spark, sf), _rule_rows(spark, sf))
+    return wanted.select("source_id", "log_pos", "schema_name", "size")
+
+
+@query
+def filter_tables_by_rule_rows(spark, sf):
+    wanted = rules.filter_tables(fx.change_log(spark, sf), _rule_rows(spark, sf))
+    return wanted.select("source_id", "log_pos", "schema_name", "table_name")
+
+
+@query
+def route_kinds_by_rule_rows(spark, sf):
+    routed = rules.route_events(fx.change_log(spark, sf), _rule_rows(spark, sf), span=fx.SPAN)
+    return routed.select("source_id", "log_pos", "kind", "action")
+
+
 @query
 def is_begin(spark, sf):
     log = fx.change_log(spark, sf)
@@ -608,6 +639,19 @@ def tier_by_age(spark, sf):
     return lifecycle.tier_by_age(files, F.col("modified"), now)
 
 
+@query
+def age_log_files(spark, sf):
+    """Log files aged twice, a day apart: those left after the second time, in their tiers."""
+    log = fx.change_log(spark, sf).select("log_file", "log_pos", "source_id", epoch_seconds(F.col("event_ts")).alias("seconds"))
+    table = AgedTable(f"{checkpoint_root(spark)}/aged-{uuid.uuid4().hex}", "log_file")
+    table.add(log, F.col("seconds"))
+    now = log.agg(F.max("seconds")).first()[0]
+    for at in (now - 86400, now):
+        table.age(spark, at)
+    tiers = spark.createDataFrame(list(table.tiers(spark).items()), "log_file string, tier string")
+    return join_small(table.read(spark), tiers, ["log_file"]).select("log_file", "tier", "log_pos", "source_id")
+
+
 @query
 def apply_latest(spark, sf):
     """Latest event per user and table; the latest being an XID removes the row."""
@@ -658,6 +702,39 @@ def stream_records_in_batches(spark, sf):
     )
 
 
+@query
+def stream_records_two_collectors(spark, sf):
+    """Two collectors, each for half of the sources, under one counter: their records, and how many ids that took up to which."""
+    ledger, stores = IdLedger(_store(spark, "ledger").root), [_store(spark, "records") for _ in range(2)]
+    log = fx.change_log_of(_event_stream(spark, sf))
+    writers = [
+        collect_stream(log.where(F.col("source_id") % 2 == i), RULES, fx.MAX_SIZE, store, span=fx.SPAN, ledger=ledger, owner=f"collector-{i}")
+        for i, store in enumerate(stores)
+    ]
+    for running in [w.trigger(availableNow=True).start() for w in writers]:  # at once
+        running.awaitTermination()
+    records = stores[0].read(spark, "records").unionByName(stores[1].read(spark, "records"))
+    ids = records.agg(F.count_distinct("seqid").alias("ids"), F.min("seqid").alias("first_id"), F.max("seqid").alias("last_id"))
+    return records.crossJoin(F.broadcast(ids)).select(  # a single row
+        "source_id", "log_file", "log_pos", "n_events", "bytes", "committed", "ids", "first_id", "last_id"
+    )
+
+
+@query
+def stream_apply_latest(spark, sf):
+    """The latest event per user and table, kept over micro-batches that come in random order; an XID removes the row."""
+    key, order = ("source_id", "schema_name", "table_name"), ("log_file", "log_pos")
+    events = fx.table(spark, sf, "events")
+    path = f"{checkpoint_root(spark)}/streams/events-{uuid.uuid4().hex}"
+    events.repartition(5, F.xxhash64("event_id")).write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = fx.change_log_of(stream).select(*key, *order, "kind", "size")
+    store = _store(spark, "latest")
+    table = LatestTable(store.path("table"), key, order, buckets=4, compact_every=2)
+    _finish(upsert_stream(rows, table, F.col("kind") == "XID", store.path("checkpoint")))
+    return table.read(spark, rows.schema)
+
+
 @query
 def stream_watermark(spark, sf):
     """The watermark kept over micro-batches of messages in random order, every 211th of which never gets done: the last batch's."""

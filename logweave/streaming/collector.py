@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
@@ -10,10 +10,12 @@ from pyspark.sql.types import StructType
 
 from logweave.functions.cyclic import MIN_SEQID, next_seqid
 from logweave.operators.resume import headers_after, held_parts, no_state, parts_after, routed_after, state_after
+from logweave.operators.rules import Rules
 from logweave.operators.scan import BLOCK_SPAN
 from logweave.operators.sequence import assign_seqid
 from logweave.plans.collector import payload_of
 from logweave.sources.changelog import read_changelog
+from logweave.streaming.ledger import IdLedger
 from logweave.streaming.state import BatchStore
 
 PART = "epoch bigint, part bigint, alone_file string, alone_pos bigint, is_commit boolean, is_cut boolean"
@@ -21,13 +23,15 @@ PART = "epoch bigint, part bigint, alone_file string, alone_pos bigint, is_commi
 
 def collect_stream(
     events: DataFrame,
-    rules: Mapping[str, Sequence[str]],
+    rules: Rules,
     max_size: int,
     store: BatchStore,
     start: int = MIN_SEQID,
     scope: Sequence[str] = ("source_id",),
     span: int = BLOCK_SPAN,
     sink: Callable[[DataFrame, int], None] | None = None,
+    ledger: IdLedger | None = None,
+    owner: str = "",
 ) -> DataStreamWriter:
     """A writer that turns each micro-batch of events into records under ``store``'s "records".
 
@@ -36,7 +40,8 @@ def collect_stream(
     statements add) and the id counter. Every event is routed and cut in its own batch only; epochs and parts count
     through the whole log. A record goes out in the batch that brings its last event, so none goes out twice.
     Events must arrive in log order per source from batch to batch. ``sink`` gets the numbered
-    records too, before the batch is committed.
+    records too, before the batch is committed. With ``ledger`` the ids are ranges of a counter that several collectors
+    share; ``owner`` names this one there, and a replayed batch gets the range it had.
     """
     scope = list(scope)
     place = [*scope, "log_file", "log_pos"]
@@ -55,6 +60,8 @@ def collect_stream(
         parts = store.between("parts", batch_id, parts_after(routed, state, max_size, scope).select(*narrow.names))
         headers = store.between("headers", batch_id, headers_after(held, parts, scope))
         waiting, whole = held.unionByName(parts), held_events.unionByName(fresh)
+        if ledger is not None:
+            counter = ledger.claim(spark, owner, batch_id, headers.count())
         numbered = assign_seqid(headers, counter, scope, span)
         store.write("records", batch_id, payload_of(numbered, waiting, whole, scope))
         records = spark.read.parquet(store.path("records", batch_id))
