@@ -8,6 +8,8 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from logweave.session import checkpoint_root
+
 
 def _path(spark: SparkSession, path: str):
     """(file system, qualified path); a path without a scheme is one of the default file system."""
@@ -16,6 +18,27 @@ def _path(spark: SparkSession, path: str):
     return system, system.makeQualified(raw)
 
 
+def shared_path(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, for tasks that open files themselves.
+
+    A path of the local file system is refused on a cluster unless it lies below the checkpoint folder or the warehouse, which are
+    shared: each executor would write to a disk of its own.
+    """
+    qualified = _path(spark, path)[1].toString()
+    if qualified.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        shared = [checkpoint_root(spark), spark.conf.get("spark.sql.warehouse.dir")]
+        if not any(f"{qualified}/".startswith(f"{_path(spark, root)[1].toString()}/") for root in shared):
+            raise ValueError(f"{qualified} is on the disk of one machine; name a folder that all executors share")
+    return qualified
+
+
+def delete_matching(spark: SparkSession, pattern: str) -> None:
+    """Remove the files that a glob pattern matches."""
+    system, at = _path(spark, pattern)
+    for status in system.globStatus(at) or []:
+        system.delete(status.getPath(), True)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     system, folder = _path(spark, path)
     system.mkdirs(folder)

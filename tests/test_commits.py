@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logweave import files
 from logweave.functions.envelope import encode_envelope
 from logweave.operators.segments import rewrite_positions, verify_segments
+from logweave.session import checkpoint_root
 from logweave.streaming.commits import CommitLog, commit_writer
 from logweave.streaming.replayer import repair_tail, resequence_stream
 from logweave.streaming.shelf import Shelf
@@ -183,3 +184,12 @@ def test_a_damaged_last_segment_is_written_again_before_more_is_appended(spark,
     assert repair_tail(spark, log, store, 300) == [] == repair_tail(spark, log, store, 300, from_segment=0)
     read()
     assert sorted(seen) == sorted([*range(1, 81)] * 2)
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, tmp_path, monkeypatch):
+    assert files.shared_path(spark, str(tmp_path)) == f"file:{tmp_path}"
+    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
+    assert files.shared_path(spark, f"{checkpoint_root(spark)}/x").startswith("file:")
+    assert files.shared_path(spark, "file:" + spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/x")
+    with pytest.raises(ValueError, match="one machine"):
+        files.shared_path(spark, str(tmp_path))
