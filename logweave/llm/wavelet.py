@@ -15,7 +15,7 @@ summed up when a plane is opened.
 from __future__ import annotations
 
 import json
-import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.files import delete_matching, make_folder, shared_path
 from logweave.llm.scratch import folder, stored
 from logweave.llm.tokens import read_tokenizer, worker_encoder
 from logweave.llm.words import text_chunks
@@ -162,17 +163,11 @@ def read_shard(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletMat
     return doc_ids, np.frombuffer(parts[2], "<i8"), WaveletMatrix(header["ids"], header["bits"], header["zeros"], planes)
 
 
-def _folder(root: str) -> tuple[fs.FileSystem, str]:
-    """The folder's file system and its path there; the folder is made if need be."""
-    system, path = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
-    system.create_dir(path, recursive=True)
-    return system, path
-
-
 def _put(root: str, name: str, content: bytes) -> None:
     """Write under another name, then rename: a task that runs again replaces its file by the same one."""
-    system, path = _folder(root)
-    part = f"{path}/.{name}.{os.getpid()}"
+    system, path = fs.FileSystem.from_uri(root)
+    system.create_dir(path, recursive=True)
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(content)
     system.move(part, f"{path}/{name}")
@@ -193,13 +188,15 @@ def write_shards(
     A null text is empty (the end id alone); rows with a null id come first; repeated rows are documents of
     their own, equal ids in the order of their texts' hashes. A shard closes at the end of the document that fills it,
     so a task holds one shard and one chunk of text at most. ``parts`` is the number of write tasks
-    (default: the session's shuffle partitions). An empty table writes no file.
+    (default: the session's shuffle partitions). An empty table writes no file. ``path`` is one of Spark's default file system
+    if it names no other; a folder of one machine is refused on a cluster. What tries that failed have left is removed at the end.
 
     Returns the stored list of shards: part, nr, name, n_ids.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
-    _folder(path)
+    path = shared_path(spark, path)
+    make_folder(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(spec.value, end_id)
@@ -235,7 +232,9 @@ def write_shards(
     order = ["doc_id", "text_hash", "row"]  # the row number splits any number of equal rows
     count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartitionByRange(count, *order).sortWithinPartitions(*order).select("text", "doc_id")
-    return stored(sorted_rows.mapInArrow(run, "part bigint, nr bigint, name string, n_ids bigint"), "shards")
+    shards = stored(sorted_rows.mapInArrow(run, "part bigint, nr bigint, name string, n_ids bigint"), "shards")
+    delete_matching(spark, f"{path}/.shard-*")
+    return shards
 
 
 def read_documents(spark: SparkSession, path: str, shards: DataFrame) -> DataFrame:

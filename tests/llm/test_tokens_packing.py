@@ -152,3 +152,13 @@ def test_token_files_on_odd_rows(spark, shard_ids):
 
 def test_token_files_of_nothing(spark):
     assert wavelet.token_files(edge.empty(spark), TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_shards_on_a_path_with_and_without_a_scheme(spark, tmp_path, scheme):
+    (tmp_path / "shards").mkdir()
+    (tmp_path / "shards" / ".shard-000000-000000.wm.lost").write_bytes(b"left by a task that was killed")
+    rows = wavelet.token_files(edge.frame(spark), TOKENIZER, path=f"{scheme}{tmp_path}/shards", parts=2).collect()
+    assert len(rows) == len(edge.rows())
+    names = [p.name for p in (tmp_path / "shards").iterdir()]
+    assert names and all(n.startswith("shard-") for n in names)
