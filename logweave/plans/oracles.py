@@ -523,3 +523,12 @@ ORACLES["filter_tables_by_rule_rows"] = f"""
 WITH {LOG}, {RULE_ROWS} SELECT source_id, log_pos, schema_name, table_name FROM log WHERE kind = 'TABLE_MAP' AND {BY_ROWS}"""
 ORACLES["route_kinds_by_rule_rows"] = f"""
 WITH {LOG}, {RULE_ROWS}, {routed("log", BY_ROWS, "SELECT database FROM rule_rows")} SELECT source_id, log_pos, kind, action FROM routed"""
+ORACLES["stream_figures"] = """
+WITH b AS (SELECT min(event_id) AS lo, max(event_id) + 1 - min(event_id) AS n FROM events),
+batches AS (SELECT i, (SELECT count(*) FROM events, b WHERE event_id >= lo + n * i // 3 AND event_id < lo + n * (i + 1) // 3) AS events,
+                   (SELECT max(epoch_us(ts)) // 1000000 FROM events, b WHERE event_id < lo + n * (i + 1) // 3) AS last_event
+            FROM range(3) r(i)),
+totals AS (SELECT *, CAST(sum(events) OVER (ORDER BY i) AS BIGINT) AS total FROM batches)
+SELECT 2 * i + idle AS report, CASE idle WHEN 0 THEN events ELSE 0 END AS events, total,
+       CASE idle WHEN 0 THEN events // 50 ELSE 0 END AS avg_per_second, last_event, 1706659200 - last_event AS lag_seconds
+FROM totals, range(2) s(idle)"""

@@ -21,6 +21,7 @@ from logweave.sinks.tiers import AgedTable
 from logweave.sources import changelog, topic
 from logweave.streaming.collector import collect_stream
 from logweave.streaming.commits import CommitLog, commit_writer
+from logweave.streaming.figures import LiveFigures
 from logweave.streaming.latest import LatestTable, upsert_stream
 from logweave.streaming.ledger import IdLedger
 from logweave.streaming.relay import (
@@ -45,6 +46,7 @@ SEQ_START = 10**12 - 999  # the counter wraps after a thousand records
 SEGMENT_LIMIT = 4000
 PACK_COUNT, PACK_SIZE, PACK_TICK = 10, 80, 86400
 WINDOW = 50
+FIGURES_NOW = 1706659200  # 2024-01-31
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -720,6 +722,23 @@ def stream_records_two_collectors(spark, sf):
     )
 
 
+@query
+def stream_figures(spark, sf):
+    """What a running collector reports: a report after each batch, and one after an idle interval behind it."""
+    reports, store = [], _store(spark, "records")
+    figures = LiveFigures(WINDOW, reports.append, clock=lambda: FIGURES_NOW)
+
+    def reporting(records, batch_id):
+        figures.report()
+        figures.report()
+
+    log = fx.change_log_of(_ordered_batches(spark, sf, files=3))
+    _finish(collect_stream(log, RULES, fx.MAX_SIZE, store, span=fx.SPAN, sink=reporting, figures=figures))
+    names = ["report", "events", "total", "avg_per_second", "last_event", "lag_seconds"]
+    rows = [(i, *[r[c] for c in names[1:]]) for i, r in enumerate(reports)]
+    return spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in names))
+
+
 @query
 def stream_apply_latest(spark, sf):
     """The latest event per user and table, kept over micro-batches that come in random order; an XID removes the row."""

@@ -15,6 +15,7 @@ from logweave.operators.scan import BLOCK_SPAN
 from logweave.operators.sequence import assign_seqid
 from logweave.plans.collector import payload_of
 from logweave.sources.changelog import read_changelog
+from logweave.streaming.figures import LiveFigures
 from logweave.streaming.ledger import IdLedger
 from logweave.streaming.state import BatchStore
 
@@ -32,6 +33,7 @@ def collect_stream(
     sink: Callable[[DataFrame, int], None] | None = None,
     ledger: IdLedger | None = None,
     owner: str = "",
+    figures: LiveFigures | None = None,
 ) -> DataStreamWriter:
     """A writer that turns each micro-batch of events into records under ``store``'s "records".
 
@@ -41,7 +43,7 @@ def collect_stream(
     through the whole log. A record goes out in the batch that brings its last event, so none goes out twice.
     Events must arrive in log order per source from batch to batch. ``sink`` gets the numbered
     records too, before the batch is committed. With ``ledger`` the ids are ranges of a counter that several collectors
-    share; ``owner`` names this one there, and a replayed batch gets the range it had.
+    share; ``owner`` names this one there, and a replayed batch gets the range it had. ``figures`` are told how many events each batch took.
     """
     scope = list(scope)
     place = [*scope, "log_file", "log_pos"]
@@ -54,7 +56,13 @@ def collect_stream(
         held = store.previous(spark, "held", batch_id, narrow)
         held_events = store.previous(spark, "held_events", batch_id, new.schema)
         counter = store.previous_row(spark, "counter", batch_id, {"next_seqid": start}).next_seqid
-        fresh = store.between("fresh", batch_id, read_changelog(new, state, scope))
+        fresh = read_changelog(new, state, scope)
+        if figures is None:
+            fresh = store.between("fresh", batch_id, fresh)
+        else:
+            fresh, seen = figures.observed(fresh)
+            fresh = store.between("fresh", batch_id, fresh)
+            figures.took(batch_id, seen)
 
         routed = store.between("routed", batch_id, routed_after(fresh, state, rules, scope, span))
         parts = store.between("parts", batch_id, parts_after(routed, state, max_size, scope).select(*narrow.names))

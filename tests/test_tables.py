@@ -3,6 +3,7 @@
 import os
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from logweave.operators import lifecycle, rules
 from logweave.plans import fixtures as fx
 from logweave.sinks.tiers import AgedTable
 from logweave.streaming.collector import collect_stream
+from logweave.streaming.figures import LiveFigures
 from logweave.streaming.latest import LatestTable
 from logweave.streaming.ledger import IdLedger
 from logweave.streaming.state import BatchStore
@@ -139,3 +141,24 @@ def test_rule_rows_equal_literal_rules(spark):
     assert sum(1 for r in rules.filter_tables(log, table).collect()) > 0
     odd = spark.createDataFrame([("TABLE_MAP", None, "t0"), ("TABLE_MAP", "DB0", None), ("TABLE_MAP", "DB0", "T0")], "kind string, schema_name string, table_name string")
     assert rules.filter_tables(odd, table).count() == rules.filter_tables(odd, literal).count() == 1
+
+
+def test_figures_count_a_replayed_batch_once_and_report_idle_intervals(spark, tmp_path):
+    reports = []
+    figures = LiveFigures(10, reports.append, clock=lambda: 1000)
+    figures.report()
+    for batch, first, end in ((0, 0, 95), (0, 0, 95), (1, 95, 100), (2, 0, 0)):
+        rows, seen = figures.observed(spark.range(first, end).select(F.timestamp_seconds("id").alias("event_ts")))
+        rows.write.mode("overwrite").parquet(str(tmp_path / "rows"))
+        figures.took(batch, seen)
+        figures.report()
+    assert [(r["events"], r["total"], r["avg_per_second"], r["last_event"], r["lag_seconds"]) for r in reports] == [
+        (0, 0, 0, None, None), (95, 95, 9, 94, 906), (0, 95, 0, 94, 906), (5, 100, 0, 99, 901), (0, 100, 0, 99, 901),
+    ]
+
+
+def test_figures_report_by_a_timer():
+    reports = []
+    with LiveFigures(1, reports.append):
+        time.sleep(2.5)
+    assert [r["events"] for r in reports] == [0, 0]
