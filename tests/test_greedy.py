@@ -51,6 +51,31 @@ def test_matches_fold(spark, monkeypatch, max_size, max_count, base):
             assert (r.part, r.is_cut) == expected[r.scope][r.pos], (span, r)
 
 
+def test_many_files_of_one_small_block(spark, monkeypatch):
+    """Blocks are composed over the borders of files, and no Python call is made for a single block."""
+    monkeypatch.setattr(greedy, "FAN_IN", 4)
+    rng = random.Random(5)
+    rows = [(pos, pos // 37, rng.randint(0, 40), rng.random() < 0.5) for pos in range(600)]
+    expected = fold(rows, 150, None)
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["pos", "run", "size", "ok"]).sample(frac=1, random_state=1))
+    df = df.withColumns({"scope": F.lit(0), "file": F.format_string("f%05d", F.floor(F.col("pos") / 3)), "blk": F.lit(0).cast("bigint")})
+    got = greedy_pack(df, ["scope"], ["file", "blk"], ["pos"], "size", 150, None, "ok", "run", levels=2)
+    calls = [line for line in got._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMap" in line]
+    assert calls and not any("file" in line.split("(")[0] for line in calls)
+    found = got.toPandas()
+    assert {r.pos: (r.part, r.is_cut) for r in found.itertuples()} == expected and len(found) == len(rows)
+
+
+def test_groups_over_batches():
+    rows = [("a", 1)] * 3 + [("b", 1)] * 5 + [("b", 2)] + [("c", 1)] * 4
+    table = pa.table({"k": [r[0] for r in rows], "n": [r[1] for r in rows], "i": list(range(len(rows)))})
+    for size in (1, 2, 3, 5, 100):
+        groups = [
+            t["i"].to_pylist()[a:z] for t, starts, ends in greedy._whole_groups(iter(table.to_batches(size)), ["k", "n"]) for a, z in zip(starts, ends)
+        ]
+        assert groups == [[0, 1, 2], [3, 4, 5, 6, 7], [8], [9, 10, 11, 12]]
+
+
 def test_composed_blocks_stay_small():
     """Records of one size never meet at a cut: the worst case for the number of steps."""
     limit, per_block, size = 10_000, 40, 100
