@@ -144,6 +144,20 @@ def test_what_waits_far_behind_a_gap_is_not_touched(spark, tmp_path, monkeypatch
     assert kept == [9]  # what was released is gone
 
 
+def test_a_shelf_has_few_folders_however_much_a_batch_brings(spark, tmp_path):
+    """Wide and narrow ranges side by side: all rows of a stretch are found, and what is past is removed."""
+    shelf, schema = Shelf(str(tmp_path / "shelf"), 10), spark.range(1).withColumnRenamed("id", "at").schema
+    for batch_id, (first, end) in enumerate([(5000, 9000), (0, 100), (100, 5000)]):
+        shelf.add(spark.range(first, end).withColumnRenamed("id", "at"), batch_id)
+    folders = [p for p in (tmp_path / "shelf").rglob("bucket=*")]
+    assert len(folders) <= 3 * 64
+    for first, last in ((0, 4), (95, 105), (4990, 5010), (0, 8999), (3, 2)):
+        assert sorted(r.at for r in shelf.between(spark, schema, first, last).collect()) == list(range(first, last + 1))
+    shelf.forget(spark, 5003)
+    assert sorted(r.at for r in shelf.between(spark, schema, 5003, 8999).collect()) == list(range(5003, 9000))
+    assert not shelf.between(spark, schema, 0, 4000).collect()
+
+
 @pytest.mark.parametrize("harm", ["frame", "tail", "nothing"])
 def test_a_damaged_last_segment_is_written_again_before_more_is_appended(spark, tmp_path, harm):
     """Damage at rest, then a restart: every id once, in the places it had; readers ahead of the damage go on."""
