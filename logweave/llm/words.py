@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Text bytes handled at once; arrays over them take about 40 bytes a byte. A longer text is handled whole.
-CHUNK_BYTES = 4 << 20
+# Text bytes handled at once; arrays over them take about 40 bytes a byte, in every Python worker. A longer text is handled whole.
+CHUNK_BYTES = 1 << 20
 
 _random = np.random.default_rng(20240229)
 BYTE_VALUES = _random.integers(1, 1 << 64, 256, dtype=np.uint64)

@@ -1,10 +1,14 @@
+import tracemalloc
+
 import edge
 import numpy as np
+import pyarrow as pa
 import pytest
 import reference
 from test_dedup import family
 
-from logweave.llm import tokengroups
+from logweave.llm import tokengroups, words
+from logweave.llm.shingles import sets_of
 
 
 def edited(random, words, edits):
@@ -75,3 +79,15 @@ def test_first_tokens_always_meet():
             look, due = tokengroups.covered_first(n, percent)
             least = -(-percent * n // 100)
             assert 1 <= due <= look <= n and look - due >= n - least - (n == look)
+
+
+def test_sets_of_many_texts_take_little_memory(monkeypatch):
+    """Six workers of an executor share its memory with the JVM: each one's arrays are those of one chunk."""
+    monkeypatch.setattr(words, "_powers", {})
+    texts = pa.array([" ".join(f"word{i}x{k}" for k in range(100)) for i in range(6000)])
+    tracemalloc.start()
+    try:
+        assert sum(len(s) for s in sets_of(texts, 5)) == 6000 * 96
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
