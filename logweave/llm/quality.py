@@ -15,6 +15,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def quality_score(
 
     sample = rows.select(F.col("__id"), text_col, "__label").mapInArrow(run, "id bigint, x array<float>, y int").toArrow()
     order = np.argsort(sample["id"].to_numpy(), kind="stable")
-    x = np.array(sample["x"].to_pylist(), np.float32).reshape(len(order), 2 * SIZE + 3)[order]
+    x = pc.list_flatten(sample["x"]).to_numpy().reshape(len(order), 2 * SIZE + 3)[order]  # as Python numbers they would take ten times as much
     trained = train_network(x, sample["y"].to_numpy()[order].astype(float))
     net = docs.sparkSession.sparkContext.broadcast(tuple(getattr(trained, f.name) for f in fields(trained)))
 
