@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators.scan import BLOCK_SPAN, Scan, block_of, prefix_scan
+from logweave.operators.scan import BLOCK_SPAN, Scan, block_of, counted_scan
 from logweave.operators.small import join_small
 
 # lower-cased database to expressions, or a table of them (schema_name, table_regexes) as parse_rule_rows gives it
@@ -132,9 +132,14 @@ def route_marked(df: DataFrame, scope: Sequence[str], span: int) -> DataFrame:
     order - "latest value before me" with commits as resets - so no task ever needs a whole
     transaction or a whole source.
     """
+    return counted_routes(df, scope, span)[0]
+
+
+def counted_routes(df: DataFrame, scope: Sequence[str], span: int) -> tuple[DataFrame, int]:
+    """:func:`route_marked` and the number of events."""
     mark = F.col("mark")
     commit = mark == COMMIT
-    scanned = prefix_scan(
+    scanned, events = counted_scan(
         df.withColumn("block", block_of(F.col("log_pos"), span)),
         scope,
         [["log_file", "block"]],
@@ -154,4 +159,4 @@ def route_marked(df: DataFrame, scope: Sequence[str], span: int) -> DataFrame:
         .when(mark == ROW_LIKE, F.when(~in_tx, "standalone").when(keep, "tx").otherwise("drop"))
         .otherwise("drop")
     )
-    return scanned.withColumn("action", action)
+    return scanned.withColumn("action", action), events

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.greedy import greedy_pack
-from logweave.operators.rules import COMMIT, ROW_LIKE, Rules, classify, route_events, route_marked
-from logweave.operators.scan import BLOCK_SPAN
+from logweave.operators.rules import COMMIT, ROW_LIKE, Rules, classify, counted_routes, route_events
+from logweave.operators.scan import BLOCK_SPAN, spread
 
 # sets standalone events of one epoch apart
 ALONE_KEY = ("alone_file", "alone_pos")
@@ -25,7 +25,7 @@ def assemble_transactions(
 ) -> DataFrame:
     """One row per committed transaction with something to replicate: (scope, epoch, n_events, bytes,
     first/last position). Counts and extremes only, so partial aggregation absorbs a huge transaction."""
-    routed = _routed(events, rules, scope, span)
+    routed, rows = _routed(events, rules, scope, span)
     inside = routed.where(F.col("action").isin("tx", "commit"))
     # first inside the blocks, where the rows already are, then across them
     local = inside.groupBy(*scope, "log_file", "block", "epoch").agg(
@@ -35,7 +35,7 @@ def assemble_transactions(
         F.max("log_pos").alias("last_pos"),
         F.max((F.col("action") == "commit").cast("int")).alias("committed"),
     )
-    grouped = local.groupBy(*scope, "epoch").agg(
+    grouped = spread(local, [*scope, "epoch"], rows).groupBy(*scope, "epoch").agg(
         F.sum("n_events").alias("n_events"),
         F.sum("bytes").alias("bytes"),
         F.min(position(pos="first_pos")).alias("first"),
@@ -72,9 +72,9 @@ def split_transactions(
     return parts.where(F.col("part") >= 0).select(*scope, "epoch", "log_file", "log_pos", "size", "part", "is_cut")
 
 
-def _routed(events: DataFrame, rules: Rules, scope: Sequence[str], span: int) -> DataFrame:
-    """Events with their action, reduced to a mark and a few numbers before they are shuffled."""
-    return route_marked(marked_events(events, rules, scope), scope, span)
+def _routed(events: DataFrame, rules: Rules, scope: Sequence[str], span: int) -> tuple[DataFrame, int]:
+    """Events with their action, reduced to a mark and a few numbers before they are shuffled, and their number."""
+    return counted_routes(marked_events(events, rules, scope), scope, span)
 
 
 def marked_events(events: DataFrame, rules: Rules, scope: Sequence[str]) -> DataFrame:
@@ -103,7 +103,8 @@ def record_headers(
     that of the event that made the record go out. Standalone events have part -1. Parts of a
     still open transaction are out as soon as they are cut; the rest waits for the commit.
     """
-    return headers_of(record_parts(events, rules, max_size, scope, span), scope).drop(*ALONE_KEY)
+    parts, rows = counted_parts(events, rules, max_size, scope, span)
+    return headers_of(parts, scope).drop(*ALONE_KEY)
 
 
 def record_parts(
@@ -115,7 +116,13 @@ def record_parts(
 ) -> DataFrame:
     """Every event that belongs to a record, under its record's key (scope, epoch, part, alone_file,
     alone_pos). Narrow: no payload."""
-    return parts_of_routed(_routed(events, rules, scope, span), max_size, list(scope))
+    return counted_parts(events, rules, max_size, scope, span)[0]
+
+
+def counted_parts(events: DataFrame, rules: Rules, max_size: int, scope: Sequence[str], span: int) -> tuple[DataFrame, int]:
+    """:func:`record_parts` and a number that its rows don't exceed."""
+    routed, rows = _routed(events, rules, scope, span)
+    return parts_of_routed(routed, max_size, list(scope)), rows
 
 
 def parts_of_routed(routed: DataFrame, max_size: int, scope: list[str]) -> DataFrame:

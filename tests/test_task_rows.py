@@ -37,3 +37,8 @@ def test_a_scan_of_few_rows_keeps_the_sessions_partitions(spark):
     assert len(per_task(ranked)) <= 4
     empty = scan.dense_rank_rows(few.where("id < 0"), [], [["block"]], ["id"])
     assert empty.collect() == []
+
+
+def test_transactions(spark, monkeypatch):
+    tasks = spread_out(spark, monkeypatch, "order_log_transactions")
+    assert len(tasks) > 10 and tasks[-1] < sum(tasks) / 5
