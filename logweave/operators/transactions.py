@@ -104,7 +104,7 @@ def record_headers(
     still open transaction are out as soon as they are cut; the rest waits for the commit.
     """
     parts, rows = counted_parts(events, rules, max_size, scope, span)
-    return headers_of(parts, scope).drop(*ALONE_KEY)
+    return headers_of(parts, scope, rows).drop(*ALONE_KEY)
 
 
 def record_parts(
@@ -122,11 +122,11 @@ def record_parts(
 def counted_parts(events: DataFrame, rules: Rules, max_size: int, scope: Sequence[str], span: int) -> tuple[DataFrame, int]:
     """:func:`record_parts` and a number that its rows don't exceed."""
     routed, rows = _routed(events, rules, scope, span)
-    return parts_of_routed(routed, max_size, list(scope)), rows
+    return parts_of_routed(routed, max_size, list(scope), rows), rows
 
 
-def parts_of_routed(routed: DataFrame, max_size: int, scope: list[str]) -> DataFrame:
-    """:func:`record_parts` of events that have their action already."""
+def parts_of_routed(routed: DataFrame, max_size: int, scope: list[str], rows: int | None = None) -> DataFrame:
+    """:func:`record_parts` of ``rows`` events that have their action already."""
     # Standalone events ride along: they weigh nothing and cannot be cut at, so they do not disturb the
     # transactions around them.
     alone = F.col("action") == "standalone"
@@ -143,7 +143,7 @@ def parts_of_routed(routed: DataFrame, max_size: int, scope: list[str]) -> DataF
         F.when(alone, ALONE).otherwise(F.col("mark")).cast("tinyint").alias("mark"),
     )
     parts = greedy_pack(
-        going, scope, ["log_file", "block"], ["log_pos"], "weight", max_size=max_size, eligible="is_row", run="epoch"
+        going, scope, ["log_file", "block"], ["log_pos"], "weight", max_size=max_size, eligible="is_row", run="epoch", rows=rows
     )
     # a standalone event shares (epoch, part) with its neighbours: its position sets it apart
     alone = F.col("mark") == ALONE
@@ -162,9 +162,11 @@ def parts_of_routed(routed: DataFrame, max_size: int, scope: list[str]) -> DataF
     )
 
 
-def headers_of(parts: DataFrame, scope: Sequence[str] = ("source_id",)) -> DataFrame:
-    """Records that go out, from :func:`record_parts`, with their key."""
+def headers_of(parts: DataFrame, scope: Sequence[str] = ("source_id",), rows: int | None = None) -> DataFrame:
+    """Records that go out, from :func:`record_parts`, with their key. With ``rows``, the most rows that there are, the number of tasks
+    goes by it. A part is bounded, so its rows may meet before they are folded."""
     record = [*scope, "epoch", "part", *ALONE_KEY]
+    parts = parts if rows is None else spread(parts, record, rows)
     # by file first: plain numbers fold in place, positions are compared on what is left
     by_file = parts.groupBy(*record, "log_file").agg(
         F.count("*").alias("n_events"),

@@ -13,7 +13,7 @@ from logweave.operators.routing import stable_key, topic_rows
 from logweave.operators.rules import Rules
 from logweave.operators.scan import BLOCK_SPAN
 from logweave.operators.sequence import assign_seqid
-from logweave.operators.transactions import ALONE_KEY, headers_of, record_parts, with_payload
+from logweave.operators.transactions import ALONE_KEY, counted_parts, headers_of, with_payload
 from logweave.session import cut_lineage
 
 
@@ -27,7 +27,8 @@ def numbered_headers(
 ) -> DataFrame:
     """Record headers with their ids. Headers are a small part of the log and numbering reads them
     several times, so they are written once in between."""
-    headers = cut_lineage(headers_of(record_parts(events, rules, max_size, scope, span), scope))
+    parts, rows = counted_parts(events, rules, max_size, scope, span)
+    headers = cut_lineage(headers_of(parts, scope, rows))
     return assign_seqid(headers, start, scope, span).drop(*ALONE_KEY)
 
 
@@ -41,8 +42,9 @@ def numbered_records(
     payload: str = "raw",
 ) -> DataFrame:
     """The same with payload. Cutting and numbering see narrow rows only."""
-    parts = cut_lineage(record_parts(events, rules, max_size, scope, span))
-    headers = assign_seqid(cut_lineage(headers_of(parts, scope)), start, scope, span)
+    parts, rows = counted_parts(events, rules, max_size, scope, span)
+    parts = cut_lineage(parts)
+    headers = assign_seqid(cut_lineage(headers_of(parts, scope, rows)), start, scope, span)
     return payload_of(headers, parts, events, scope, payload)
 
 

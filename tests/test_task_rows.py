@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from logweave.operators import scan
+from logweave.operators.greedy import greedy_pack
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -42,3 +43,23 @@ def test_a_scan_of_few_rows_keeps_the_sessions_partitions(spark):
 def test_transactions(spark, monkeypatch):
     tasks = spread_out(spark, monkeypatch, "order_log_transactions")
     assert len(tasks) > 10 and tasks[-1] < sum(tasks) / 5
+
+
+def test_records(spark, monkeypatch):
+    tasks = spread_out(spark, monkeypatch, "order_log_records")
+    assert len(tasks) > 10 and tasks[-1] < sum(tasks) / 5
+
+
+def test_cutting(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS_PER_TASK", 100, raising=False)
+    rows = spark.range(3000).select("id", (F.col("id") % 1).alias("log"), F.floor(F.col("id") / 20).alias("block"), F.lit(1).cast("bigint").alias("size"))
+    cut = greedy_pack(rows, ["log"], ["block"], ["id"], "size", max_size=9)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # so small a table would be sent to the blocks' entries
+    try:
+        tasks = per_task(cut)
+    finally:
+        spark.conf.set(threshold, before)
+    assert len(tasks) > 20 and tasks[-1] < 500
+    assert cut.where("is_cut").count() == 300
